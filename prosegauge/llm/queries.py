@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import exact_dedup, mixing, secrets, sharding, sketching
-from prosegauge.llm.common import documents
+from prosegauge.llm import bpe, exact_dedup, langid, mixing, secrets, sharding, simhash, sketching, toxicity
+from prosegauge.llm.common import documents, fold
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,21 +24,54 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(documents(spark, sf_dir), 16)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_groups(documents(spark, sf_dir))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return exact_dedup.exact_groups(docs, f"{sf_dir}/documents.parquet").drop("row")
 
 
+def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
+    """The rank file's contents, read where the driver is, and the pattern."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read(), public_tokenizers.PATTERN
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), *tokenizer())
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    filters = langid.train(docs.where(fold(F.col("doc_id"), 4) != 2))
+    out = langid.identified(docs, filters)
+    return out.select("kept.doc_id", (fold(F.col("kept.doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_fingerprints": op2_fingerprints,
     "op3_sharding": op3_sharding,
+    "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_bpe": op7_bpe,
     "op8_secrets": op8_secrets,
+    "op9_toxicity": op9_toxicity,
+    "op10_langid": op10_langid,
 }
 
 _OP1 = r"""

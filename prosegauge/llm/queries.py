@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import bpe, exact_dedup, langid, mixing, secrets, sharding, simhash, sketching, toxicity
+from prosegauge.llm import bpe, exact_dedup, langid, lm_scoring, mixing, secrets, sharding, simhash, sketching, toxicity
 from prosegauge.llm.common import documents, fold
 
 
@@ -34,6 +34,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(docs, f"{sf_dir}/documents.parquet").drop("row")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(documents(spark, sf_dir))
+
+
 def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
     """The rank file's contents, read where the driver is, and the pattern."""
     import public_tokenizers
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_bpe": op7_bpe,
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,

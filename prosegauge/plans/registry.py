@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from prosegauge.plans import q_text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(q_text.Q)
+ORACLE_SQL: dict[str, str] = dict(q_text.SQL)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prosegauge.plans import q_text
+from prosegauge.plans import q_blocks, q_text
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(q_text.Q)
-ORACLE_SQL: dict[str, str] = dict(q_text.SQL)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = q_text.Q | q_blocks.Q
+ORACLE_SQL: dict[str, str] = q_text.SQL | q_blocks.SQL

@@ -146,7 +146,8 @@ def decoded(rows: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") -> Da
 
 def as_ids(packed: Column) -> Column:
     """Packed ids as array<bigint>."""
-    one = lambda i: F.conv(F.hex(F.reverse(F.substring(packed, i * 4 + 1, F.lit(4)))), 16, 10).cast("long")
+    byte = lambda i, k: F.conv(F.hex(F.substring(packed, i * 4 + k + 1, F.lit(1))), 16, 10).cast("long")
+    one = lambda i: byte(i, 0) + byte(i, 1) * 256 + byte(i, 2) * 65536 + byte(i, 3) * 16777216
     n = (F.octet_length(packed) / 4).cast("int")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<bigint>"))
 

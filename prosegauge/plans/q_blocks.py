@@ -232,14 +232,14 @@ SQL["text_copies"] = f"WITH {_HASHED} SELECT file, start, count(*) OVER (PARTITI
 Q["locate_all"] = lambda s, d: _hashed(s, d).join(_hashed(s, d).where("start = 1").select("hash").distinct(), "hash", "left_semi").select("hash", "file", "start")
 SQL["locate_all"] = f"WITH {_HASHED} SELECT hash, file, start FROM hashed WHERE hash IN (SELECT hash FROM hashed WHERE start = 1)"
 _found = lambda s, d: B.comment_findings(_live(s, d)).select("file", "start", "rule", T.norm_hash(F.col("text")).alias("hash"))
-_known = lambda s, d: R.snapshot(_found(s, d).where(F.col("file").rlike("[02468][.]go$")))
-_FOUND = f"{BL}, {_struct_sql()}, found AS (SELECT DISTINCT file, start, rule, {sql_hash('text')} AS hash FROM struct JOIN bl USING (file, start)), snap AS (SELECT DISTINCT hash, substr(sha256(rule), 1, 6) AS code FROM found), known AS (SELECT DISTINCT hash, substr(sha256(rule), 1, 6) AS code FROM found WHERE regexp_matches(file, '[02468][.]go$'))"
+_known = lambda s, d: R.snapshot(_found(s, d).where("rule not in ('Separator banner', 'Step-by-step instructions')"))
+_FOUND = f"{BL}, {_struct_sql()}, found AS (SELECT DISTINCT file, start, rule, {sql_hash('text')} AS hash FROM struct JOIN bl USING (file, start)), snap AS (SELECT DISTINCT hash, substr(sha256(rule), 1, 6) AS code FROM found), known AS (SELECT DISTINCT hash, substr(sha256(rule), 1, 6) AS code FROM found WHERE rule NOT IN ('Separator banner', 'Step-by-step instructions'))"
 Q["baseline_write"] = lambda s, d: R.snapshot(_found(s, d))
 SQL["baseline_write"] = f"WITH {_FOUND} SELECT hash, code FROM snap"
 Q["baseline_new"] = lambda s, d: R.new_findings(_found(s, d).distinct(), _known(s, d)).select("file", "start", "rule")
 SQL["baseline_new"] = f"WITH {_FOUND} SELECT file, start, rule FROM found WHERE (hash, substr(sha256(rule), 1, 6)) NOT IN (SELECT (hash, code) FROM known)"
-Q["baseline_fixed"] = lambda s, d: R.fixed(_found(s, d).where(F.col("file").rlike("[13579][.]go$")), R.snapshot(_found(s, d)))
-SQL["baseline_fixed"] = f"WITH {_FOUND} SELECT hash, code FROM snap EXCEPT SELECT hash, substr(sha256(rule), 1, 6) FROM found WHERE regexp_matches(file, '[13579][.]go$')"
+Q["baseline_fixed"] = lambda s, d: R.fixed(_found(s, d).where("rule <> 'TODO with no owner'"), R.snapshot(_found(s, d)))
+SQL["baseline_fixed"] = f"WITH {_FOUND} SELECT hash, code FROM snap EXCEPT SELECT hash, substr(sha256(rule), 1, 6) FROM found WHERE rule <> 'TODO with no owner'"
 Q["baseline_add"] = lambda s, d: R.keep(_known(s, d), _found(s, d).where("rule = 'Separator banner'"))
 SQL["baseline_add"] = f"WITH {_FOUND} SELECT hash, code FROM known UNION SELECT hash, substr(sha256(rule), 1, 6) FROM found WHERE rule = 'Separator banner'"
 Q["sink_baseline"] = lambda s, d: R.snapshot_lines(R.snapshot(_found(s, d)))

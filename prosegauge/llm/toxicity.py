@@ -31,6 +31,8 @@ ROWS_PER_LABEL = (1600, 400)
 #: An n-gram that fewer texts of the sample have says nothing.
 LEAST_TEXTS = 3
 EPOCHS, RATE = 8, 4.0
+#: Steps of gradient descent that even a small sample gets.
+LEAST_STEPS = 600
 AT_ONCE = 1 << 19
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -148,10 +150,11 @@ def _fit(b: np.ndarray, w: np.ndarray, y: np.ndarray, seed: int) -> tuple[np.nda
     bounds = np.searchsorted(w, np.arange(len(y) + 1))
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32) * len(y)
     order = np.arange(len(y))
-    batch = 256
-    for epoch in range(EPOCHS):
+    batch = 128
+    epochs = max(EPOCHS, -(-LEAST_STEPS * batch // max(1, len(order))))
+    for epoch in range(epochs):
         rng.shuffle(order)
-        rate = RATE * (1 - epoch / EPOCHS)
+        rate = RATE * (1 - epoch / epochs)
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
             rows = rows[bounds[rows + 1] > bounds[rows]]

@@ -213,8 +213,8 @@ SQL["tree"] = f"WITH {_FIND} SELECT rule, file, count(DISTINCT start) AS blocks
 Q["fix_auto"] = lambda s, d: blocks(s, d).join(findings(s, d).where(F.col("rule").isin(*B.DELETABLE) | F.col("category").isin(*B.DELETABLE)), ["file", "start"], "left_semi").select("file", "start", "end")
 _del = ", ".join(map(C.sql_text, B.DELETABLE))
 SQL["fix_auto"] = f'WITH {_FIND} SELECT file, start, "end" FROM bl WHERE (file, start) IN (SELECT (file, start) FROM fi WHERE rule IN ({_del}) OR category IN ({_del}))'
-_deletable = F.col("rule").isin(*B.DELETABLE, "Separator banner") | F.col("category").isin(*B.DELETABLE)
-Q["delete_or_rewrite"] = lambda s, d: findings(s, d).groupBy("file", "start").agg(F.min(F.when(_deletable, 1).otherwise(0)).alias("delete"))
+_deletable = lambda: F.col("rule").isin(*B.DELETABLE, "Separator banner") | F.col("category").isin(*B.DELETABLE)
+Q["delete_or_rewrite"] = lambda s, d: findings(s, d).groupBy("file", "start").agg(F.min(F.when(_deletable(), 1).otherwise(0)).alias("delete"))
 SQL["delete_or_rewrite"] = f"WITH {_FIND} SELECT file, start, min(CASE WHEN rule IN ({_del}, 'Separator banner') OR category IN ({_del}) THEN 1 ELSE 0 END)::INT AS delete FROM fi GROUP BY 1, 2"
 Q["survey"] = lambda s, d: blocks(s, d).groupBy(F.col("role").alias("lang")).agg(F.count("*").alias("comments"), F.countDistinct("file").alias("files"))
 SQL["survey"] = f"WITH {BL} SELECT role AS lang, count(*) AS comments, count(DISTINCT file) AS files FROM bl GROUP BY 1"

@@ -98,9 +98,11 @@ structure AS (SELECT * EXCLUDE (pa, al, li, hd, last), len(pa)::INT AS paragraph
 Q["structure"] = lambda s, d: metrics.structure(C.texts(s, d)).select("doc_id", *_ST)
 SQL["structure"] = f"WITH {C.TEXTS}, morph AS (SELECT * FROM texts), {_STRUCTURE} SELECT doc_id, {', '.join(_ST)} FROM structure"
 
-_stop = "[" + ", ".join(map(C.sql_text, T.PHRASE_STOPWORDS)) + "]"
+_stop = ", ".join(map(C.sql_text, T.PHRASE_STOPWORDS))
 _REPEATS = f"""rp0 AS (SELECT doc_id, regexp_extract_all(lower(text), {sql_re(T.WORD)}) AS w FROM texts),
-rp1 AS (SELECT doc_id, unnest(list_transform(list_filter(range(1, len(w) - 1), lambda i: len(list_filter(w[i:i+2], lambda x: NOT list_contains({_stop}, x))) > 0), lambda i: array_to_string(w[i:i+2], ' '))) AS phrase FROM rp0 WHERE len(w) >= 3),
+rpe AS (SELECT doc_id, unnest(w) AS a, unnest(range(1, len(w) + 1)) AS i FROM rp0 WHERE len(w) >= 3),
+rpl AS (SELECT doc_id, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM rpe WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+rp1 AS (SELECT doc_id, a || ' ' || b || ' ' || c AS phrase FROM rpl WHERE c IS NOT NULL AND NOT (a IN ({_stop}) AND b IN ({_stop}) AND c IN ({_stop}))),
 repeats AS (SELECT doc_id, phrase, count(*)::BIGINT AS n FROM rp1 GROUP BY ALL HAVING count(*) >= {T.REPEATED})"""
 Q["repeats"] = lambda s, d: metrics.repeats(C.texts(s, d))
 SQL["repeats"] = f"WITH {C.TEXTS}, {_REPEATS} SELECT * FROM repeats"

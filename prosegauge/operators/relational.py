@@ -158,8 +158,10 @@ def lift(found: DataFrame, sides: DataFrame, least: int = 20) -> DataFrame:
         *[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("hits"))), F.lit(0)).cast("long").alias(f"{s}_hits") for s in ("ai", "human")],
         F.count_if(F.col("side") == "human").alias("human_docs"),
     )
-    side = lambda s: F.broadcast(sides.where(F.col("side") == s).select(F.col("words").alias(f"{s}_words"), F.col("docs").alias(f"{s}_all")))
-    per = per.where(F.col("ai_hits") + F.col("human_hits") >= least).join(side("ai")).join(side("human"))
+    # both sides as one row, by which every name is divided
+    side = lambda s, c: F.coalesce(F.max(F.when(F.col("side") == s, F.col(c))), F.lit(0))
+    whole = sides.groupBy(F.lit(1).alias("one")).agg(*[side(s, c).alias(f"{s}_{n}") for s in ("ai", "human") for c, n in (("words", "words"), ("docs", "all"))])
+    per = per.where(F.col("ai_hits") + F.col("human_hits") >= least).withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")
     rate = lambda s: F.col(f"{s}_hits") * 100000.0 / F.greatest(F.col(f"{s}_words"), F.lit(1))
     return per.select("name", "ai_hits", "human_hits", rate("ai").alias("ai_rate"), rate("human").alias("human_rate"), F.when(F.col("human_hits") > 0, rate("ai") / rate("human")).alias("lift"), (F.col("human_docs") * 100.0 / F.greatest(F.col("human_all"), F.lit(1))).alias("human_share"))
 

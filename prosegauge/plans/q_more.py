@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions import text as T
 from prosegauge.operators import blocks as B
-from prosegauge.operators import comments, reports, scoring
+from prosegauge.operators import comments, matching, metrics, reports, scoring
+from prosegauge.operators import relational as R
 from prosegauge.plans import corpus as C
 from prosegauge.plans import q_blocks, q_text
-from prosegauge.plans.ruleset import load_rules
+from prosegauge.plans.ruleset import RuleSet, allowed, load_rules
+from prosegauge.sources import paths as P
 from prosegauge.sources.work import work_folder
 from prosegauge.streaming import hook
 
@@ -85,3 +87,52 @@ Q["clean_llm_answer"] = lambda s, d: C.table(s, d, "documents").select("doc_id",
 _REFUSALS = ["429 too many, retry in 7 s", "Rate limit: retry after 12s", "rate limit", "500 oops retry in 3 s", "status 429", ""]
 Q["retry_after"] = lambda s, d: C.table(s, d, "documents").select("doc_id", comments.retry_after(C.pick(_REFUSALS, F.col("doc_id"))).alias("seconds"))
 SQL["retry_after"] = f"WITH r AS (SELECT doc_id, {C.sql_pick(_REFUSALS, 'doc_id')} AS m FROM documents), n AS (SELECT doc_id, m, coalesce(try_cast(nullif(regexp_extract(m, 'retry (?:in|after) (\\d+)\\s*s', 1), '') AS INT), 0) AS x FROM r) SELECT doc_id, CASE WHEN contains(m, '429') OR contains(lower(m), 'rate limit') THEN CASE WHEN x > 0 THEN x + 1 ELSE 15 END END AS seconds FROM n"
+
+# --- rules by kind, listings, slices ------------------------------------------------
+
+
+def _scan(rules):
+    """The query and its SQL for some rules of the Russian set."""
+    part = RuleSet("ru", {}, {}, tuple(rules), "")
+    query = lambda s, d: matching.hits(C.texts(s, d), list(rules)).select("doc_id", "category", "rule", "count")
+    return query, f"WITH {C.TEXTS}, {q_text.sql_hits(part)} SELECT doc_id, category, rule, n AS count FROM hits JOIN rules USING (rule_no)"
+
+
+for _name, _rules in (
+    ("scan_hard_bans", _ru.bans),
+    ("scan_markers", _ru.markers),
+    ("match_lit", [r for r in _ru.rules if r.kind == "lit"]),
+    ("match_re", [r for r in _ru.rules if r.kind == "re"]),
+    ("match_word_re", [r for r in _ru.rules if r.kind == "word_re"]),
+    ("allow_rule", allowed(list(_ru.rules), only=["Calques", "em dash", "Bureaucratese"], disable=["является", "В РАМКАХ"])),
+):
+    Q[_name], SQL[_name] = _scan(_rules)
+
+_own = [(r.category, r.name, r.lift) for r in _ru.markers]
+Q["lift_inherit"] = lambda s, d: s.createDataFrame([(c, n, 0.0 if k % 2 else v, v) for k, (c, n, v) in enumerate(_own)], "category string, rule string, own double, of_category double").select("category", "rule", R.inherited(F.col("own"), F.col("of_category")).alias("lift"))
+SQL["lift_inherit"] = "SELECT category, rule, coalesce(nullif(own, 0), of_category, 0.0)::DOUBLE AS lift FROM (VALUES " + ", ".join(f"({C.sql_text(c)}, {C.sql_text(n)}, {0.0 if k % 2 else v}::DOUBLE, {v}::DOUBLE)" for k, (c, n, v) in enumerate(_own)) + ") AS t(category, rule, own, of_category)"
+
+
+def markup_route(s, d):
+    """Files with markup lose it first; others are taken as they are."""
+    files = C.files(s, d).select("doc_id", "path", F.concat("text", F.lit("\n\n"), C.pick(C.SNIPPETS, F.col("doc_id"))).alias("text"))
+    routed = metrics.strip_markup(files.where(P.is_markup(F.col("path")))).unionByName(files.where(~P.is_markup(F.col("path"))))
+    return routed.select("doc_id", F.sha2("text", 256).alias("sha"))
+
+
+Q["src_markup_route"] = markup_route
+SQL["src_markup_route"] = f"WITH {C.TEXTS}, {q_text._strip_sql('texts')}, {C.FILES} SELECT doc_id, sha256(CASE WHEN regexp_matches(lower(path), '\\.(md|mdx|markdown)$') THEN stripped.text ELSE texts.text END) AS sha FROM texts JOIN stripped USING (doc_id) JOIN files USING (doc_id)"
+
+_at = "(doc_id % 7 + 1)"
+Q["code_around"] = lambda s, d: C.texts(s, d).select("doc_id", F.array_join(F.slice(T.lines(F.col("text")), F.greatest(F.lit(1), F.expr(_at).cast("int") - 2), F.least(F.lit(5), F.expr(_at).cast("int") + 2)), "\n").alias("around"))
+SQL["code_around"] = f"WITH {C.TEXTS} SELECT doc_id, array_to_string(string_split(text, chr(10))[greatest(1, {_at} - 2):greatest(1, {_at} - 2) + least(5, {_at} + 2) - 1], chr(10)) AS around FROM texts"
+Q["is_doc"] = lambda s, d: q_blocks.blocks(s, d).groupBy("doc").agg(F.count("*").alias("n"))
+SQL["is_doc"] = f"WITH {q_blocks.BL} SELECT doc, count(*) AS n FROM bl GROUP BY 1"
+Q["rule_code"] = lambda s, d: C.table(s, d, "documents").select("source").distinct().select("source", T.rule_code(F.col("source")).alias("code"))
+SQL["rule_code"] = "SELECT DISTINCT source, substr(sha256(source), 1, 6) AS code FROM documents"
+Q["src_year_slices"] = lambda s, d: C.table(s, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("last"), F.count("*").alias("n")).select("year", F.col("last.o_orderkey").alias("revision"), "n")
+SQL["src_year_slices"] = "SELECT year(o_orderdate)::INT AS year, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS revision, count(*) AS n FROM orders GROUP BY 1"
+Q["sort_items"] = lambda s, d: q_blocks.items(s, d).orderBy(F.col("score").desc(), "file", "start").select("id", "score")
+SQL["sort_items"] = f"WITH {q_blocks._ITEMS} SELECT id, score FROM items"
+Q["weight"] = lambda s, d: s.createDataFrame([(r.name, r.lift, r.hard) for r in _ru.rules], "rule string, lift double, hard boolean").select("rule", B.weight(F.col("lift"), F.col("hard")).alias("weight"))
+SQL["weight"] = f"SELECT rule, {q_blocks._weight}::INT AS weight FROM (VALUES " + ", ".join(f"({C.sql_text(r.name)}, {r.lift}::DOUBLE, {r.hard})" for r in _ru.rules) + ") AS t(rule, lift, hard)"

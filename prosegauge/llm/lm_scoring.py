@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from prosegauge.llm.common import fold, small_batches, staged, whole, work_folder
 
 #: Dishes of their own, context restaurants, and the longest such word in bytes.
-HOT_WORDS, CONTEXTS, LONGEST_HOT = 8192, 256, 64
+HOT_WORDS, CONTEXTS, LONGEST_HOT = 8192, 64, 64
 BURN_IN, SAMPLES, BETWEEN = 12, 3, 4
 END = b"\n"  # no word has white space
 
@@ -68,11 +68,11 @@ class Level:
 
     def _spread(self) -> None:
         """Sizes of the tables of each cell: one customer at each, the others in shares."""
-        self.cell = np.repeat(np.arange(len(self.count)), self.tables)
+        self.cell = np.repeat(np.arange(len(self.count), dtype=np.int32), self.tables)
         share = self.rng.gamma(1 - self.discount, size=len(self.cell)) + 1e-12
         whole_ = np.bincount(self.cell, weights=share, minlength=len(self.count))
         rest = (self.count - self.tables)[self.cell]
-        self.size = 1 + np.floor(rest * share / whole_[self.cell]).astype(np.int64)
+        self.size = 1 + np.floor(rest * share / whole_[self.cell]).astype(np.int32)
         short = self.count - np.bincount(self.cell, weights=self.size, minlength=len(self.count)).astype(np.int64)
         first = np.cumsum(self.tables) - self.tables
         some = self.tables > 0
@@ -80,7 +80,7 @@ class Level:
 
     def _pick(self, cells: np.ndarray) -> np.ndarray:
         """A table of each cell, by its size."""
-        edge = np.cumsum(self.size)
+        edge = np.cumsum(self.size, dtype=np.int64)
         by_cell = np.bincount(self.cell, weights=self.size, minlength=len(self.count)).astype(np.int64)
         start = np.cumsum(by_cell) - by_cell
         at = start[cells] + (self.rng.random(len(cells)) * by_cell[cells]).astype(np.int64)
@@ -109,10 +109,8 @@ class Level:
             waiting = waiting[~yes]
         self.count[cells] += 1
         self.tables[cells[opens]] += 1
-        self.cell = np.concatenate((self.cell, cells[opens]))
-        self.size = np.concatenate((self.size, np.ones(int(opens.sum()), dtype=np.int64)))
-        order = np.argsort(self.cell, kind="stable")
-        self.cell, self.size = self.cell[order], self.size[order]
+        at = np.searchsorted(self.cell, cells[opens], side="right")
+        self.cell, self.size = np.insert(self.cell, at, cells[opens]), np.insert(self.size, at, 1)
 
     def sweep(self, base: np.ndarray) -> None:
         """Gibbs: of every cell with a choice, one customer leaves and sits down again."""
@@ -282,8 +280,9 @@ def train(docs: DataFrame, folder: str, hot_words: int = HOT_WORDS, contexts: in
         cells = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n[cells])], ["cell", "n"])
 
-    pairs = texts.mapInArrow(follow, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
-    cell, n = pairs["cell"].to_numpy(dtype=np.int64), pairs["n"].to_numpy(dtype=np.int64)
+    pairs = texts.mapInArrow(follow, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")
+    cell, n = pairs["cell"].to_numpy(), pairs["n"].to_numpy()
+    del pairs
     rest, dish = cell // dishes, cell % dishes
     shared, up = np.unique(dish, return_inverse=True)
     probability = np.zeros((contexts + 1, dishes))

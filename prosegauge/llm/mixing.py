@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prosegauge.llm.common import WORD, offsets, power_of_two, staged, work_folder
+from prosegauge.llm.common import WORD, offsets, staged, work_folder
 
-#: Documents of one source and size class share a window task up to about this many.
-ROWS_PER_CELL = 1 << 16
+#: Documents of one source and size class are spread over this many cells, by a hash of their id.
+SALTS = 1 << 12
 
 
 def size_of(text: Column) -> Column:
@@ -63,10 +63,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
     `row`, so their names can't clash.  Null or repeated doc_id are only ties of the order.
     """
     spark = docs.sparkSession
-    salts = power_of_two(-(-docs.count() // ROWS_PER_CELL))
     # keys sort by code point (UTF-8 bytes do), null last
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    salt = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(salts))
+    salt = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(SALTS)
     rows = docs.select(F.struct("*").alias("row"), key.alias("key"), size_of(F.col("text")).alias("__size"), F.col("doc_id").alias("__id"), salt.alias("salt"))
     rows = rows.withColumn("step", size_class(F.col("__size")))
     folder = work_folder(spark)

@@ -85,10 +85,9 @@ WITH r AS (
          CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
   FROM documents),
-n AS (SELECT CASE WHEN count(*) <= 65536 THEN 1 ELSE (2 ** ceil(log2(ceil(count(*) / 65536.0))))::BIGINT END AS salts FROM r),
 c AS (
-  SELECT *, CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 8 + (size >> (length(bin(size)) - 4)::BIGINT) % 8 END AS step, h % salts AS salt
-  FROM r, n),
+  SELECT *, CASE WHEN size < 16 THEN size ELSE length(bin(size)) * 8 + (size >> (length(bin(size)) - 4)::BIGINT) % 8 END AS step, h % 4096 AS salt
+  FROM r),
 s0 AS (SELECT key, sum(size)::BIGINT AS source_size FROM r GROUP BY key),
 s1 AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY key) - 1) % 3 + 1)::INT] AS w, source_size * 2.0::DOUBLE AS cap, row_number() OVER (ORDER BY key) AS place FROM s0),
 s2 AS (SELECT *, sum(source_size) OVER () * 1.5::DOUBLE AS budget, sum(w) OVER () AS allw,

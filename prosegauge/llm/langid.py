@@ -24,6 +24,8 @@ NGRAM = 4
 POSITIONS, HASHES = 1 << 20, 3
 #: The bounded sample that the filters are fitted on: texts of each language, and n-grams kept of each.
 TEXTS_PER_LANGUAGE, NGRAMS_PER_LANGUAGE = 600, 60_000
+#: The languages with the most texts are learned, up to so many.
+MOST_LANGUAGES = 1024
 #: An n-gram belongs to a language if this share of the language's sampled texts has it.
 LEAST_SHARE = 0.02
 #: Code points worked on at once.
@@ -133,8 +135,10 @@ def train(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, grams: int = NGRAMS_
     What comes to the driver is `grams` hashes of each language at most.
     """
     small_batches(docs.sparkSession)
-    rows = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("lang", "text", F.xxhash64("text").alias("order"))
-    # the rank is taken in two steps, so that a frequent language is first thinned where it lies
+    known = docs.where(F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("text", "doc_id").alias("order"))
+    # thinned where it lies, by a threshold on the hash that leaves about twice the sample of each language
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).withColumn("limit", (F.lit(2.0 * texts) / F.col("n") - 0.5) * F.lit(2.0**64))
+    rows = known.join(F.broadcast(sizes.orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)), "lang").where((F.col("order") < F.col("limit")) & has_letter(F.col("text")))
     order = Window.partitionBy("lang").orderBy("order", "text")
     picked = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= texts).select("lang", "text")
     picked = picked.repartition(F.xxhash64("text"))
@@ -144,7 +148,7 @@ def train(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, grams: int = NGRAMS_
     counts = counts.withColumn("texts", F.max(F.when(F.col("h").isNull(), F.col("n"))).over(size)).where("h is not null")
     counts = counts.where(F.col("n") >= F.greatest(F.lit(1), F.col("texts") * F.lit(share)))
     top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "h"))).where(F.col("place") <= grams)
-    found = top.select("lang", "h").toPandas()
+    found = top.select("lang", "h").toArrow().to_pandas()
     if not len(found):
         return None
     languages = sorted(found["lang"].unique())

@@ -106,11 +106,33 @@ def _changes(codes: np.ndarray, begin: np.ndarray, word_at: np.ndarray) -> np.nd
     return np.concatenate(([True], code[1:] != code[:-1]))
 
 
-def _sorted(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams, window by window."""
-    b, w = (np.concatenate([g[k] for g in grams]) for k in (0, 1))
-    order = np.argsort(w, kind="stable")
-    return b[order], w[order].astype(np.int64)
+def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about AT_ONCE characters."""
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) <= AT_ONCE):
+            size += len(texts[upto])
+            upto += 1
+        yield at, upto
+        at = upto
+
+
+def _all_subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All n-grams, window by window; the text of every window; and of how many texts each bucket is."""
+    bs, ws, ts, texts_with = [], [], [], np.zeros(BUCKETS, dtype=np.int32)
+    windows = 0
+    for at, upto in _batches(texts):
+        grams, text_of = subwords(texts[at:upto])
+        b, w = (np.concatenate([g[k] for g in grams]) for k in (0, 1))
+        order = np.argsort(w, kind="stable")
+        b, w = b[order], w[order]
+        texts_with += np.bincount(np.unique(text_of[w].astype(np.int64) * BUCKETS + b) % BUCKETS, minlength=BUCKETS).astype(np.int32)
+        bs.append(b)
+        ws.append(w + np.int32(windows))
+        ts.append((text_of + at).astype(np.int32))
+        windows += len(text_of)
+    return np.concatenate(bs), np.concatenate(ws), np.concatenate(ts), texts_with
 
 
 def _mean(values: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
@@ -181,14 +203,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     y_text = np.array(labels, dtype=np.int64)
     if not len(texts) or y_text.min() == y_text.max():
         return Model(np.zeros(BUCKETS, dtype=np.float32), -4.0 if not len(texts) or y_text.max() == 0 else 4.0)
-    grams, text_of = subwords(texts)
-    b, w = _sorted(grams)
+    b, w, text_of, texts_with = _all_subwords(texts)
     y = y_text[text_of]
-    pairs = np.unique(text_of[w].astype(np.int64) * BUCKETS + b)
-    known = np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= min(LEAST_TEXTS, len(texts))
+    known = texts_with >= min(LEAST_TEXTS, len(texts))
     for _ in range(2):
         use = y >= 0
-        renumber = np.cumsum(use) - 1
+        renumber = (np.cumsum(use) - 1).astype(np.int32)
         mine = use[w]
         logit, bias = _fit(b[mine], renumber[w[mine]], y[use], seed)
         logit[~known] = 0
@@ -219,8 +239,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = ROWS_PER_
 
 def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = ROWS_PER_LABEL) -> Model:
     """Fit on the driver on sample(); a label whose doc_id has no document, or a null one, teaches nothing."""
-    got = sample(docs, labels, rows).orderBy("doc_id").limit(sum(rows)).toPandas()
-    return fit(got["text"].tolist(), got["toxic"].tolist())
+    got = sample(docs, labels, rows).orderBy("doc_id").limit(sum(rows)).toArrow()
+    return fit(got["text"].to_pylist(), got["toxic"].to_pylist())
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -238,14 +258,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = said.value
         for b in batches:
-            texts, scores, at = b.column("text").to_pylist(), [], 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) <= AT_ONCE):
-                    size += len(texts[upto])
-                    upto += 1
-                scores.append(m.score(texts[at:upto]))
-                at = upto
+            texts = b.column("text").to_pylist()
+            scores = [m.score(texts[at:upto]) for at, upto in _batches(texts)]
             s = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

@@ -24,8 +24,6 @@ NGRAM = 4
 POSITIONS, HASHES = 1 << 20, 3
 #: The bounded sample that the filters are fitted on: texts of each language, and n-grams kept of each.
 TEXTS_PER_LANGUAGE, NGRAMS_PER_LANGUAGE = 600, 60_000
-#: The languages with the most texts are learned, up to so many.
-MOST_LANGUAGES = 1024
 #: An n-gram belongs to a language if this share of the language's sampled texts has it.
 LEAST_SHARE = 0.02
 #: Code points worked on at once.
@@ -132,13 +130,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, grams: int = NGRAMS_PER_LANGUAGE, share: float = LEAST_SHARE) -> Filters | None:
     """docs (text, lang): fit on `texts` texts of each language, chosen by hash.  None without any labelled text.
 
-    What comes to the driver is `grams` hashes of each language at most.
+    Only texts with a letter count.  What comes to the driver is `grams` hashes of each language at most.
     """
     small_batches(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull()).select("lang", "text", F.xxhash64("text", "doc_id").alias("order"))
+    known = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("lang", "text", F.xxhash64("text", "doc_id").alias("order"))
     # thinned where it lies, by a threshold on the hash that leaves about twice the sample of each language
     sizes = known.groupBy("lang").agg(F.count("*").alias("n")).withColumn("limit", (F.lit(2.0 * texts) / F.col("n") - 0.5) * F.lit(2.0**64))
-    rows = known.join(F.broadcast(sizes.orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES)), "lang").where((F.col("order") < F.col("limit")) & has_letter(F.col("text")))
+    rows = known.join(F.broadcast(sizes), "lang").where(F.col("order") < F.col("limit"))
     order = Window.partitionBy("lang").orderBy("order", "text")
     picked = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= texts).select("lang", "text")
     picked = picked.repartition(F.xxhash64("text"))
@@ -160,7 +158,7 @@ def identified(docs: DataFrame, filters: Filters | None, keep: tuple[str, ...] =
 
     `und` with score 0 if the text is null or has no letter, or if nothing was learned.  A text none of whose
     n-grams is known gets the first language with score 0.  Whole texts are read; rows may repeat; an empty
-    table gives an empty result.  The broadcast filter has a fixed size.
+    table gives an empty result.  What is broadcast grows with the number of languages alone.
     """
     spark = docs.sparkSession
     small_batches(spark)

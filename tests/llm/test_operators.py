@@ -313,6 +313,16 @@ def test_langid(docs, nothing, rows):
     assert {r["lang_pred"] for r in langid.identified(docs, None).collect()} == {"und"}
 
 
+def test_langid_learns_from_texts_with_letters(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(langid.Filters, "fit", classmethod(lambda cls, languages, grams, m=0: learned.extend(zip(languages, map(len, grams), strict=True))))
+    own = lambda k: "".join(chr(97 + int(c)) for c in f"{k:06d}")
+    rows = [(k, own(k), "xx") for k in range(40)] + [(1000 + k, None if k % 2 else "12 34", "xx") for k in range(4000)]
+    rows += [(10_000 + k, own(k), f"l{k:04d}") for k in range(1100)]
+    langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), texts=20, share=0.0)
+    assert len(learned) == 1101 and dict(learned)["xx"] >= 20
+
+
 def test_filters_hold_all(spark):
     rng = np.random.default_rng(2)
     own = [rng.integers(0, 2**62, 500) for _ in range(70)]

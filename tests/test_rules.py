@@ -90,3 +90,13 @@ def test_needed():
     assert T.needed("abc|de") == [] and T.needed("abc|defg") == ["abc", "defg"]
     assert T.needed("abcd?ef") == ["abc"] and T.needed("(?:abc)x") == [] and T.needed(r"\p{L}abc+d") == ["abc"]
     assert T.needed(r"ab{2}cdef") == ["cdef"] and T.needed("[abc]+") == [] and T.needed(r"a\.b") == ["a.b"]
+
+
+def test_english_set_is_whole(spark):
+    rs = load_rules("en")
+    assert len(rs.bans) == 22 and len(rs.markers) == 338 and len({r.category for r in rs.markers}) == 52
+    assert "Tier 3 vocabulary" in rs.muted("code")[1] and "realm(s)" in rs.muted("commit")[2]
+    said = [("tapestry", "A rich tapestry."), ("realm(s)", "in the realm of build tooling"), ("studies show/suggest/indicate", "Studies show it."), ("interesting part/thing: (line opener)", "So.\n interesting part: x")]
+    docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(said)] + [(9, "real estate data")], "doc_id int, text string")
+    found = {(r["doc_id"], r["rule"]): r["count"] for r in matching.hits(docs, list(rs.rules)).collect()}
+    assert all(found.get((k, rule)) == 1 for k, (rule, _) in enumerate(said)) and not any(k == 9 for k, _ in found)

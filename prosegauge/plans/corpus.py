@@ -92,11 +92,6 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXTS = f"texts AS (SELECT doc_id, text || chr(10) || chr(10) || {sql_pick(SNIPPETS, 'doc_id')} AS text, lang, source FROM documents)"
 
 
-def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text: the snippets alone, one for each document, for rules whose SQL would take long on whole texts."""
-    return table(spark, sf_dir, "documents").select("doc_id", pick(SNIPPETS, F.col("doc_id")).alias("text"))
-
-
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, start, end, lines, raw, next: a comment block for each turn of a conversation, in a file for each conversation."""
     turns = table(spark, sf_dir, "conversations")

@@ -113,9 +113,8 @@ SELECT doc_id, coalesce(r, 0)::BIGINT AS repeats, CASE WHEN len(w) >= 3 THEN {sq
 _share = rf"CASE WHEN {sql_count('text', chr(92) + 'p{L}')} = 0 THEN 0.0 ELSE {sql_count('text', '[' + T.CYRILLIC + ']')}::DOUBLE / {sql_count('text', chr(92) + 'p{L}')} END"
 Q["cyrillic_share"] = lambda s, d: C.texts(s, d).select("doc_id", T.cyrillic_share(F.col("text")).alias("share"), (T.cyrillic_share(F.col("text")) < 0.3).alias("not_russian"))
 SQL["cyrillic_share"] = f"WITH {C.TEXTS} SELECT doc_id, {_share} AS share, {_share} < 0.3 AS not_russian FROM texts"
-Q["lang_of_text"] = lambda s, d: C.snippets(s, d).select("doc_id", T.language(F.col("text")).alias("lang"))
-_SNIP = f"snips AS (SELECT doc_id, {C.sql_pick(C.SNIPPETS, 'doc_id')} AS text FROM documents)"
-SQL["lang_of_text"] = f"WITH {_SNIP} SELECT doc_id, CASE WHEN {_share} >= 0.3 THEN 'ru' ELSE 'en' END AS lang FROM snips"
+Q["lang_of_text"] = lambda s, d: C.texts(s, d).select("doc_id", T.language(F.col("text")).alias("lang"))
+SQL["lang_of_text"] = f"WITH {C.TEXTS} SELECT doc_id, CASE WHEN {_share} >= 0.3 THEN 'ru' ELSE 'en' END AS lang FROM texts"
 
 Q["norm_hash"] = lambda s, d: C.texts(s, d).select("doc_id", T.norm_hash(F.col("text")).alias("hash"))
 _hash = lambda t: f"substr(sha256(array_to_string(list_filter(regexp_split_to_array({t}, {sql_re(f'[{T.SPACE}]+')}), lambda w: w <> ''), ' ')), 1, 12)"

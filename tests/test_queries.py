@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from prosegauge.plans import corpus as C
 from prosegauge.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +41,13 @@ def test_query(spark, duck, name):
     assert got == Counter(tuple(norm(r[k]) for k in at) for r in want.fetchall())
 
 
+def test_language_of_whole_texts(spark):
+    got = {r["doc_id"]: r["lang"] for r in registry.QUERIES["lang_of_text"](spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in C.texts(spark, SF).collect()}
+    russian = lambda t: (n := sum(c.isalpha() for c in t)) and sum("а" <= c.lower() <= "я" or c in "Ёё" for c in t) / n >= 0.3
+    assert got == {k: "ru" if t is not None and russian(t) else "en" for k, t in texts.items()}
+
+
 def test_registry():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

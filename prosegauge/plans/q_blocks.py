@@ -145,15 +145,13 @@ _commit = [
 ]
 SQL["commit_checks"] = f"WITH {C.COMMITS} " + " UNION ALL ".join(f"SELECT file, {C.sql_text(n)} AS rule FROM commits WHERE {c}" for n, c in _commit)
 
-_SKIP = ("builtin",)
-
 
 def _sets():
     return [("ru", T.language(F.col("text")) == "ru"), ("en", T.language(F.col("text")) == "en"), ("code", F.lit(True))]
 
 
 def rule_findings(s, d):
-    return B.rule_findings(_live(s, d), [(load_rules(n), where) for n, where in _sets()], skip=_SKIP)
+    return B.rule_findings(_live(s, d), [(load_rules(n), where) for n, where in _sets()])
 
 
 Q["rule_findings"] = rule_findings
@@ -163,7 +161,7 @@ def _rule_findings_sql() -> str:
     out, ctes = [], [BL, _struct_sql(), f"lang AS (SELECT *, row_number() OVER () AS doc_id, {sql_share} >= 0.3 AS ru, len({W}) AS words FROM live)"]
     for n, where in (("ru", "ru"), ("en", "NOT ru"), ("code", "true")):
         rs = load_rules(n)
-        rules = [r for r in rs.rules if not rs.is_muted(r, "code") and r.kind not in _SKIP]
+        rules = [r for r in rs.rules if not rs.is_muted(r, "code")]
         part = RuleSet(n, {}, rs.freq_bans, tuple(rules), "")
         lines = sql_lines(rules, f"lang WHERE {where} AND").replace(f"FROM lang WHERE {where} AND WHERE", f"FROM lang WHERE {where} AND")
         for k in ("l0", "l1", "l2", "hits", "rules", "h0"):

@@ -274,18 +274,40 @@ SQL["top_markers"] = f"""WITH {C.TEXTS}, {sql_hits(_ru_markers)}, p AS (SELECT d
 SELECT doc_id, place, category, rule, n AS count, CASE WHEN row_number() OVER (PARTITION BY doc_id, category ORDER BY place) = 1 THEN fix ELSE '' END AS shown_fix FROM p WHERE place <= 12"""
 
 
+def sql_builtin_lines(rule, source: str) -> str:
+    """m, s and k as in sql_lines, without look-around."""
+    name = rule.pattern
+    if name == "en_dash":
+        text, p = "text", "'–'"
+        k = "list_transform(range(1, len(m) + 1), lambda j: NOT (regexp_matches(s[j], '[0-9] *$') AND regexp_matches(s[j + 1], '^ *[0-9]')))"
+    elif name == "latin_in_cyrillic":
+        # letters doubled, so that neighbours can share one
+        text, p = f"regexp_replace(text, '([{T.CYRILLIC}])', '\\1\\1', 'g')", f"'[{T.CYRILLIC}][a-z][{T.CYRILLIC}]'"
+        k = "NULL::BOOLEAN[]"
+    else:
+        text, p = "text", sql_re(FAKE_RANGE)
+        x, y = (f"regexp_extract(m[j], {p}, {n})" for n in (1, 2))
+        k = f"list_transform(range(1, len(m) + 1), lambda j: lower({x}) <> lower({y}) AND NOT regexp_matches({x}, '^\\p{{Lu}}') AND NOT regexp_matches({y}, '^\\p{{Lu}}'))"
+    pieces = f"SELECT doc_id, regexp_extract_all({text}, {p}) AS m, regexp_split_to_array({text}, {p}) AS s FROM {source}"
+    pieces = pieces if pieces.endswith(" AND") else f"{pieces} WHERE"
+    return f"SELECT doc_id, {C.sql_text(rule.name)} AS rule, m, s, {k} AS k FROM ({pieces} regexp_matches({text}, {p}))"
+
+
 def sql_lines(rules, source="texts") -> str:
-    """Places by pieces between matches; builtins with look-around are left to tests."""
+    """Places by pieces between matches; of builtins, with the matches that count as `k`."""
     parts = []
     for r in rules:
+        if r.kind == "builtin":
+            parts.append(sql_builtin_lines(r, source))
+            continue
         p = sql_re(r.re2)
-        parts.append(f"SELECT doc_id, {C.sql_text(r.name)} AS rule, regexp_extract_all(text, {p}) AS m, regexp_split_to_array(text, {p}) AS s FROM {source} WHERE regexp_matches(text, {p})")
+        parts.append(f"SELECT doc_id, {C.sql_text(r.name)} AS rule, regexp_extract_all(text, {p}) AS m, regexp_split_to_array(text, {p}) AS s, NULL::BOOLEAN[] AS k FROM {source} WHERE regexp_matches(text, {p})")
     nl = lambda x: f"(length({x}) - length(replace({x}, chr(10), '')))"
     lead = "regexp_extract(m[i], '^([^\\p{L}\\p{Nd}]*)[\\p{L}\\p{Nd}]', 1)"
     at = f"coalesce(list_sum(list_transform(s[1:i], lambda x: {nl('x')})), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: {nl('x')})), 0) + {nl(lead)} + 1"
-    return f"l0 AS ({' UNION ALL '.join(parts)}), l1 AS (SELECT doc_id, rule, unnest(range(1, len(m) + 1)) AS i, m, s FROM l0), l2 AS (SELECT doc_id, rule, ({at})::BIGINT AS line FROM l1)"
+    return f"l0 AS ({' UNION ALL '.join(parts)}), l1 AS (SELECT doc_id, rule, unnest(list_filter(range(1, len(m) + 1), lambda j: k IS NULL OR k[j])) AS i, m, s FROM l0), l2 AS (SELECT doc_id, rule, ({at})::BIGINT AS line FROM l1)"
 
 
-_plain_bans = [r for r in load_rules("ru").bans if r.kind != "builtin"]
-Q["fill_lines"] = lambda s, d: matching.with_lines(matching.hits(C.texts(s, d), _plain_bans)).select("doc_id", "rule", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
-SQL["fill_lines"] = f"WITH {C.TEXTS}, {sql_lines(_plain_bans)}, u AS (SELECT DISTINCT * FROM l2) SELECT doc_id, rule, string_agg(line::VARCHAR, ',' ORDER BY line) AS lines FROM u GROUP BY 1, 2"
+_bans = load_rules("ru").bans
+Q["fill_lines"] = lambda s, d: matching.with_lines(matching.hits(C.texts(s, d), _bans)).select("doc_id", "rule", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
+SQL["fill_lines"] = f"WITH {C.TEXTS}, {sql_lines(_bans)}, u AS (SELECT DISTINCT * FROM l2) SELECT doc_id, rule, string_agg(line::VARCHAR, ',' ORDER BY line) AS lines FROM u GROUP BY 1, 2"

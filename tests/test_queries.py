@@ -10,6 +10,7 @@ import pytest
 import __spark_entry__
 from prosegauge.plans import corpus as C
 from prosegauge.plans import registry
+from prosegauge.plans.ruleset import load_rules
 
 SF = "/root/testdata/sf0.001"
 FEW = ["rhythm", "word_lengths", "morph", "structure", "repeats", "cyrillic_share", "norm_hash", "scan_ru", "scan_code", "score", "genre_mute", "fill_lines", "top_markers", "builtin_en_dash", "strip_markup", "struct_checks", "commit_checks", "touching", "text_copies", "pair_match", "merge_spans", "fix_batch", "baseline_new", "baseline_fixed", "calibrate_percentiles", "clones", "erosion", "lift", "fn_lang_of", "pred_allow", "src_git_log", "src_git_diff", "unseen", "retry_after"]
@@ -41,6 +42,22 @@ def test_query(spark, duck, name):
     assert got == Counter(tuple(norm(r[k]) for k in at) for r in want.fetchall())
 
 
+def test_builtin_rules_have_findings(spark, duck, monkeypatch):
+    from prosegauge.plans import q_blocks, q_text
+
+    texts = ["Проверка от идеи\nдо продукта здесь", "Слово\nпрoвeрка слова\nи пaрa", "от Москвы до Твери, от зари до зари", "Путь от ума до сердца\nи от слов до дела", "тире – тут\nс 5 – 7 и 8 – да"]
+    b = spark.createDataFrame([("f", k * 10 + 1, t, False, "") for k, t in enumerate(texts)], "file string, start int, text string, doc boolean, next string")
+    monkeypatch.setattr(q_blocks, "_live", lambda s, d: b)
+    fake, latin = "от X до Y (ложный диапазон)", "Latin inside a Cyrillic word"
+    want = [(1, fake), (12, latin), (13, latin), (31, fake), (32, fake)]
+    got = q_blocks.rule_findings(spark, "").collect()
+    assert sorted((r["line"], r["rule"]) for r in got if r["rule"] in (fake, latin)) == want
+    duck.sql("create or replace temp table t as select * from (values " + ", ".join(f"({k * 10 + 1}, '{t}')" for k, t in enumerate(texts)) + ") v(doc_id, text)")
+    rules = [r for r in load_rules("ru").rules if r.kind == "builtin"]
+    lines = duck.sql(f"WITH {q_text.sql_lines(rules, 't')} SELECT DISTINCT doc_id + line - 1, rule FROM l2").fetchall()
+    assert sorted((int(n), r) for n, r in lines) == sorted([*want, (41, "En dash"), (42, "En dash")])
+
+
 def test_language_of_whole_texts(spark):
     got = {r["doc_id"]: r["lang"] for r in registry.QUERIES["lang_of_text"](spark, SF).collect()}
     texts = {r["doc_id"]: r["text"] for r in C.texts(spark, SF).collect()}

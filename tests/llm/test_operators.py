@@ -357,3 +357,10 @@ def test_windows_number_words():
     assert text_of.tolist() == [0, 1, 2, 3, 3, 3, 4]
     seen = np.unique(np.concatenate([w for _, w in grams]))
     assert seen.tolist() == [0, 2, 3, 4, 5]
+
+
+def test_lm_contexts_past_the_most_frequent(spark, tmp_path):
+    rows = [(" ".join(f"a{k:03d} b{k:03d}" for k in range(n, n + 10)),) for n in range(0, 100, 10) for _ in range(20)]
+    model, _ = lm_scoring.train(spark.createDataFrame(rows, "text string"), f"file://{tmp_path}")
+    ids = model.frequent.ids
+    assert ids[b"a090"] < model.contexts and model.dish_log10[ids[b"a090"], ids[b"b090"]] > -0.3

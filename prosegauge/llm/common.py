@@ -22,10 +22,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where a session names none (tests, a laptop) a temporary folder takes its place.
+    Only a local session that names none (tests, a laptop) gets a temporary folder instead.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="prosegauge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/prosegauge/{uuid.uuid4().hex}"
@@ -37,6 +39,13 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Remove staged tables that no plan reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, unless the session has bounds of its own."""
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)), ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import small_batches, staged, whole, work_folder
+from prosegauge.llm.common import dropped, small_batches, staged, whole, work_folder
 
 SHINGLE, BITS, ERRORS = 3, 64, 3
 #: A key with more fingerprints than this is compared in blocks of BLOCK.
@@ -186,6 +186,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select("v", "m").unionByName(least.select(F.col("u").alias("v"), "m"))
+        dropped(spark, f"{folder}/large{k - 1}", f"{folder}/small{k - 2}")
         edges = staged(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{folder}/small{k}")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -205,6 +206,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rows = staged(fingerprinted(docs), f"{folder}/fps")
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), f"{folder}/distinct")
     labels = staged(components(links(fps, folder), folder), f"{folder}/labels")
+    dropped(docs.sparkSession, f"{folder}/keys", f"{folder}/shared", f"{folder}/edges")
     linked = fps.join(labels, fps["fp"] == labels["node"]).select("fp", "label", "least")
     groups = linked.groupBy("label").agg(F.min("least").alias("component_id"))
     linked = linked.join(groups, "label").select("fp", "component_id")

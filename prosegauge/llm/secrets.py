@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from prosegauge.llm.common import staged, whole, work_folder
 
@@ -36,28 +37,37 @@ RULES = (
 )
 
 
-def spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end>> in code points.  The pieces between matches give where they stand."""
-    found = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    pieces = F.split(text, rule.regex, -1)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+def spans(blobs: DataFrame, rules: tuple[Rule, ...], wanted: dict[Rule, Column]) -> DataFrame:
+    """blobs (blob, text) -> blob, kind, version, spans: array<struct<start, end>> in code points, by start.
 
-    def span(m: Column, k: Column) -> Column:
-        start = total(F.slice(pieces, F.lit(1), k + 1)) + total(F.slice(found, F.lit(1), k))
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), F.element_at(kept, k + 1).alias("said"))
+    Every regex runs over a text a fixed number of times.  Matches stand where the pieces between them say; the
+    running sum over pieces is a window over the rows of one blob and rule, so time is linear in the matches
+    but for the sort.
+    """
+    lengths = lambda a: F.transform(a, lambda x: F.length(x))
+
+    def parts(r: Rule) -> Column:
+        found = lambda group: lengths(F.regexp_extract_all("text", F.lit(r.regex), F.lit(group)))
+        each = F.arrays_zip(lengths(F.split("text", r.regex, -1)).alias("gap"), found(0).alias("n"), found(r.group).alias("said"))
+        return F.when(wanted[r], F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"), each.alias("each")))
 
-    kept = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
-    out = F.filter(F.transform(found, span), lambda s: F.length(s["said"]) >= rule.least)
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(F.regexp_like(text, F.lit(rule.regex)), F.transform(out, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(none)
+    rows = blobs.select("blob", F.explode(F.array(*[parts(r) for r in rules])).alias("f")).where("f is not null")
+    rows = rows.select("blob", "f.kind", "f.version", "f.least", F.posexplode("f.each").alias("at", "x"))
+    rows = rows.select("blob", "kind", "version", "least", "at", F.col("x")["gap"].alias("gap"), F.col("x")["n"].alias("n"), F.col("x")["said"].alias("said"))
+    upto = Window.partitionBy("blob", "kind", "version").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce("n", F.lit(0))).over(upto).cast("int"))
+    # the piece after the last match has none of its own
+    span = F.when(F.col("said") >= F.col("least"), F.struct((F.col("end") - F.col("n")).alias("start"), F.col("end").alias("end")))
+    return rows.groupBy("blob", "kind", "version").agg(F.array_sort(F.collect_list(span)).alias("spans"))
 
 
 def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs (doc_id, text) -> doc_id, found: array<struct<start, place, end, kind>> by start, then kind as listed.
 
     ledger: a folder that keeps (blob, kind, version, spans) from run to run; a new one if None.  Null text
-    is the empty blob.  Paths may repeat, and each of their rows gets the findings.  An empty table gives an
-    empty result; other columns aren't read.
+    is the empty blob.  Paths may repeat, and each of their rows gets the findings; a pair that stands twice in
+    the ledger counts once.  Very long texts are scanned whole, in time linear in their length and matches.  An
+    empty table gives an empty result; other columns aren't read.
     """
     spark = docs.sparkSession
     ledger = ledger or f"{work_folder(spark)}/ledger"
@@ -73,12 +83,12 @@ def scan(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = R
         blobs = blobs.join(scanned, "blob", "left")
         wanted = {r: ~F.coalesce(F.array_contains("scanned", f"{r.kind}/{r.version}"), F.lit(False)) for r in rules}
         blobs = blobs.where(F.greatest(*[w.cast("int") for w in wanted.values()]) == 1)
-    one = lambda r: F.when(wanted[r], F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans")))
-    new = blobs.select("blob", F.explode(F.filter(F.array(*[one(r) for r in rules]), lambda x: x.isNotNull())).alias("f")).select("blob", "f.*")
+    new = spans(blobs, rules, wanted)
     new.write.mode("append").parquet(ledger)
     place = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(f"{r.kind}/{r.version}"), F.lit(k))])
     findings = spark.read.schema(new.schema).parquet(ledger).withColumn("place", place[F.concat_ws("/", "kind", "version")])
-    findings = findings.where("place is not null and size(spans) > 0")
+    # two runs at once may both have scanned a pair
+    findings = findings.where("place is not null and size(spans) > 0").dropDuplicates(["blob", "kind", "version"])
     each = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("place").alias("place"), s["end"].alias("end"), F.col("kind").alias("kind")))
     findings = findings.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(each))).alias("found"))
     findings = staged(findings, f"{work_folder(spark)}/findings")

@@ -7,6 +7,8 @@ documents of very unequal length.  All of it is Spark expressions.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +18,8 @@ from prosegauge.llm.common import whole
 SHINGLE = 5
 #: One hash in so many is kept.
 SCALE = 8
-#: Rows of a run of neighbouring doc_ids that share a window task, about, and the most runs.
-ROWS_PER_RUN, MOST_RUNS = 512, 1 << 16
+#: Rows of a run of neighbouring doc_ids that share a window task, about, and the most runs: a square.
+ROWS_PER_RUN, MOST_RUNS = 512, 1 << 14
 
 
 def words(text: Column) -> Column:
@@ -39,6 +41,15 @@ def sketch(hashes: Column, scale: int = SCALE) -> Column:
     return F.array_sort(F.array_distinct(F.when(F.exists(hashes, lambda h: h < F.lit(limit)), low).otherwise(least)))
 
 
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of the union of two sets of hashes, from their sketches.
+
+    A hash at or over the threshold is the least one of a set that has none below it, so it goes as soon as the
+    union has one below, and otherwise the lesser of two such stays: merging loses nothing.
+    """
+    return sketch(F.concat(a, b), scale)
+
+
 def resemblance(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b)).cast("double")
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
@@ -60,45 +71,80 @@ def with_sketch(df: DataFrame, text: str, out: str, scale: int = SCALE) -> DataF
     return df.withColumn(out, sketch(F.col("__h"), scale)).drop("__w", "__h")
 
 
-def next_rows(rows: DataFrame, payload: list[str]) -> DataFrame:
-    """rows (doc_id, *payload) -> with next_* of the row after it, doc_id descending, round to the first.
+def _runs(rows: DataFrame) -> Column:
+    """The number of a row's run: by quantiles of doc_id, whatever gaps ids have.
 
-    One exchange: rows go to runs of neighbouring ids, where the next row is a lead(); only the last row of
-    each run takes its next one from the head of the run below.
+    An id that several bounds fall on has many rows; those are divided by digest of their text, as are rows
+    without an id, whose runs are numbered below 0.
+    """
+    n, nulls = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    digest = F.conv(F.substring(F.sha2("text", 256), 1, 8), 16, 10).cast("long")
+    without = max(1, min(MOST_RUNS, nulls // ROWS_PER_RUN))
+    # in the order of next_rows(): ids descending, digests ascending
+    run = -1 - F.shiftright(digest * F.lit(without), 32)
+    wanted = min(MOST_RUNS, (n - nulls) // ROWS_PER_RUN)
+    if wanted < 2:
+        return F.when(F.col("doc_id").isNull(), run).otherwise(F.lit(0).cast("long"))
+    bounds = rows.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 4 * wanted)).first()[0]
+    # two steps of about sqrt(wanted) comparisons each
+    width = max(1, int(len(bounds) ** 0.5))
+    tops = [bounds[at] for at in range(0, len(bounds), width)]
+    count = lambda a, test: F.size(F.filter(a, test)).cast("long")
+    array = lambda x: F.from_json(F.lit(json.dumps(x)), "array<bigint>")
+    lists = F.from_json(F.lit(json.dumps([bounds[at : at + width] for at in range(0, len(bounds), width)])), "array<array<bigint>>")
+
+    def below(inclusive: bool) -> Column:
+        test = (lambda b: b <= F.col("doc_id")) if inclusive else (lambda b: b < F.col("doc_id"))
+        top = count(array(tops), test)
+        inner = F.when(top > 0, count(F.element_at(lists, F.greatest(top, F.lit(1)).cast("int")), test)).otherwise(F.lit(0))
+        return F.when(top > 0, (top - 1) * width + inner).otherwise(F.lit(0).cast("long"))
+
+    repeats = len(set(bounds)) < len(bounds)
+    if not repeats:
+        own = below(True)
+    else:
+        low, high = below(False), below(True)
+        own = high - F.shiftright(digest * F.greatest(high - low, F.lit(1).cast("long")), 32)
+    return F.when(F.col("doc_id").isNull(), run).otherwise(own)
+
+
+def next_rows(rows: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]:
+    """rows (doc_id, payload) -> the rows with their run, dealt by run; and the last row of each run with `next`.
+
+    The order is by doc_id, descending, then digest of the payload.  A row's next one is in its run, but for the
+    last, whose next one is the head of the run below, round to the first.  Rows move once, to their runs.
     """
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    runs = min(MOST_RUNS, max(1, n // ROWS_PER_RUN))
-    width = max(1.0, (high - low + 1) / runs)
-    run = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    rows = rows.withColumn("run", run)
-    order = Window.partitionBy("run").orderBy(F.col("doc_id").desc_nulls_last(), F.sha2(F.col(payload[0]), 256))
-    placed = rows.withColumn("__place", F.row_number().over(order))
-    for c in payload:
-        placed = placed.withColumn(f"next_{c}", F.lead(c).over(order))
-    placed = placed.withColumn("__last", F.lead(F.lit(1)).over(order).isNull())
-    heads = placed.where("__place = 1").select("run", *[F.col(c).alias(f"next_{c}") for c in payload])
-    names = rows.groupBy("run").agg(F.lit(1).alias("one"))  # at most MOST_RUNS + 1 of them
-    down = Window.orderBy(F.col("run").desc())
-    whole_range = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    names = names.select(F.col("run").alias("above"), F.coalesce(F.lead("run").over(down), F.first("run").over(whole_range)).alias("run"))
-    heads = heads.join(names, "run").drop("run").withColumnRenamed("above", "run")
-    keep = ["doc_id", *payload, *[f"next_{c}" for c in payload]]
-    last = placed.where("__last").select("run", "doc_id", *payload).join(heads, "run")
-    return placed.where("not __last").select(*keep).unionByName(last.select(*keep))
+    rows = rows.withColumn("run", _runs(rows))
+    rows = rows.repartition("run")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id").cast("decimal(20,0)")).alias("id"), F.sha2(payload, 256).alias("digest"))
+    ends = rows.groupBy("run").agg(F.min_by(payload, order).alias("head"), F.max_by(F.struct("doc_id", payload), order).alias("last"))
+    down = Window.orderBy(F.col("run").desc())  # one row for each run: at most twice MOST_RUNS
+    around = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    names = rows.groupBy("run").agg(F.lit(1).alias("one"))
+    names = names.select(F.col("run").alias("above"), F.coalesce(F.lead("run").over(down), F.first("run").over(around)).alias("run"))
+    heads = ends.select("run", F.col("head").alias("next")).join(names, "run").select(F.col("above").alias("run"), "next")
+    last = ends.select("run", "last.*").join(heads, "run").drop("run")
+    return rows, last
 
 
 def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     """docs (doc_id, text) -> the fingerprint of each text and of its edited text, and their likeness.
 
-    Null text counts as empty; texts without words have an empty sketch, alike only to each other.  Rows
-    that repeat a doc_id follow each other by the digest of their text; null ids come last.  A single row
-    is its own next one.  An empty table gives an empty result; other columns aren't read.
+    Null text counts as empty; texts without words have an empty sketch, alike only to each other.  Very long
+    texts are read whole, and their sketch grows with them.  Rows that repeat a doc_id follow each other by the
+    digest of their text; null ids come last.  A single row is its own next one.  An empty table gives an empty
+    result; other columns aren't read.
     """
-    rows = with_sketch(docs.select("doc_id", whole(F.col("text")).alias("text")), "text", "sketch", scale)
-    rows = next_rows(rows, ["text", "sketch"])
+    rows, last = next_rows(docs.select("doc_id", whole(F.col("text")).alias("text")), "text")
+    order = Window.partitionBy("run").orderBy(F.col("doc_id").desc_nulls_last(), F.sha2("text", 256))
+    # each sketch is made once, between the exchange and the window
+    inner = with_sketch(rows, "text", "sketch", scale)
+    inner = inner.withColumn("next", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order)).where("next is not null")
+    last = with_sketch(with_sketch(last, "text", "sketch", scale), "next", "next_sketch", scale)
+    names = ["doc_id", "text", "next", "sketch", "next_sketch"]
+    rows = inner.select(*names).unionByName(last.select(*names))
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half)))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "edited", "sketch", "next_sketch")
     rows = with_sketch(rows, "edited", "edited_sketch", scale)
     return rows.select(

@@ -29,7 +29,8 @@ def size_of(text: Column) -> Column:
 def size_class(size: Column) -> Column:
     """Octaves of size, eight steps to each: whole-number arithmetic, alike in every engine."""
     octave = F.length(F.bin(size)).cast("long")
-    return F.when(size < 16, size).otherwise(octave * 8 + F.pmod(F.expr("shiftright(__size, cast(length(bin(__size)) as int) - 4)"), F.lit(8)))
+    step = octave * 8 + F.pmod(F.expr("shiftright(__size, cast(length(bin(__size)) as int) - 4)"), F.lit(8))
+    return F.when(size < 16, size).otherwise(F.coalesce(step, F.lit(0).cast("long")))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, ceiling: float) -> DataFrame:
@@ -55,18 +56,23 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, ceiling:
     return s.withColumn("target", target).select("key", "source_size", "target")
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 17) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: int = 17, size: Column | None = None) -> DataFrame:
     """docs (doc_id, text, source, ...) -> row (struct of all columns), size, source_size, target, copies, taken.
 
+    size: where it is known already, the column that has it; otherwise words are counted, in two passes.
     Null text has size 0; a source of size 0 has target 0 and gives nothing.  Null is a source, the last.
     Rows that repeat count one by one; an empty table gives an empty result.  Other columns ride along in
-    `row`, so their names can't clash.  Null or repeated doc_id are only ties of the order.
+    `row`, so their names can't clash.  Null or repeated doc_id are only ties of the order.  A very long text
+    is one row like any other, whose size may exceed its source's target: then it is taken or not, whole.
     """
     spark = docs.sparkSession
-    # keys sort by code point (UTF-8 bytes do), null last
-    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    salt = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long") % F.lit(SALTS)
-    rows = docs.select(F.struct("*").alias("row"), key.alias("key"), size_of(F.col("text")).alias("__size"), F.col("doc_id").alias("__id"), salt.alias("salt"))
+    # keys sort by code point (UTF-8 bytes do), null last.  Neither key, size nor salt can be null, or the join
+    # on them would have the optimizer look for nulls first, and so count words once more
+    key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.coalesce("source", F.lit(""))))
+    number = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    salt = F.coalesce(number % F.lit(SALTS), F.lit(0).cast("long"))
+    size = size_of(F.col("text")) if size is None else F.coalesce(size.cast("long"), F.lit(0).cast("long"))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(key, F.lit("1")).alias("key"), size.alias("__size"), F.col("doc_id").alias("__id"), salt.alias("salt"))
     rows = rows.withColumn("step", size_class(F.col("__size")))
     folder = work_folder(spark)
     cells = staged(rows.groupBy("key", "step", "salt").agg(F.count("*").alias("n"), F.sum("__size").alias("words")), f"{folder}/cells")

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegauge.llm import bpe, exact_dedup, langid, lm_scoring, mixing, secrets, sharding, simhash, sketching, toxicity
-from prosegauge.llm.common import documents, fold
+from prosegauge.llm.common import documents, fold, staged, work_folder
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixed(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    sizes = documents(spark, sf_dir).select("doc_id", "source", mixing.size_of(F.col("text")).alias("size"))
+    out = mixing.mixed(staged(sizes, f"{work_folder(spark)}/sizes"), size=F.col("size"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 

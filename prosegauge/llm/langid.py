@@ -17,14 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prosegauge.llm.common import small_batches
+from prosegauge.llm.common import power_of_two, small_batches
 
 #: Character n-grams of words, a space on either side of each word.
 NGRAM = 4
-POSITIONS, HASHES = 1 << 20, 3
-#: The bounded sample that the filters are fitted on: texts of each language, and n-grams kept of each.
-TEXTS_PER_LANGUAGE, NGRAMS_PER_LANGUAGE = 600, 60_000
-#: An n-gram belongs to a language if this share of the language's sampled texts has it.
+#: Positions of the filters at least, positions for each n-gram of the language that has most, and hashes.
+POSITIONS, ROOM, HASHES = 1 << 20, 16, 3
+#: The bounded sample of labelled rows that the filters are fitted on: texts of each language.
+TEXTS_PER_LANGUAGE = 600
+#: What it is for a language to contain an n-gram: this share of its sampled texts has it.  All such n-grams are
+#: kept; there are at most 1 / LEAST_SHARE times as many as a sampled text has on average.
 LEAST_SHARE = 0.02
 #: Code points worked on at once.
 AT_ONCE = 1 << 20
@@ -84,6 +86,7 @@ class Filters:
 
     @classmethod
     def fit(cls, languages: list[str], grams: list[np.ndarray], m: int = POSITIONS) -> Filters:
+        m = max(m, power_of_two(ROOM * max(len(own) for own in grams)))
         lanes = max(1, -(-len(languages) // 64))
         masks = np.zeros((lanes, m), dtype=np.uint64)
         chance = np.zeros(len(languages))
@@ -127,10 +130,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64))], ["lang", "h"])
 
 
-def train(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, grams: int = NGRAMS_PER_LANGUAGE, share: float = LEAST_SHARE) -> Filters | None:
+def train(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, share: float = LEAST_SHARE) -> Filters | None:
     """docs (text, lang): fit on `texts` texts of each language, chosen by hash.  None without any labelled text.
 
-    Only texts with a letter count.  What comes to the driver is `grams` hashes of each language at most.
+    Only texts with a letter count; very long ones count whole.  What comes to the driver are the n-grams that
+    languages contain: no more for a language than 1 / share times what a text of its sample has on average.
     """
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select("lang", "text", F.xxhash64("text", "doc_id").alias("order"))
@@ -145,8 +149,7 @@ def train(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, grams: int = NGRAMS_
     size = Window.partitionBy("lang")
     counts = counts.withColumn("texts", F.max(F.when(F.col("h").isNull(), F.col("n"))).over(size)).where("h is not null")
     counts = counts.where(F.col("n") >= F.greatest(F.lit(1), F.col("texts") * F.lit(share)))
-    top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "h"))).where(F.col("place") <= grams)
-    found = top.select("lang", "h").toArrow().to_pandas()
+    found = counts.select("lang", "h").toArrow().to_pandas()
     if not len(found):
         return None
     languages = sorted(found["lang"].unique())

@@ -90,7 +90,7 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, keep: tuple[str, ...] =
                     some = parts[at : at + 64]
                     yield pa.RecordBatch.from_pydict({"key": [key] * len(some), "k": list(range(at, at + len(some))), "of": [len(parts)] * len(some), "start": [s for s, _ in some], "piece": [text[s:e] for s, e in some]}, schema=pieces)
 
-    pieces = pa.schema([("key", pa.int64()), ("k", pa.int32()), ("of", pa.int32()), ("start", pa.int64()), ("piece", pa.string())])
+    pieces = pa.schema([("key", pa.string()), ("k", pa.int32()), ("of", pa.int32()), ("start", pa.int64()), ("piece", pa.string())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,9 +106,10 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), pa.array(out, pa.binary())], ["key", "k", "ids"])
 
     brief = rows.where(F.length("text") <= chunk).mapInArrow(short, f"kept {kept_type}, ids binary")
-    long = rows.where(F.length("text") > chunk).withColumn("key", F.monotonically_increasing_id())
-    parts = long.select("key", "text").mapInArrow(chunked, "key long, k int, of int, start long, piece string")
-    parts = parts.repartition("key", "k").mapInArrow(split, "key long, k int, of int, start long, piece string, head array<bigint>, tail array<bigint>")
+    # keyed by content: the same whenever a task is run again, and a text that many rows have is encoded once
+    long = rows.where(F.length("text") > chunk).withColumn("key", F.sha2("text", 256))
+    parts = long.select("key", "text").mapInArrow(chunked, "key string, k int, of int, start long, piece string")
+    parts = parts.dropDuplicates(["key", "k"]).mapInArrow(split, "key string, k int, of int, start long, piece string, head array<bigint>, tail array<bigint>")
     order = Window.partitionBy("key").orderBy("k")
     parts = parts.withColumn("from", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(order), F.col("head")))))
     parts = parts.withColumn("to", F.when(F.col("k") == F.col("of") - 1, F.col("start") + F.length("piece")).otherwise(F.lead("from").over(order)))
@@ -117,8 +118,8 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, keep: tuple[str, ...] =
     lost = parts.where("not whole").withColumn("own", F.substring("piece", (F.lit(chunk) * F.col("k") - F.col("start") + 1).cast("int"), F.lit(chunk)))
     lost = lost.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "own"))).alias("all"))
     lost = lost.select(F.struct("key").alias("kept"), F.array_join(F.transform("all", lambda x: x["own"]), "").alias("text"))
-    lost = lost.mapInArrow(short, "kept struct<key:bigint>, ids binary").select("kept.key", "ids")
-    done = parts.where("whole").select("key", "k", "start", "piece", "from", "to").mapInArrow(piecewise, "key long, k int, ids binary")
+    lost = lost.mapInArrow(short, "kept struct<key:string>, ids binary").select("kept.key", "ids")
+    done = parts.where("whole").select("key", "k", "start", "piece", "from", "to").mapInArrow(piecewise, "key string, k int, ids binary")
     done = done.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("all"))
     done = done.select("key", F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
     long = long.select("key", "kept").join(done.unionByName(lost), "key").select("kept", "ids")

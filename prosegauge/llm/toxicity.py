@@ -28,6 +28,8 @@ WINDOW = 16
 NEUTRAL = 64
 #: The bounded sample of labelled rows that the model is fitted on: rows labelled 0, and 1.
 ROWS_PER_LABEL = (1600, 400)
+#: ... and UTF-8 bytes of that sample; a row that doesn't fit any more stays out, whole.
+SAMPLE_BYTES = 64 << 20
 #: An n-gram that fewer texts of the sample have says nothing.
 LEAST_TEXTS = 3
 EPOCHS, RATE = 8, 4.0
@@ -239,7 +241,15 @@ def sample(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = ROWS_PER_
 
 def train(docs: DataFrame, labels: DataFrame, rows: tuple[int, int] = ROWS_PER_LABEL) -> Model:
     """Fit on the driver on sample(); a label whose doc_id has no document, or a null one, teaches nothing."""
-    got = sample(docs, labels, rows).orderBy("doc_id").limit(sum(rows)).toArrow()
+    chosen = sample(docs, labels, rows)
+    sizes = chosen.groupBy("doc_id", "toxic").agg(F.sum(F.octet_length("text")).alias("n")).withColumn("order", F.xxhash64("doc_id"))
+    left, ids = {0: SAMPLE_BYTES // 2, 1: SAMPLE_BYTES // 2}, []
+    for r in sorted(sizes.collect(), key=lambda r: (r["order"], r["doc_id"])):  # sum(rows) at most
+        if r["n"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["n"]
+            ids.append((r["doc_id"],))
+    fits = docs.sparkSession.createDataFrame(ids, "doc_id long")
+    got = chosen.join(F.broadcast(fits), "doc_id", "left_semi").orderBy("doc_id", "text").toArrow()
     return fit(got["text"].to_pylist(), got["toxic"].to_pylist())
 
 

@@ -1,24 +1,31 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-A text is words and one end.  The frequent words and the end are dishes of their own, the other words share
-one dish, `rare`.  Each of the most frequent words has a context restaurant: a token comes from that of the
-nearest word before it that has one.  The context restaurants share a parent restaurant, whose base is
-uniform.  Which rare word is meant comes from one more restaurant, whose base is uniform over the rare words of
-training and one more, which stands for every word that training lacks.
-
-Seating is by the Chinese restaurant process and is sampled by Gibbs: customers leave their table one by one
-and sit down again.  Predictive probabilities are averaged over several seatings.
-
-Counts are of all training text.  What has a fixed bound (contexts by dishes) is sampled on the driver and
-broadcast; the vocabulary has none, stays distributed, and is joined on the word.  Frequent words never take
-part in that join, so it has no hot key.
+A text is words and one end.  Every word that occurs in training, and the end, has a context restaurant, where
+the tokens that follow it are customers and their words are dishes.  All context restaurants share one parent,
+in which each of their tables is a customer; its base is uniform over the words of training and one more, which
+stands for every word that training lacks.  A text starts after an end.
+
+Seating is sampled by Gibbs.  What a seating says of a cell (restaurant, dish) with c customers is its number of
+tables t.  With x ~ Gamma(strength / discount + tables of the restaurant), the cells of a restaurant are
+independent given x, and P(t) ~ (discount * x * base)^t S(c, t), S being generalised Stirling numbers.  So a sweep
+seats every customer of every cell anew, whatever their number, and cells of one restaurant needn't share a task.
+Up to EXACT customers t is drawn from that law itself; beyond, from a binomial with the law's saddle-point mean
+and variance.  Strengths and discounts are drawn after every sweep from their conditionals on a grid; that of a
+discount counts the cells of up to EXACT customers.  Predictive probabilities are averaged over several seatings.
+
+Cells are dealt to buckets by context (those of a frequent context also by dish), words to owners; both are
+tables of packed arrays in the shared folder, and so is every seating.  Owners tell buckets how many customers
+and tables a word has in the parent, buckets tell owners how many tables it got.  Only totals of fixed size, and
+one number for each frequent context of a bucket, come to the driver.  All cells are kept: what is gathered
+grows with the corpus.  Words are told apart by 64 bits of hash; two of n words share one with chance n^2 / 2^65.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,383 +33,604 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import fold, small_batches, staged, whole, work_folder
-
-#: Dishes of their own, context restaurants, and the longest such word in bytes.
-HOT_WORDS, CONTEXTS, LONGEST_HOT = 8192, 256, 64
-BURN_IN, SAMPLES, BETWEEN = 12, 3, 4
-END = b"\n"  # no word has white space
-
-
-def words_of(data: bytes) -> list[bytes]:
-    """bytes.lower() changes A-Z alone, and bytes.split() cuts at ASCII white space alone."""
-    return data.lower().split()
-
-
-class Level:
-    """Restaurants of one level: cells (restaurant, dish) with customers who sit at tables."""
-
-    def __init__(self, rest: np.ndarray, dish: np.ndarray, count: np.ndarray, n_rest: int, rng: np.random.Generator):
-        self.rest, self.dish, self.n_rest, self.rng = rest.astype(np.int64), dish.astype(np.int64), n_rest, rng
-        self.count = count.astype(np.int64)
-        ones, twos = int((self.count == 1).sum()), int((self.count == 2).sum())
-        self.discount = min(0.95, max(0.05, (ones + 0.5) / (ones + 2 * twos + 1)))
-        self.strength = 1.0
-        self.tables = np.zeros(len(self.rest), dtype=np.int64)
-
-    def totals(self) -> tuple[np.ndarray, np.ndarray]:
-        """Customers and tables of each restaurant."""
-        return np.bincount(self.rest, weights=self.count, minlength=self.n_rest), np.bincount(self.rest, weights=self.tables, minlength=self.n_rest)
-
-    def seat(self, base: np.ndarray) -> None:
-        """A first seating: customers come in groups that double, each with its chance of new tables.  base: of each cell."""
-        self.tables = (self.count > 0).astype(np.int64)
-        seated = self.tables.copy()
-        while (seated < self.count).any():
-            group = np.minimum(self.count - seated, seated)
-            new = (self.strength + self.discount * np.bincount(self.rest, weights=self.tables, minlength=self.n_rest)[self.rest]) * base
-            p = new / np.maximum(1e-300, new + np.maximum(0, seated + group / 2 - self.discount * self.tables))
-            self.tables += self.rng.binomial(group, np.clip(p, 0, 1))
-            seated += group
-        self._spread()
-
-    def _spread(self) -> None:
-        """Sizes of the tables of each cell: one customer at each, the others in shares."""
-        self.cell = np.repeat(np.arange(len(self.count), dtype=np.int32), self.tables)
-        share = self.rng.gamma(1 - self.discount, size=len(self.cell)) + 1e-12
-        whole_ = np.bincount(self.cell, weights=share, minlength=len(self.count))
-        rest = (self.count - self.tables)[self.cell]
-        self.size = 1 + np.floor(rest * share / whole_[self.cell]).astype(np.int32)
-        short = self.count - np.bincount(self.cell, weights=self.size, minlength=len(self.count)).astype(np.int64)
-        first = np.cumsum(self.tables) - self.tables
-        some = self.tables > 0
-        self.size[first[some]] += short[some]
-
-    def _pick(self, cells: np.ndarray) -> np.ndarray:
-        """A table of each cell, by its size."""
-        edge = np.cumsum(self.size, dtype=np.int64)
-        by_cell = np.bincount(self.cell, weights=self.size, minlength=len(self.count)).astype(np.int64)
-        start = np.cumsum(by_cell) - by_cell
-        at = start[cells] + (self.rng.random(len(cells)) * by_cell[cells]).astype(np.int64)
-        return np.searchsorted(edge, at, side="right")
-
-    def leave(self, cells: np.ndarray) -> None:
-        """One customer of each cell goes, any with the same chance."""
-        table = self._pick(cells)
-        self.size[table] -= 1
-        self.count[cells] -= 1
-        self.tables[self.cell[table[self.size[table] == 0]]] -= 1
-        left = self.size > 0
-        self.cell, self.size = self.cell[left], self.size[left]
-
-    def come(self, cells: np.ndarray, base: np.ndarray) -> None:
-        """One customer of each cell sits down.  base: of these cells."""
-        open_ = np.bincount(self.rest, weights=self.tables, minlength=self.n_rest)[self.rest[cells]]
-        new = (self.strength + self.discount * open_) * base
-        old = self.count[cells] - self.discount * self.tables[cells]
-        opens = (self.rng.random(len(cells)) * (new + old) < new) | (self.count[cells] == 0)
-        waiting = cells[~opens]
-        while len(waiting):  # at a table with chance (size - discount) / all: by size, refused with chance discount / size
-            table = self._pick(waiting)
-            yes = self.rng.random(len(waiting)) * self.size[table] >= self.discount
-            self.size[table[yes]] += 1
-            waiting = waiting[~yes]
-        self.count[cells] += 1
-        self.tables[cells[opens]] += 1
-        at = np.searchsorted(self.cell, cells[opens], side="right")
-        self.cell, self.size = np.insert(self.cell, at, cells[opens]), np.insert(self.size, at, 1)
-
-    def sweep(self, base: np.ndarray) -> None:
-        """Gibbs: of every cell with a choice, one customer leaves and sits down again."""
-        cells = np.flatnonzero(self.count > 1)
-        if len(cells):
-            self.leave(cells)
-            self.come(cells, base[cells])
-
-    def become(self, count: np.ndarray, base: np.ndarray) -> None:
-        """Customers come and go until cells have these counts."""
-        while True:
-            more, less = np.flatnonzero(self.count < count), np.flatnonzero(self.count > count)
-            if not len(more) and not len(less):
-                return
-            if len(less):
-                self.leave(less)
-            if len(more):
-                self.come(more, base[more])
-
-    def predict(self, parent: np.ndarray) -> np.ndarray:
-        """Of each cell, given its parent's probability of the dish."""
-        c, t = self.totals()
-        own = np.maximum(0, self.count - self.discount * self.tables)
-        return (own + (self.strength + self.discount * t[self.rest]) * parent) / np.maximum(1e-300, self.strength + c[self.rest])
-
-
-class Tree:
-    """Levels from the shared restaurant down.  up[k]: the cell of level k - 1 that a cell of level k has above it."""
-
-    def __init__(self, cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]], up: list[np.ndarray], n_rest: list[int], dishes: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.dishes, self.up, self.direct = dishes, up, [c.astype(np.int64) for _, _, c in cells]
-        self.levels = [Level(r, d, c, n, rng) for (r, d, c), n in zip(cells, n_rest, strict=True)]
-        # bottom up: tables below are customers above; until the base is known it is a level's own share
-        for k in range(len(self.levels) - 1, -1, -1):
-            level = self.levels[k]
-            level.count = self._wanted(k)
-            share = np.bincount(level.dish, weights=level.count, minlength=dishes)
-            level.seat((share / max(1, share.sum()))[level.dish])
-
-    def _wanted(self, k: int) -> np.ndarray:
-        count = self.direct[k].copy()
-        if k + 1 < len(self.levels):
-            below = self.levels[k + 1]
-            count += np.bincount(self.up[k + 1], weights=below.tables, minlength=len(count)).astype(np.int64)
-        return count
-
-    def bases(self) -> list[np.ndarray]:
-        """Of each level's cells, the probability that their parent gives."""
-        out = [np.full(len(self.levels[0].dish), 1 / self.dishes)]
-        for k in range(1, len(self.levels)):
-            out.append(self.levels[k - 1].predict(out[-1])[self.up[k]])
-        return out
+from prosegauge.llm.common import dropped, fold, power_of_two, small_batches, staged, whole, work_folder
+
+#: Bytes of text to a bucket, tokens and documents that are packed together, bytes that are split at once.
+BUCKET_BYTES, CHUNK_TOKENS, CHUNK_DOCS, AT_ONCE = 16 << 20, 2_000_000, 60_000, 1 << 20
+#: Texts that frequent contexts are looked for in.  Which are found changes where work is done, not the result.
+SAMPLED = 4000
+#: Cells of up to so many customers get their tables from the exact law.
+EXACT = 128
+BURN_IN, SAMPLES = 3, 3
+#: Of the hyperparameters.
+DISCOUNTS, STRENGTHS = np.arange(0.05, 0.96, 0.025), np.geomspace(0.001, 500, 48)
+#: The hash of the end; words have others.
+END = np.uint64(0)
+
+ROWS = "bucket int, q int, chunk long, kind string, key long, n double, body binary"
+_TYPES = ["<i4", "<i8", "<u8", "<f4", "<f8", "<u2", "|u1"]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    head = [len(arrays)]
+    for a in arrays:
+        head += [_TYPES.index(a.dtype.str), len(a)]
+    return np.array(head, dtype="<i8").tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+
+
+def unpack(body: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(body, "<i8", 1)[0])
+    head, at, out = np.frombuffer(body, "<i8", 2 * n, 8), 8 + 16 * n, []
+    for kind, size in head.reshape(-1, 2):
+        out.append(np.frombuffer(body, _TYPES[kind], size, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    """rows of ROWS."""
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.binary())
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "q", "chunk", "kind", "key", "n", "body"])
+
+
+def _totals(kind: str, keys: np.ndarray, n: np.ndarray | None = None) -> list[tuple]:
+    """Rows that the driver gets the sums of, by key."""
+    if n is None:
+        keys, n = np.unique(keys, return_counts=True)
+    return [(-1, None, None, f"total {kind}", int(k), float(x), None) for k, x in zip(keys, n, strict=True)]
+
+
+# words
+
+
+@lru_cache(maxsize=1)
+def _codes() -> tuple[np.ndarray, np.ndarray]:
+    """For each byte a number, A-Z like a-z; and whether it is white space."""
+    code = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    code[65:91] = code[97:123]
+    space = np.zeros(256, dtype=bool)
+    space[[32, *range(9, 14)]] = True
+    return code, space
+
+
+_POWER = {"all": np.ones(1, dtype=np.uint64)}
+
+
+def _powers(n: int) -> np.ndarray:
+    if len(_POWER["all"]) < n:
+        p = np.full(power_of_two(n), 0x9E3779B97F4A7C15, dtype=np.uint64)
+        p[0] = 1
+        _POWER["all"] = np.multiply.accumulate(p)
+    return _POWER["all"]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h = h * np.uint64(0x7FB5D329728EA185)
+    h = h ^ (h >> np.uint64(27))
+    h = h * np.uint64(0x81DADEF4BC2DD44D)
+    return h ^ (h >> np.uint64(33))
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every token, an END after each text; and how many tokens each text has."""
+    code, space = _codes()
+    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    blank = space[data]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    start = np.flatnonzero(first)
+    letters = np.flatnonzero(~blank)
+    word = np.cumsum(first, dtype=np.int32)[letters] - 1
+    place = letters - start[word]
+    of = np.searchsorted(ends, start, side="right")
+    count = np.bincount(of, minlength=len(texts)) + 1
+    out = np.full(int(count.sum()), END, dtype=np.uint64)
+    if len(start):
+        power = _powers(int(place.max()) + 1)
+        h = np.add.reduceat(code[data[letters]] * power[place], np.searchsorted(letters, start))
+        h = mixed(h)
+        out[np.arange(len(start)) + of] = np.where(h == END, np.uint64(1), h)
+    return out, count
+
+
+# seating
+
+
+@lru_cache(maxsize=64)
+def stirling(d: float, most: int = EXACT) -> np.ndarray:
+    """log S(c, t) for c and t up to most: S(c + 1, t) = S(c, t - 1) + (c - d t) S(c, t)."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(most + 1)
+    for c in range(1, most):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            stay = np.where(t <= c, np.log(np.maximum(c - d * t, 1e-300)) + out[c], -np.inf)
+        out[c + 1, 1:] = np.logaddexp(out[c, :-1], stay[1:])
+    return out
+
+
+def draw_tables(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of cells: P(t) ~ weight^t S(c, t)."""
+    out = np.minimum(c, 1).astype(np.int64)
+    weight = np.maximum(weight, 1e-300)
+    table = stirling(d)
+    order = np.argsort(c, kind="stable")
+    bounds = np.searchsorted(c[order], np.arange(2, EXACT + 2))
+    for k in range(2, EXACT + 1):
+        cells = order[bounds[k - 2] : bounds[k - 1]]
+        t = np.arange(1, k + 1)
+        for at in range(0, len(cells), step := max(1, (1 << 20) // k)):
+            own = cells[at : at + step]
+            p = np.log(weight[own])[:, None] * t + table[k, 1 : k + 1]
+            p = np.exp(p - p.max(axis=1, keepdims=True)).cumsum(axis=1)
+            out[own] = 1 + (p < (rng.random(len(own)) * p[:, -1])[:, None]).sum(axis=1)
+    if len(many := order[bounds[-1] :]):
+        n, w = c[many].astype(float), weight[many]
+        low, high = np.full(len(many), -700.0), np.zeros(len(many))
+        for _ in range(60):  # where the mean of all customers is n: w (1 - y) y^(d - 1) = n
+            y = (low + high) / 2
+            over = np.log(w) + np.log(np.maximum(-np.expm1(y), 1e-300)) + (d - 1) * y > np.log(n)
+            low, high = np.where(over, y, low), np.where(over, high, y)
+        y = np.exp((low + high) / 2)
+        mean = np.maximum(w * -np.expm1(d * np.log(y)) / d, 1e-12)
+        spread = np.clip(mean - n * y / (1 - d + d * y), 0.02 * mean, 0.9999 * mean)
+        tries = np.maximum(1, np.round(mean / (1 - spread / mean))).astype(np.int64)
+        out[many] = np.minimum(c[many], 1 + rng.binomial(tries, np.minimum(1.0, mean / tries)))
+    return out
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, dtype=float)
+    shift = np.zeros_like(x)
+    for _ in range(8):
+        small = x < 8
+        shift = np.where(small, shift - np.log(np.where(small, x, 1.0)), shift)
+        x = np.where(small, x + 1, x)
+    return shift + (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
 
-    def sweep(self) -> None:
-        for k in range(len(self.levels) - 1, -1, -1):
-            base = self.bases()[k]
-            if k + 1 < len(self.levels):
-                self.levels[k].become(self._wanted(k), base)
-            self.levels[k].sweep(base)
+@dataclass
+class Hyper:
+    """Discount and strength of a level."""
 
-    def samples(self, burn_in: int = BURN_IN, n: int = SAMPLES, between: int = BETWEEN) -> Iterator[Tree]:
-        for at in range(burn_in + (n - 1) * between):
-            self.sweep()
-            if at + 1 >= burn_in and (at + 1 - burn_in) % between == 0:
-                yield self
+    discount: float = 0.75
+    strength: float = 1.0
 
+    def drawn(self, tables: dict[int, float], customers: dict[int, float], cells: dict[int, float], rng: np.random.Generator) -> Hyper:
+        """tables, customers: how many restaurants have so many; cells: how many cells have c * (EXACT + 1) + t."""
+        if not tables:
+            return self
+        t, nt = (np.array(list(x), dtype=float) for x in (tables.keys(), tables.values()))
+        c, nc = (np.array(list(x), dtype=float) for x in (customers.keys(), customers.values()))
+        both, n = np.array(list(cells.keys()), dtype=np.int64), np.array(list(cells.values()))
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+        def seats(d: float, s: float) -> float:
+            return float((nt * (t * np.log(d) + log_gamma(s / d + t) - log_gamma(np.array([s / d])))).sum())
 
-    c: Counter = Counter()
-    for b in batches:
-        for data in b.column("text").to_pylist():
-            c.update(words_of(data))
-            c[END] += 1
-        if len(c) > 300_000:
-            yield flush(c)
-            c = Counter()
-    if c:
-        yield flush(c)
+        def pick(logs: list[float]) -> int:
+            p = np.exp(np.array(logs) - max(logs))
+            return int(np.searchsorted(np.cumsum(p), rng.random() * p.sum()))
+
+        strength = float(STRENGTHS[pick([seats(self.discount, s) - float((nc * (log_gamma(s + c) - log_gamma(np.array([s])))).sum()) - s / 100 for s in STRENGTHS])])
+        shapes = [float((n * stirling(round(float(d), 3))[both // (EXACT + 1), both % (EXACT + 1)]).sum()) if len(both) else 0.0 for d in DISCOUNTS]
+        discount = round(float(DISCOUNTS[pick([seats(d, strength) + shape for d, shape in zip(DISCOUNTS, shapes, strict=True)])]), 3)
+        return Hyper(discount, strength)
+
+
+def coarse(x: np.ndarray) -> np.ndarray:
+    """Whole numbers to about one part in 64, so that there are few different ones."""
+    x = x.astype(np.int64)
+    shift = np.maximum(0, np.frexp(x.astype(float))[1] - 7)
+    return x >> shift << shift
+
+
+def _histogram(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    small = (c <= EXACT) & (c > 1)
+    return c[small].astype(np.int64) * (EXACT + 1) + t[small]
 
 
 @dataclass
-class Frequent:
-    """The dishes: id by word, most frequent first, the end as 0; `rare` is the id after them."""
+class State:
+    """What the driver knows of a seating: hyperparameters, totals of the parent, frequent contexts."""
 
-    ids: dict[bytes, int]
-    counts: np.ndarray
+    low: Hyper = field(default_factory=Hyper)
+    top: Hyper = field(default_factory=Hyper)
+    words: int = 0
+    tokens: int = 0
+    customers: float = 0.0  # of the parent
+    tables: float = 0.0
+    hot_customers: np.ndarray | None = None
+    hot_tables: np.ndarray | None = None
 
-    @property
-    def rare(self) -> int:
-        return len(self.ids)
+    def parent(self, own: np.ndarray) -> np.ndarray:
+        """Probabilities of words with so many customers less discounts in the parent."""
+        new = (self.top.strength + self.top.discount * self.tables) / (self.words + 1)
+        return (own + new) / (self.top.strength + self.customers)
 
-    def row(self, words: list[bytes], contexts: int) -> tuple[np.ndarray, np.ndarray]:
-        """Dishes of a text and the restaurant that each is from."""
-        get, rare = self.ids.get, self.rare
-        dish = np.array([get(w, rare) for w in words] + [get(END, rare)], dtype=np.int64)
-        before = np.concatenate((dish[-1:], dish[:-1]))  # a text starts after an end
-        nearest = np.maximum.accumulate(np.where(before < contexts, np.arange(len(before)), 0))
-        return dish, np.minimum(before[nearest], contexts)
+    def predict(self, c: np.ndarray, t: np.ndarray, customers: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Of a dish in a restaurant: c, t of the cell; customers, tables of the restaurant."""
+        own = np.maximum(0.0, c - self.low.discount * t)
+        return (own + (self.low.strength + self.low.discount * tables) * parent) / (self.low.strength + customers)
 
 
 @dataclass
-class Model:
-    frequent: Frequent
-    contexts: int
-    dish_log10: np.ndarray  # restaurants x dishes
-    strength: float
-    discount: float
-    rare_tokens: int
-    rare_words: int
-    rare_tables: np.ndarray  # of each sample
-    tokens: int
-    distinct: int
-
-    def rare_log10(self, count: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """log10 of the probability of rare words, given that one comes; tables: samples x words."""
-        own = np.maximum(0.0, count[None, :] - self.discount * tables)
-        p = (own + (self.strength + self.discount * self.rare_tables[:, None]) / (self.rare_words + 1)) / (self.strength + self.rare_tokens)
-        return np.log10(p.mean(axis=0))
-
-    def base_log10(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
-
-
-def _rare_tables(count: np.ndarray, base: float, discount: float, all_tables: float, seed: list[int]) -> np.ndarray:
-    """samples x words: tables of rare words of one batch, while the restaurant's other tables stand still."""
-    level = Level(np.zeros(len(count)), np.arange(len(count)), count, 1, np.random.default_rng(seed))
-    level.discount, level.strength = discount, 1.0
-    each = np.full(len(count), base)
-    level.strength = max(1.0, 1.0 + discount * (all_tables - len(count)))
-    level.seat(each)
+class Plan:
+    """How cells are dealt."""
+
+    buckets: int
+    owners: int
+    hot: np.ndarray  # hashes of frequent contexts, ascending ...
+    spread: np.ndarray  # ... and over how many buckets each goes
+    seed: int
+
+    def bucket(self, u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """hot: place of u in self.hot, or -1."""
+        spread = np.where(hot >= 0, self.spread[hot] if len(self.spread) else 1, 1).astype(np.uint64)
+        return ((mixed(u + np.uint64(1)) % np.uint64(self.buckets) + mixed(w + np.uint64(2)) % spread) % np.uint64(self.buckets)).astype(np.int64)
+
+    def places(self, u: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.full(len(u), -1)
+        at = np.minimum(np.searchsorted(self.hot, u), len(self.hot) - 1)
+        return np.where(self.hot[at] == u, at, -1)
+
+    def slices(self, w: np.ndarray) -> np.ndarray:
+        """Where each owner's words begin in w, ascending; owners have equal ranges of hashes."""
+        shift = 64 - (self.owners.bit_length() - 1)
+        owner = (w >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(w), dtype=np.int64)
+        return np.searchsorted(owner, np.arange(self.owners + 1))
+
+    def rng(self, *of: int) -> np.random.Generator:
+        return np.random.default_rng([self.seed, *of])
+
+
+# buckets
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, posts: bool) -> Iterator[pa.RecordBatch]:
+    """(digest, text, learn) -> one row for each bucket of a chunk: its pairs of words, and how often they are
+    learned or, for posts, which documents have them; and for posts one row on the documents."""
+    part, number = TaskContext.get().partitionId(), 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    digests: list[bytes] = []
+    learn: list[bool] = []
+    size = 0
+
+    def chunk() -> Iterator[pa.RecordBatch]:
+        nonlocal number
+        tok, count = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        of = np.repeat(np.arange(len(count)), count)
+        words, w = np.unique(tok, return_inverse=True)
+        u = np.concatenate((np.searchsorted(words, [END]), w[:-1]))
+        hot = plan.places(words)
+        key = plan.bucket(words[u], tok, hot[u]).astype(np.uint64) << np.uint64(44) | u.astype(np.uint64) << np.uint64(22) | w.astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+        key, of = key[order], of[order]
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.append(new, len(key)))
+        learned = np.add.reduceat(np.array(learn, dtype=np.int32)[of], new)
+        pairs = key[new]
+        bucket = (pairs >> np.uint64(44)).astype(np.int64)
+        u, w = (pairs >> np.uint64(22) & np.uint64(0x3FFFFF)).astype(np.int64), (pairs & np.uint64(0x3FFFFF)).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        name = int.from_bytes(hashlib.blake2b(b"".join(digests) + b"%d %d" % (part, number), digest_size=8).digest(), "little", signed=True)
+        number += 1
+        rows = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            first = a + np.flatnonzero(np.concatenate(([True], u[a + 1 : b] != u[a : b - 1])))
+            runs = np.diff(np.append(first, b)).astype(np.int32)
+            if posts:
+                upto = new[b] if b < len(new) else len(key)
+                more = (n[a:b].astype(np.int32), of[new[a] : upto].astype(np.uint16), np.array([len(count)], dtype=np.int32))
+            else:
+                more = (learned[a:b],)
+            rows.append((int(bucket[a]), None, name, "pairs", None, None, pack(words[u[first]], runs, words[w[a:b]], *more)))
+            if len(rows) == 16:
+                yield from _table(rows).to_batches()
+                rows = []
+        if posts:
+            rows.append((abs(name) % plan.buckets, None, name, "docs", None, None, pack(np.frombuffer(b"".join(digests), dtype=np.uint8), count.astype(np.int64))))
+        yield from _table(rows).to_batches()
+
+    for b in batches:
+        texts, at = b.column("text").to_pylist(), 0
+        flags, ids = b.column("learn").to_pylist(), b.column("digest").to_pylist()
+        while at < len(texts):
+            upto, n = at, 0
+            while upto < len(texts) and (upto == at or n + len(texts[upto]) <= AT_ONCE):
+                n += len(texts[upto])
+                upto += 1
+            if held and (size + n // 4 > CHUNK_TOKENS or len(digests) + upto - at > CHUNK_DOCS):
+                yield from chunk()
+                held, digests, learn, size = [], [], [], 0
+            held.append(tokens(texts[at:upto]))
+            digests += ids[at:upto]
+            learn += flags[at:upto]
+            size += len(held[-1][0])
+            at = upto
+    if held:
+        yield from chunk()
+
+
+def _bodies(rows: pa.Table, kind: str) -> list[list[np.ndarray]]:
+    """Unpacked bodies of a kind, by owner if they have one."""
+    at = [k for k, x in enumerate(rows.column("kind").to_pylist()) if x == kind]
+    some = rows.take(pa.array(at, pa.int64())).sort_by("q")
+    return [unpack(x) for x in some.column("body").to_pylist()]
+
+
+def _merged(rows: pa.Table, plan: Plan) -> pa.Table:
+    """The pairs of a bucket -> its cells, a first seating with a table for each, and what owners must know."""
+    bucket = rows.column("bucket")[0].as_py()
+    parts = _bodies(rows, "pairs")
+    u = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+    w = np.concatenate([p[2] for p in parts])
+    c = np.concatenate([p[3] for p in parts]).astype(np.int64)
+    words, wi = np.unique(w, return_inverse=True)
+    contexts, ui = np.unique(u, return_inverse=True)
+    del parts, u, w
+    cell, of = np.unique(ui.astype(np.int64) << 32 | wi, return_inverse=True)
+    c = np.bincount(of, weights=c, minlength=len(cell)).astype(np.int64)
+    ui, wi = (cell >> 32).astype(np.int32), (cell & 0xFFFFFFFF).astype(np.int32)
+    many = np.flatnonzero(c > 1)
+    ones = np.bincount(ui[c == 1], minlength=len(contexts)).astype(np.int64)
+    customers = np.bincount(ui, weights=c, minlength=len(contexts)).astype(np.int64)
+    tables = ones + np.bincount(ui[many], minlength=len(contexts))
+    said = np.bincount(wi[c == 1], minlength=len(words)).astype(np.int64)
+    count = np.bincount(wi, weights=c, minlength=len(words)).astype(np.int64)
+    sums = np.bincount(wi[many], minlength=len(words)).astype(np.int64)
+    out = [
+        (bucket, None, None, "cells", None, None, pack(contexts, words, cell, c)),
+        (bucket, None, None, "many", None, None, pack(contexts, ui[many], wi[many], c[many], ones, np.array([len(words)]), plan.slices(words))),
+        (bucket, None, None, "seats", None, None, pack(np.ones(len(many), dtype=np.int64), tables)),
+    ]
+    cuts = plan.slices(words)
+    for q, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if b > a:
+            out.append((bucket, q, None, "words", None, None, pack(words[a:b], said[a:b], count[a:b])))
+            out.append((bucket, q, None, "sums", None, None, pack(sums[a:b])))
+    hot = plan.places(contexts)
+    cold = (hot < 0) & (customers > 0)
+    out += _totals("customers", coarse(customers[cold])) + _totals("tables", coarse(tables[cold]))
+    out += _totals("hot customers", hot[hot >= 0], customers[hot >= 0]) + _totals("hot tables", hot[hot >= 0], tables[hot >= 0])
+    return _table(out)
+
+
+def _vocabulary(rows: pa.Table) -> pa.Table:
+    """What buckets say of an owner's words -> their totals, where each bucket's words stand, and counts for all."""
+    q = rows.column("q")[0].as_py()
+    rows = rows.sort_by("bucket")
+    buckets = rows.column("bucket").to_pylist()
+    parts = [unpack(x) for x in rows.column("body").to_pylist()]
+    words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    said, count = (np.bincount(at, weights=np.concatenate([p[k] for p in parts]), minlength=len(words)).astype(np.int64) for k in (1, 2))
+    sizes = np.array([len(p[0]) for p in parts])
+    out = [(-1, q, None, "owned", None, None, pack(said, at.astype(np.int32), np.array(buckets), sizes))]
+    for bucket, own in zip(buckets, np.split(at, np.cumsum(sizes)[:-1]), strict=True):
+        out.append((bucket, q, None, "counts", None, None, pack(count[own])))
+    return _table(out + _totals("words", np.zeros(1), np.array([float((count > 0).sum())])) + _totals("tokens", np.zeros(1), np.array([float(count.sum())])))
+
+
+def _parent(rows: pa.Table, plan: Plan, state: State, number: int) -> pa.Table:
+    """Tables that an owner's words got in buckets -> the parent's seating of them, told to the buckets."""
+    q = rows.column("q")[0].as_py()
+    said, at, buckets, sizes = _bodies(rows, "owned")[0]
+    ends = np.cumsum(sizes)
+    place = {int(b): (int(e - n), int(e)) for b, e, n in zip(buckets, ends, sizes, strict=True)}
+    count = said.copy()
+    for kind, bucket, body in zip(*(rows.column(x).to_pylist() for x in ("kind", "bucket", "body")), strict=True):
+        if kind == "sums":
+            a, b = place[bucket]
+            count[at[a:b]] += unpack(body)[0]  # a bucket has a word once
+    rng = plan.rng(1, number, q)
+    x = plan.rng(2, number).gamma(state.top.strength / state.top.discount + state.tables)
+    t = draw_tables(count, np.full(len(count), state.top.discount * x / (state.words + 1)), state.top.discount, rng)
+    own = np.maximum(0, count - state.top.discount * t).astype(np.float32)
+    out = [(b, q, None, "parent", None, None, pack(own[at[lo:hi]])) for b, (lo, hi) in place.items()]
+    out += _totals("parent customers", np.zeros(1), np.array([float(count.sum())])) + _totals("parent tables", np.zeros(1), np.array([float(t.sum())]))
+    return _table(out + _totals("parent cells", _histogram(count, t)))
+
+
+def _seated(rows: pa.Table, plan: Plan, state: State, number: int) -> pa.Table:
+    """A sweep over a bucket: all cells are seated anew, given their restaurants' x and the parent."""
+    bucket = rows.column("bucket")[0].as_py()
+    contexts, ui, wi, c, ones, n_words, cuts = _bodies(rows, "many")[0]
+    _, before = _bodies(rows, "seats")[0]
+    parent = state.parent(np.concatenate([x[0] for x in _bodies(rows, "parent")]).astype(float))
+    rng, d = plan.rng(3, number, bucket), state.low.discount
+    hot = plan.places(contexts)
+    x = rng.gamma(state.low.strength / d + before)
+    if (hot >= 0).any():  # the same in every bucket
+        x[hot >= 0] = plan.rng(4, number).gamma(state.low.strength / d + state.hot_tables)[hot[hot >= 0]]
+    t = draw_tables(c, d * x[ui] * parent[wi], d, rng)
+    tables = ones + np.bincount(ui, weights=t, minlength=len(contexts)).astype(np.int64)
+    sums = np.bincount(wi, weights=t, minlength=int(n_words[0])).astype(np.int64)
+    out = [(bucket, None, None, "seats", None, None, pack(t, tables))]
+    out += [(bucket, q, None, "sums", None, None, pack(sums[a:b])) for q, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+    cold = (hot < 0) & (tables > 0)
+    out += _totals("tables", coarse(tables[cold])) + _totals("hot tables", hot[hot >= 0], tables[hot >= 0])
+    return _table(out + _totals("cells", _histogram(c, t)))
+
+
+def _priced(rows: pa.Table, plan: Plan, states: list[State]) -> pa.Table:
+    """A bucket's cells and several seatings of them, and the documents that have them -> sums for documents."""
+    if "pairs" not in (kinds := rows.column("kind").to_pylist()):
+        return rows.take(pa.array([k for k, x in enumerate(kinds) if x == "docs"], pa.int64())).select(ROWS_NAMES)
+    contexts, words, cell, c = _bodies(rows, "cells")[0]
+    ui, wi = cell >> 32, cell & 0xFFFFFFFF
+    customers = np.bincount(ui, weights=c, minlength=len(contexts))
+    hot = plan.places(contexts)
+    total = np.zeros(len(cell))
+    many = c > 1
+    for k, state in enumerate(states):
+        t = np.minimum(c, 1)
+        t[many], tables = _bodies(rows, f"seats {k}")[0]
+        tables = tables.astype(float)
+        if (hot >= 0).any():
+            tables[hot >= 0], customers[hot >= 0] = state.hot_tables[hot[hot >= 0]], state.hot_customers[hot[hot >= 0]]
+        parent = state.parent(np.concatenate([x[0] for x in _bodies(rows, f"parent {k}")]).astype(float))
+        total += state.predict(c, t, customers[ui], tables[ui], parent[wi])
+    score = np.log10(total / max(1, len(states)))
+    count = np.concatenate([x[0] for x in _bodies(rows, "counts")])
+    base = np.log10((count + 0.1) / (states[-1].tokens + 0.1 * (states[-1].words + 1)))
     out = []
-    for at in range(BURN_IN + (SAMPLES - 1) * BETWEEN):
-        level.sweep(each)
-        if at + 1 >= BURN_IN and (at + 1 - BURN_IN) % BETWEEN == 0:
-            out.append(level.tables.copy())
-    return np.array(out)
+    for bucket, chunk, kind, body in zip(*(rows.column(x).to_pylist() for x in ("bucket", "chunk", "kind", "body")), strict=True):
+        if kind == "docs":
+            out.append((bucket, None, chunk, "docs", None, None, body))
+        if kind != "pairs":
+            continue
+        u, runs, w, n, of, docs = unpack(body)
+        at = np.searchsorted(cell, np.repeat(np.searchsorted(contexts, u), runs) << 32 | np.searchsorted(words, w))
+        word = wi[at]
+        sums = [np.bincount(of, weights=np.repeat(x, n), minlength=int(docs[0])) for x in ((count[word] > 0).astype(float), base[word], score[at])]
+        has = np.flatnonzero(np.bincount(of, minlength=int(docs[0])))
+        out.append((bucket, None, chunk, "sums", None, None, pack(has.astype(np.int32), *[x[has] for x in sums])))
+    return _table(out)
 
 
-def train(docs: DataFrame, folder: str, hot_words: int = HOT_WORDS, contexts: int = CONTEXTS, seed: int = 5) -> tuple[Model, DataFrame]:
-    """docs (text) -> the model, and its rare words (word, n, log10 among the rare) as a table in folder."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    texts = docs.select(whole(F.col("text")).cast("binary").alias("text"))
-    vocabulary = staged(texts.mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), f"{folder}/vocabulary")
-    tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = vocabulary.where((F.octet_length("word") <= LONGEST_HOT) & (F.col("word") != F.lit(END))).orderBy(F.col("n").desc(), "word").limit(hot_words - 1).collect()
-    ends = vocabulary.where(F.col("word") == F.lit(END)).collect()
-    rows = [*ends, *hot]
-    frequent = Frequent({bytes(r["word"]): k for k, r in enumerate(rows)}, np.array([r["n"] for r in rows], dtype=np.int64))
-    contexts = min(contexts, frequent.rare)
-    said = spark.sparkContext.broadcast(frequent)
-    dishes = frequent.rare + 1
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, n = said.value, np.zeros((contexts + 1) * dishes, dtype=np.int64)
-        for b in batches:
-            got = []
-            for data in b.column("text").to_pylist():
-                dish, rest = f.row(words_of(data), contexts)
-                got.append(rest * dishes + dish)
-            if got:
-                n += np.bincount(np.concatenate(got), minlength=len(n))
-        cells = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(n[cells])], ["cell", "n"])
-
-    pairs = texts.mapInArrow(follow, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().sort_by("cell")
-    cell, n = pairs["cell"].to_numpy(), pairs["n"].to_numpy()
-    del pairs
-    rest, dish = cell // dishes, cell % dishes
-    shared, up = np.unique(dish, return_inverse=True)
-    probability = np.zeros((contexts + 1, dishes))
-    tree = Tree([(np.zeros(len(shared)), shared, np.zeros(len(shared))), (rest, dish, n)], [np.zeros(0, dtype=np.int64), up], [1, contexts + 1], dishes, seed)
-    taken = 0
-    for t in tree.samples():
-        top, low = t.levels
-        c, tables = top.totals()
-        parent = np.full(dishes, (top.strength + top.discount * tables[0]) / (top.strength + c[0]) / dishes)
-        parent[top.dish] += np.maximum(0, top.count - top.discount * top.tables) / (top.strength + c[0])
-        c, tables = low.totals()
-        p = ((low.strength + low.discount * tables) / (low.strength + c))[:, None] * parent[None, :]
-        p[low.rest, low.dish] += np.maximum(0, low.count - low.discount * low.tables) / (low.strength + c[low.rest])
-        probability += p
-        taken += 1
-    dish_log10 = np.log10(probability / max(1, taken)).astype(np.float32)
-
-    names = spark.createDataFrame([(w,) for w in frequent.ids], "word binary")
-    rare = vocabulary.join(F.broadcast(names), "word", "left_anti")
-    rare_tokens, rare_words, ones, twos = rare.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
-    discount = min(0.95, max(0.05, (ones + 0.5) / (ones + 2 * twos + 1)))
-
-    # while tables of a part are sampled, the other words sit at one table each
-    def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, b in enumerate(batches):
-            n = b.column("n").to_numpy(zero_copy_only=False)
-            t = _rare_tables(n, 1 / (rare_words + 1), discount, float(rare_words), [seed, TaskContext.get().partitionId(), k])
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(t.T.tolist(), pa.list_(pa.int64()))], ["word", "n", "tables"])
-
-    tables = staged(rare.mapInArrow(seated, "word binary, n long, tables array<bigint>"), f"{folder}/tables")
-    sums = tables.agg(*[F.coalesce(F.sum(F.col("tables")[k]), F.lit(0)) for k in range(SAMPLES)]).first()
-    model = Model(frequent, contexts, dish_log10, 1.0, discount, int(rare_tokens), int(rare_words), np.array([float(x) for x in sums]), int(tokens), int(distinct))
-    small = spark.sparkContext.broadcast(model)
-
-    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summed(rows: pa.Table) -> pa.Table:
+    """A chunk's sums from all buckets -> a row for each document."""
+    rows = rows.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+    digests, count = _bodies(rows, "docs")[0]
+    total = np.zeros((3, len(count)))
+    for has, *sums in _bodies(rows, "sums"):
+        for k, x in enumerate(sums):
+            total[k, has] += x
+    data = digests.tobytes()
+    return pa.table([pa.array([data[32 * k : 32 * k + 32] for k in range(len(count))], pa.binary()), pa.array(count), pa.array(total[0].astype(np.int64)), pa.array(total[1]), pa.array(total[2])], names=["digest", "n_tokens", "n_known", "base_score", "score"])
+
+
+ROWS_NAMES = [x.split()[0] for x in ROWS.split(", ")]
+
+
+# the whole
+
+
+def _plan(rows: DataFrame, seed: int) -> Plan:
+    """Buckets by bytes of text; frequent contexts by a sample."""
+    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    buckets = max(1, -(-size // BUCKET_BYTES))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.column("n").to_numpy(zero_copy_only=False)
-            t = b.column("tables").flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1).T
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(small.value.rare_log10(n, t))], ["word", "n", "rare"])
+            if b.num_rows:
+                w, k = np.unique(tokens(b.column("text").to_pylist())[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(k)], ["w", "n"])
+
+    some = rows.where(F.pmod(F.xxhash64("digest"), F.lit(max(1, n // SAMPLED))) == 0).select("text")
+    words = some.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    all_ = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # of more than a quarter of a bucket; there can't be more than four times as many as buckets
+    found = words.where(F.col("n") * (4 * buckets) > all_).toArrow() if buckets > 1 and all_ else None
+    hot = found["w"].to_numpy().view(np.uint64) if found else np.zeros(0, dtype=np.uint64)
+    share = found["n"].to_numpy() / all_ if found else np.zeros(0)
+    order = np.argsort(hot)
+    spread = np.clip(np.ceil(share * buckets * 4), 1, buckets).astype(np.int64)
+    return Plan(buckets, power_of_two(buckets), hot[order], spread[order], seed)
 
-    return model, staged(tables.mapInArrow(priced, "word binary, n long, rare double"), f"{folder}/priced")
+
+@dataclass
+class Options:
+    burn_in: int = BURN_IN
+    samples: int = SAMPLES
+    seed: int = 5
+    #: Keep these hyperparameters instead of drawing them.
+    fixed: tuple[Hyper, Hyper] | None = None
 
 
-def scored(docs: DataFrame, model: Model, vocabulary: DataFrame, held_out, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs (text and `keep`) -> keep, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def lm_scores(docs: DataFrame, folds: int = 10, options: Options | None = None) -> DataFrame:
+    """Learn from the documents whose id's crc32 isn't 0 modulo folds, and score them all.
 
-    Null text counts as empty, so it is one token, the end.  Rows may repeat; columns not in `keep` aren't
-    read; an empty table gives an empty result.
+    docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  Null text counts
+    as empty, so it is one token, the end.  Very long texts are read whole, each in one task.  Rows may repeat,
+    and each is learned from; equal texts have equal scores.  An empty table gives an empty result, one without
+    training documents the base alone; other columns aren't read.
     """
-    spark = docs.sparkSession
+    spark, options = docs.sparkSession, options or Options()
     small_batches(spark)
-    said = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*keep).alias("kept"), held_out.alias("held_out"), whole(F.col("text")).cast("binary").alias("text"))
-    kept = rows.schema["kept"].dataType
-    about = f"struct<kept:{kept.simpleString()},held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double>"
-
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = said.value
-        f, rare = m.frequent, m.frequent.rare
-        hot_base = m.base_log10(f.counts.astype(float))
-        row = TaskContext.get().partitionId() << 40
-        for b in batches:
-            rid, word, n, first, out = [], [], [], [], []
-            for at, data in enumerate(b.column("text").to_pylist()):
-                words = words_of(data)
-                dish, rest = f.row(words, m.contexts)
-                hot = dish[dish < rare]
-                known = hot_base[hot].sum()
-                out.append((len(words) + 1, len(hot), float(known), float(m.dish_log10[rest, dish].sum(dtype=np.float64))))
-                c = Counter([w for w, d in zip(words, dish, strict=False) if d == rare])
-                if dish[-1] == rare or not c:  # a word that no text has, so that the row isn't lost
-                    c = c or Counter([b"\n%d" % row])
-                rid += [row] * len(c)
-                word += list(c)
-                n += list(c.values())
-                first += [at] + [None] * (len(c) - 1)
-                row += 1
-            if not rid:
-                continue
-            each = pa.StructArray.from_arrays([b.column("kept"), b.column("held_out"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out]), pa.array([x[3] for x in out])], ["kept", "held_out", "n_tokens", "n_known", "base", "score"])
-            step = 1 << 16
-            for at in range(0, len(rid), step):
-                cut = slice(at, at + step)
-                yield pa.RecordBatch.from_arrays([pa.array(rid[cut], pa.int64()), pa.array(word[cut], pa.binary()), pa.array(n[cut], pa.int64()), each.take(pa.array(first[cut], pa.int64()))], ["rid", "word", "n", "about"])
-
-    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per posting: tokens known, base and score."""
-        m = said.value
-        for b in batches:
-            words, n = b.column("word").to_pylist(), b.column("n").to_numpy(zero_copy_only=False)
-            c = b.column("c").fill_null(0).to_numpy(zero_copy_only=False).astype(float)
-            rare = b.column("rare").fill_null(0.0).to_numpy(zero_copy_only=False).copy()
-            real = np.array([w[:1] != END for w in words], dtype=bool)
-            rare[(c == 0) & real] = m.rare_log10(np.zeros(1), np.zeros((len(m.rare_tables), 1)))[0]
-            base = np.where(real, m.base_log10(c) * n, 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(np.where(c > 0, n, 0)), pa.array(base), pa.array(np.where(real, rare * n, 0.0)), b.column("about")], ["rid", "known", "base", "score", "about"])
-
-    posted = rows.mapInArrow(postings, f"rid long, word binary, n long, about {about}")
-    found = posted.join(vocabulary.withColumnRenamed("n", "c"), "word", "left").select("rid", "word", "n", "c", "rare", "about")
-    parts = found.mapInArrow(priced, f"rid long, known long, base double, score double, about {about}")
-    parts = parts.select("rid", "known", "base", "score", F.col("about.kept").alias("kept"), *[F.col(f"about.{c}").alias(f"a_{c}") for c in ("held_out", "n_tokens", "n_known", "base", "score")])
-    sums = parts.groupBy("rid").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("score").alias("score"), F.max("kept").alias("kept"), F.max("a_held_out").alias("held_out"), *[F.max(f"a_{c}").alias(f"a_{c}") for c in ("n_tokens", "n_known", "base", "score")])
-    # the end is a word of the vocabulary unless nothing was learned
-    end_base = float(model.base_log10(np.zeros(1))[0]) if END not in model.frequent.ids else 0.0
-    return sums.select(
-        "kept.*",
-        "held_out",
-        F.col("a_n_tokens").alias("n_tokens"),
-        (F.col("a_n_known") + F.col("known")).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("a_base") + F.col("base") + F.lit(end_base)).alias("base_score"),
-        (F.col("a_score") + F.col("score")).alias("score"),
-    )
-
-
-def lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
-    """Learn from the documents whose id's crc32 isn't 0 modulo folds, and score them all."""
-    folder = work_folder(docs.sparkSession)
-    model, vocabulary = train(docs.where(fold(F.col("doc_id"), folds) != 0), folder)
-    return scored(docs, model, vocabulary, fold(F.col("doc_id"), folds) == 0)
+    folder = work_folder(spark)
+    text = whole(F.col("text"))
+    held_out = fold(F.col("doc_id"), folds) == 0
+    rows = docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.cast("binary").alias("text"), (~held_out).alias("learn"))
+    plan = _plan(rows, options.seed)
+    rng = plan.rng(0)
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        """Stage by kind; totals come to the driver as sums by kind and key."""
+        df.write.partitionBy("kind").parquet(f"{folder}/{name}")
+        spark.sparkContext._jvm.System.gc()  # so that the shuffle's files go
+        return spark.read.schema(ROWS).parquet(f"{folder}/{name}")
+
+    def totals(df: DataFrame) -> dict[str, dict[int, float]]:
+        out: dict[str, dict[int, float]] = {}
+        for kind, key, n in df.where("kind like 'total %'").groupBy("kind", "key").agg(F.sum("n")).toArrow().to_pandas().itertuples(index=False):
+            out.setdefault(kind[6:], {})[int(key)] = n
+        return out
+
+    def grouped(df: DataFrame, by: str, run: Callable[[pa.Table], pa.Table], schema: str = ROWS) -> DataFrame:
+        return df.groupBy(by).applyInArrow(run, schema)
+
+    def of(df: DataFrame, kind: str, name: str | None = None) -> DataFrame:
+        df = df.where(F.col("kind") == kind).select(*ROWS_NAMES)
+        return df if name is None else df.withColumn("kind", F.lit(name))
+
+    def at(run: Callable[[pa.Table, Plan, State, int], pa.Table], state: State, number: int) -> Callable[[pa.Table], pa.Table]:
+        return lambda t: run(t, plan, state, number)
+
+    def hot(sums: dict[int, float]) -> np.ndarray:
+        return np.array([sums.get(k, 0.0) for k in range(len(plan.hot))])
+
+    dealt = partial(_dealt, plan=plan, posts=False)
+    cells = stage(grouped(rows.mapInArrow(lambda b: dealt(b), ROWS), "bucket", lambda t: _merged(t, plan)), "cells")
+    owned = stage(grouped(of(cells, "words"), "q", _vocabulary), "owned")
+    said, known = totals(cells), totals(owned)
+    state = State(words=int(known.get("words", {}).get(0, 0)), tokens=int(known.get("tokens", {}).get(0, 0)))
+    state = replace(state, tables=float(state.words), hot_customers=hot(said.get("hot customers", {})), hot_tables=hot(said.get("hot tables", {})))
+    if options.fixed:
+        state = replace(state, low=options.fixed[0], top=options.fixed[1])
+    # contexts that few buckets share out are restaurants like any other
+    customers = dict(said.get("customers", {}))
+    for k in coarse(state.hot_customers):
+        customers[int(k)] = customers.get(int(k), 0) + 1
+
+    seats, samples = cells, []
+    for number in range(options.burn_in + options.samples):
+        if number:  # the first parent is that of one table a cell
+            now, last = state, f"seats{number}"
+            seats = stage(grouped(of(cells, "many").unionByName(of(seats, "seats")).unionByName(of(parent, "parent")), "bucket", at(_seated, now, number)), last)
+            said = totals(seats)
+            state = replace(state, hot_tables=hot(said.get("hot tables", {})))
+        now = state
+        parent = stage(grouped(of(owned, "owned").unionByName(of(seats, "sums")), "q", at(_parent, now, number)), f"parent{number}")
+        top = totals(parent)
+        state = replace(state, customers=top.get("parent customers", {}).get(0, 0.0), tables=top.get("parent tables", {}).get(0, 0.0))
+        if number >= options.burn_in:
+            samples.append((state, seats, parent))
+        else:
+            dropped(spark, *([f"{folder}/parent{number - 1}", f"{folder}/seats{number - 1}"] if number > 1 else []))
+        if not options.fixed:
+            tables = dict(said.get("tables", {}))
+            for k in coarse(state.hot_tables):
+                tables[int(k)] = tables.get(int(k), 0) + 1
+            low = state.low.drawn(tables, customers, said["cells"], rng) if "cells" in said else state.low
+            root = state.top.drawn({int(state.tables): 1.0}, {int(state.customers): 1.0}, top.get("parent cells", {}), rng) if state.words else state.top
+            state = replace(state, low=low, top=root)
+
+    posts = partial(_dealt, plan=plan, posts=True)
+    parts = rows.mapInArrow(lambda b: posts(b), ROWS).unionByName(of(cells, "cells")).unionByName(of(owned, "counts"))
+    for k, (_, s, p) in enumerate(samples):
+        parts = parts.unionByName(of(s, "seats", f"seats {k}")).unionByName(of(p, "parent", f"parent {k}"))
+    states = [s for s, _, _ in samples]
+    sums = grouped(parts, "bucket", lambda t: _priced(t, plan, states))
+    scores = grouped(sums, "chunk", _summed, "digest binary, n_tokens long, n_known long, base_score double, score double")
+    scores = staged(scores.groupBy("digest").agg(*[F.min(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]), f"{folder}/scores")
+    spark.sparkContext._jvm.System.gc()
+    dropped(spark, *[f"{folder}/{x}" for x in ("cells", "owned", *[f"{y}{k}" for y in ("seats", "parent") for k in range(options.burn_in + options.samples)])])
+    out = docs.select("doc_id", held_out.alias("held_out"), F.unhex(F.sha2(text, 256)).alias("digest")).join(scores, "digest")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(states[-1].tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity(scores: DataFrame, of: str = "score") -> DataFrame:

@@ -227,19 +227,158 @@ def test_secrets(spark, docs, nothing, rows, tmp_path):
     assert secrets.scan(nothing).count() == 0
 
 
-def test_levels_keep_count():
+def stirling_numbers(d, most):
+    out = [[0.0] * (most + 2) for _ in range(most + 2)]
+    out[1][1] = 1.0
+    for c in range(1, most):
+        for t in range(1, c + 2):
+            out[c + 1][t] = out[c][t - 1] + (c - d * t) * out[c][t]
+    return out
+
+
+def test_tables_follow_their_law():
     rng = np.random.default_rng(3)
-    count = rng.integers(1, 50, 200)
-    level = lm_scoring.Level(np.arange(200) % 7, np.arange(200), count, 7, rng)
-    base = np.full(200, 0.01)
-    level.seat(base)
-    for _ in range(20):
-        level.sweep(base)
-        assert (level.count == count).all() and (level.tables >= 1).all() and (level.tables <= count).all()
-        assert (np.bincount(level.cell, weights=level.size, minlength=200) == count).all()
-        assert (np.bincount(level.cell, minlength=200) == level.tables).all()
-    level.become(np.maximum(1, count - 3), base)
-    assert (level.count == np.maximum(1, count - 3)).all()
+    for d, c, weight in ((0.5, 2, 0.3), (0.75, 7, 1.5), (0.3, 12, 4.0)):
+        s = stirling_numbers(d, c)
+        p = np.array([weight**t * s[c][t] for t in range(1, c + 1)])
+        got = np.bincount(lm_scoring.draw_tables(np.full(40_000, c), np.full(40_000, weight), d, rng), minlength=c + 1)[1:] / 40_000
+        assert np.abs(got - p / p.sum()).max() < 0.012
+    # beyond the exact law: mean and variance
+    for d, c, weight in ((0.8, 300, 3.0), (0.6, 300, 40.0), (0.9, 200, 0.05), (0.5, 400, 0.9)):
+        p = np.exp(np.log(weight) * np.arange(1, c + 1) + lm_scoring.stirling(d, c)[c, 1 : c + 1] - lm_scoring.stirling(d, c)[c, 1])
+        p /= p.sum()
+        mean = (p * np.arange(1, c + 1)).sum()
+        got = lm_scoring.draw_tables(np.full(20_000, c), np.full(20_000, weight), d, rng)
+        assert got.mean() == pytest.approx(mean, rel=0.1, abs=0.12) and got.std() == pytest.approx((p * (np.arange(1, c + 1) - mean) ** 2).sum() ** 0.5, rel=0.2, abs=0.12)
+    assert lm_scoring.draw_tables(np.array([0, 1]), np.array([0.0, 2.0]), 0.5, rng).tolist() == [0, 1]
+
+
+def test_sweeps_of_one_restaurant():
+    """Cells given x, x given the tables: in the long run the joint law of a Pitman-Yor restaurant."""
+    import itertools
+
+    rng, d, strength = np.random.default_rng(5), 0.6, 0.7
+    c, base = np.array([5, 3, 4]), np.array([0.5, 0.1, 0.02])
+    s = stirling_numbers(d, 5)
+    want, whole = 0.0, 0.0
+    for t in itertools.product(*[range(1, n + 1) for n in c]):
+        p = math.prod(strength + d * k for k in range(sum(t))) * math.prod(base[k] ** t[k] * s[c[k]][t[k]] for k in range(3))
+        want, whole = want + p * np.array([*t, sum(t) ** 2]), whole + p
+    t, total, n = np.ones(3, dtype=np.int64), np.zeros(4), 8000
+    for _ in range(n):
+        x = rng.gamma(strength / d + t.sum())
+        t = lm_scoring.draw_tables(c, d * x * base, d, rng)
+        total += [*t, t.sum() ** 2]
+    assert total / n == pytest.approx(want / whole, rel=0.04)
+
+
+def test_hyperparameters_come_back():
+    """Drawn from restaurants of known discount and strength."""
+    rng, d, strength = np.random.default_rng(8), 0.6, 3.0
+    tables, cells, customers = Counter(), Counter(), Counter()
+    for _ in range(150):
+        seats: list[list[int]] = []  # of one dish each: the base has no atoms
+        for k in range(60):
+            p = [strength + d * len(seats), *[x - d for x in seats]]
+            at = rng.choice(len(p), p=np.array(p) / (strength + k))
+            seats = [*seats, 1] if at == 0 else [x + (j == at - 1) for j, x in enumerate(seats)]
+        tables[len(seats)] += 1
+        customers[60] += 1
+        cells.update(int(x) * (lm_scoring.EXACT + 1) + 1 for x in seats if x > 1)
+    h, drawn = lm_scoring.Hyper(), []
+    for k in range(60):
+        h = h.drawn(dict(tables), dict(customers), dict(cells), rng)
+        drawn += [h] * (k > 20)
+    assert abs(np.mean([x.discount for x in drawn]) - d) < 0.08 and 1.5 < np.mean([x.strength for x in drawn]) < 6
+
+
+def test_words_hash_alike():
+    texts = ["The tHE the", "", "  a\x0bb\x1cc ", "É é", "x" * 3000]
+    got, n = lm_scoring.tokens([t.encode() for t in texts])
+    plain = [["the"] * 3, [], ["a", "b\x1cc"], ["É", "é"], ["x" * 3000]]
+    assert n.tolist() == [len(w) + 1 for w in plain]
+    flat = [x for w in plain for x in [*w, "\n"]]
+    assert all((a == b) == (flat[i] == flat[j]) for i, a in enumerate(got) for j, b in enumerate(got))
+
+
+def test_predictions_are_a_distribution():
+    rng = np.random.default_rng(6)
+    c, t = rng.integers(0, 9, 50), np.zeros(50, dtype=np.int64)
+    t[c > 0] = 1 + rng.integers(0, 9, (c > 0).sum()) % c[c > 0]
+    own = rng.integers(1, 30, 50) - 0.4
+    state = lm_scoring.State(lm_scoring.Hyper(0.7, 2.0), lm_scoring.Hyper(0.4, 5.0), words=50, customers=float((own + 0.4).sum()), tables=50.0)
+    parent = state.parent(np.append(own, 0.0))  # and the word that training lacks
+    assert parent.sum() == pytest.approx(1)
+    assert state.predict(np.append(c, 0), np.append(t, 0), c.sum(), t.sum(), parent).sum() == pytest.approx(1)
+
+
+def plain_gibbs(train, texts, low, top, sweeps, burn_in, seed=1):
+    """Customers leave their table one by one and sit down again; mean predictions over sweeps."""
+    import random
+
+    rnd = random.Random(seed)
+    rest: dict = defaultdict(lambda: defaultdict(list))  # restaurant -> dish -> sizes; the parent is None
+    words_ = {w for t in train for w in t} | {"\n"}
+
+    def p(r, w):
+        base = 1 / (len(words_) + 1) if r is None else p(None, w)
+        d, s = (top if r is None else low).discount, (top if r is None else low).strength
+        own = rest[r][w] if r in rest and w in rest[r] else []
+        n, k = (sum(sum(x) for x in rest[r].values()), sum(map(len, rest[r].values()))) if r in rest else (0, 0)
+        return (sum(own) - d * len(own) + (s + d * k) * base) / (s + n)
+
+    def come(r, w):
+        d, s = (top if r is None else low).discount, (top if r is None else low).strength
+        base = 1 / (len(words_) + 1) if r is None else p(None, w)
+        own, k = rest[r][w], sum(map(len, rest[r].values()))
+        at = rnd.choices(range(len(own) + 1), [*[x - d for x in own], (s + d * k) * base])[0]
+        if at == len(own):
+            own.append(1)
+            if r is not None:
+                come(None, w)
+        else:
+            own[at] += 1
+
+    def leave(r, w):
+        own = rest[r][w]
+        at = rnd.choices(range(len(own)), own)[0]
+        own[at] -= 1
+        if not own[at]:
+            del own[at]
+            if r is not None:
+                leave(None, w)
+
+    pairs = [x for t in train for x in zip(["\n", *t], [*t, "\n"], strict=True)]
+    for r, w in pairs:
+        come(r, w)
+    total = [np.zeros(len(t) + 1) for t in texts]
+    for k in range(burn_in + sweeps):
+        for r, w in pairs:
+            leave(r, w)
+            come(r, w)
+        for at in range(8):  # the parent's customers, too
+            for w in list(rest[None]):
+                if rest[None][w]:
+                    leave(None, w)
+                    come(None, w)
+        if k >= burn_in:
+            for t, x in zip(texts, total, strict=True):
+                x += [p(r, w) for r, w in zip(["\n", *t], [*t, "\n"], strict=True)]
+    return [float(np.log10(x / sweeps).sum()) for x in total]
+
+
+@pytest.mark.parametrize("bucket_bytes", [1 << 24, 150])
+def test_lm_agrees_with_plain_gibbs(spark, monkeypatch, bucket_bytes):
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", bucket_bytes)
+    rng = np.random.default_rng(9)
+    texts = [["abcdefghij"[int(x)] for x in np.minimum(9, rng.geometric(0.3, int(n)) - 1)] for n in rng.integers(0, 12, 60)] + [["z", "a", "b"], ["a", "zz"]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    low, top = lm_scoring.Hyper(0.6, 0.8), lm_scoring.Hyper(0.4, 2.0)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(docs, options=lm_scoring.Options(3, 8, fixed=(low, top))).collect()}
+    train = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 10]
+    want = plain_gibbs(train, texts, low, top, 60, 20)
+    off = [(got[k] - want[k]) / (len(t) + 1) for k, t in enumerate(texts)]
+    assert max(map(abs, off)) < 0.06 and abs(float(np.mean(off))) < 0.015
 
 
 def test_lm_scoring(docs, nothing, rows, monkeypatch):
@@ -259,13 +398,6 @@ def test_lm_scoring(docs, nothing, rows, monkeypatch):
     assert lm_scoring.lm_scores(nothing).count() == 0
 
 
-def test_lm_is_a_distribution(spark, docs):
-    model, vocabulary = lm_scoring.train(docs, lm_scoring.work_folder(spark), hot_words=20, contexts=5)
-    assert np.allclose((10.0 ** model.dish_log10.astype(float)).sum(axis=1), 1, atol=1e-4)
-    new = 10 ** model.rare_log10(np.zeros(1), np.zeros((3, 1)))[0]
-    assert sum(10 ** r["rare"] for r in vocabulary.collect()) + new == pytest.approx(1, abs=1e-6)
-
-
 @pytest.mark.parametrize("how", [{}, {"chunk": 300, "overlap": 40}, {"chunk": 40, "overlap": 6}])
 def test_bpe(docs, nothing, rows, how):
     ranks, pattern = queries.tokenizer()
@@ -359,8 +491,106 @@ def test_windows_number_words():
     assert seen.tolist() == [0, 2, 3, 4, 5]
 
 
-def test_lm_contexts_past_the_most_frequent(spark, tmp_path):
-    rows = [(" ".join(f"a{k:03d} b{k:03d}" for k in range(n, n + 10)),) for n in range(0, 100, 10) for _ in range(20)]
-    model, _ = lm_scoring.train(spark.createDataFrame(rows, "text string"), f"file://{tmp_path}")
-    ids = model.frequent.ids
-    assert ids[b"a090"] < model.contexts and model.dish_log10[ids[b"a090"], ids[b"b090"]] > -0.3
+def plain_fingerprints(rows):
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), sha(r[1] or "")))
+    out = Counter()
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        out[i, sha(t[: len(t) - len(t) // 2] + after[: len(t) // 2])] += 1
+    return out
+
+
+def test_runs_of_any_ids(spark, monkeypatch):
+    """One id far off, an id that a third of the rows have, rows without an id."""
+    monkeypatch.setattr(sketching, "ROWS_PER_RUN", 4)
+    rows = [(k * 3 + 10**15, f"a{k} b{k} c{k}") for k in range(60)] + [(-(2**62), "far off"), (2**62, "far up")]
+    rows += [(10**15 + 30, f"same id {k}") for k in range(50)] + [(None, f"none {k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in sketching.fingerprints(docs).collect()) == plain_fingerprints(rows)
+    sizes = [r["count"] for r in docs.withColumn("run", sketching._runs(docs)).groupBy("run").count().collect()]
+    assert max(sizes) <= 16 and len(sizes) > 25
+
+
+def test_sketches_merge(spark):
+    """The sketch of the parts' hashes is that of the whole, also where a part has none below the threshold."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(300):
+        h = rng.integers(-(2**63), 2**63 - 1, int(rng.integers(0, 9))).tolist()
+        at = int(rng.integers(0, len(h) + 1))
+        rows.append((h, h[:at], h[at:]))
+    df = spark.createDataFrame(rows, "all array<bigint>, a array<bigint>, b array<bigint>")
+    both = df.select(sketching.sketch(F.col("all")).alias("x"), sketching.merge(sketching.sketch(F.col("a")), sketching.sketch(F.col("b"))).alias("y"))
+    assert both.where("x != y").count() == 0
+
+
+def test_exact_dedup_checks_bytes(docs, rows):
+    """With a digest of one hex digit most hits are false; texts still decide."""
+    from pyspark.sql import functions as F
+
+    got = exact_dedup.exact_groups(docs, digest=lambda text: F.substring(F.sha2(text, 256), 1, 1)).collect()
+    groups = defaultdict(list)
+    for i, t, _, _ in rows:
+        groups[t or ""].append(i)
+    best = {t: max((x for x in v if x is not None), default=None) for t, v in groups.items()}
+    want = Counter((i, best[t or ""], len(groups[t or ""]), sha(t or "")) for i, t, _, _ in rows)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
+
+
+def test_exact_dedup_reads_its_path(spark, tmp_path):
+    """The way of the query: a path with signs of a glob, no copy of the table."""
+    path = f"file://{tmp_path}/x[1]y"
+    spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "")], "doc_id long, text string").coalesce(1).write.parquet(path)
+    escaped = path.replace("[", "\\[").replace("]", "\\]")
+    exact_dedup.run_stream(spark, path, "doc_id long, text string", f"file://{tmp_path}/c")
+    assert sorted(r["n"] for r in exact_dedup.read_state(spark, f"file://{tmp_path}/c").collect()) == [2, 2]
+    plain = f"file://{tmp_path}/plain"
+    spark.read.parquet(escaped).write.parquet(plain)
+    got = exact_dedup.exact_groups(spark.read.parquet(plain), plain).collect()
+    assert sorted((r["doc_id"], r["keep_id"]) for r in got) == [(1, 2), (2, 2), (3, 4), (4, 4)]
+
+
+def test_secrets_of_a_long_text(spark):
+    """100,000 matches in one text, in seconds."""
+    import time
+
+    text = "token=abcdef12 é" * 100_000
+    began = time.time()
+    got = secrets.digest(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert time.time() - began < 30
+    assert got["n_assign"] == 100_000 and got["spans"] == plain_spans(text)
+
+
+def test_secrets_of_a_pair_that_stands_twice(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    docs = spark.createDataFrame([(1, "token=abcdef"), (2, "none")], "doc_id long, text string")
+    want = Counter((r["doc_id"], r["spans"]) for r in secrets.digest(secrets.scan(docs, ledger)).collect())
+    twice = spark.createDataFrame(spark.read.parquet(ledger).collect(), spark.read.parquet(ledger).schema)
+    twice.write.mode("append").parquet(ledger)
+    assert Counter((r["doc_id"], r["spans"]) for r in secrets.digest(secrets.scan(docs, ledger)).collect()) == want
+
+
+def test_toxicity_sample_has_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 4000)
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: (texts, labels))
+    rows = [(k, "word " * (10 if k % 5 else 1000)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, labels = toxicity.train(docs, spark.createDataFrame([(k, 1, k % 2) for k in range(60)], "doc_id long, quality int, toxic int"))
+    assert set(labels) == {0, 1} and all(t in {"word " * 10} for t in texts) and sum(map(len, texts)) <= 4000
+
+
+def test_mixing_takes_a_known_size(docs):
+    from pyspark.sql import functions as F
+
+    known = docs.select("doc_id", "source", mixing.size_of(F.col("text")).alias("words"))
+    a = mixing.mixed(known, size=F.col("words")).select("row.doc_id", "row.source", "size", "target", "taken").collect()
+    b = mixing.mixed(docs).select("row.doc_id", "row.source", "size", "target", "taken").collect()
+    assert Counter(map(tuple, a)) == Counter(map(tuple, b))
+
+
+def test_filters_grow_with_ngrams():
+    own = [np.arange(200_000, dtype=np.int64) * 7919, np.arange(10, dtype=np.int64)]
+    f = langid.Filters.fit(["a", "b"], own, 1 << 14)
+    assert f.masks.shape[1] == 1 << 22 and (f.chance < 0.01).all()

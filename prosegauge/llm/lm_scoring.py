@@ -14,7 +14,7 @@ and variance.  Strengths and discounts are drawn after every sweep from their co
 discount counts the cells of up to EXACT customers.  Predictive probabilities are averaged over several seatings.
 
 Cells are dealt to buckets by context (those of a frequent context also by dish), words to owners; both are
-tables of packed arrays in the shared folder, and so is every seating.  Owners tell buckets how many customers
+tables of packed arrays in the shared folder, bucketed for good, and so is every seating.  Owners tell buckets how many customers
 and tables a word has in the parent, buckets tell owners how many tables it got.  Only totals of fixed size, and
 one number for each frequent context of a bucket, come to the driver.  All cells are kept: what is gathered
 grows with the corpus.  Words are told apart by 64 bits of hash; two of n words share one with chance n^2 / 2^65.
@@ -22,7 +22,9 @@ grows with the corpus.  Words are told apart by 64 bits of hash; two of n words
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache, partial
@@ -266,10 +268,14 @@ class Plan:
     spread: np.ndarray  # ... and over how many buckets each goes
     seed: int
 
-    def bucket(self, u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        """hot: place of u in self.hot, or -1."""
-        spread = np.where(hot >= 0, self.spread[hot] if len(self.spread) else 1, 1).astype(np.uint64)
-        return ((mixed(u + np.uint64(1)) % np.uint64(self.buckets) + mixed(w + np.uint64(2)) % spread) % np.uint64(self.buckets)).astype(np.int64)
+    def bucket(self, words: np.ndarray, u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Of tokens; u, w: places in words; hot: of u in self.hot, or -1."""
+        out = (mixed(words + np.uint64(1)) % np.uint64(self.buckets))[u]
+        some = np.flatnonzero(hot >= 0)
+        if len(some):
+            out[some] += mixed(words[w[some]] + np.uint64(2)) % self.spread[hot[some]].astype(np.uint64)
+            out[some] %= np.uint64(self.buckets)
+        return out
 
     def places(self, u: np.ndarray) -> np.ndarray:
         if not len(self.hot):
@@ -301,39 +307,46 @@ def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, posts: bool) -> Iterat
 
     def chunk() -> Iterator[pa.RecordBatch]:
         nonlocal number
-        tok, count = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-        of = np.repeat(np.arange(len(count)), count)
-        words, w = np.unique(tok, return_inverse=True)
+        count = np.concatenate([n for _, n in held])
+        words, w = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        held.clear()
         u = np.concatenate((np.searchsorted(words, [END]), w[:-1]))
         hot = plan.places(words)
-        key = plan.bucket(words[u], tok, hot[u]).astype(np.uint64) << np.uint64(44) | u.astype(np.uint64) << np.uint64(22) | w.astype(np.uint64)
+        # bucket, context and word in one number
+        key = plan.bucket(words, u, w, hot[u])
+        key <<= np.uint64(22)
+        key |= u.astype(np.uint64)
+        del u
+        key <<= np.uint64(22)
+        key |= w.astype(np.uint64)
+        del w
         order = np.argsort(key, kind="stable")
-        key, of = key[order], of[order]
+        key = key[order]
+        of = np.repeat(np.arange(len(count), dtype=np.uint16), count)[order]
+        del order
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        n = np.diff(np.append(new, len(key)))
+        n = np.diff(np.append(new, len(key))).astype(np.int32)
         learned = np.add.reduceat(np.array(learn, dtype=np.int32)[of], new)
-        pairs = key[new]
-        bucket = (pairs >> np.uint64(44)).astype(np.int64)
-        u, w = (pairs >> np.uint64(22) & np.uint64(0x3FFFFF)).astype(np.int64), (pairs & np.uint64(0x3FFFFF)).astype(np.int64)
+        key = key[new]
+        bucket = key >> np.uint64(44)
+        u, w = (key >> np.uint64(22) & np.uint64(0x3FFFFF)).astype(np.int32), (key & np.uint64(0x3FFFFF)).astype(np.int32)
+        del key
         cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
         name = int.from_bytes(hashlib.blake2b(b"".join(digests) + b"%d %d" % (part, number), digest_size=8).digest(), "little", signed=True)
         number += 1
-        rows = []
         for a, b in zip(cuts, cuts[1:], strict=False):
             first = a + np.flatnonzero(np.concatenate(([True], u[a + 1 : b] != u[a : b - 1])))
             runs = np.diff(np.append(first, b)).astype(np.int32)
+            own, at = np.unique(w[a:b], return_inverse=True)
+            body = [words[u[first]], runs, words[own], at.astype(np.uint16 if len(own) <= 65536 else np.int32)]
             if posts:
-                upto = new[b] if b < len(new) else len(key)
-                more = (n[a:b].astype(np.int32), of[new[a] : upto].astype(np.uint16), np.array([len(count)], dtype=np.int32))
+                upto = new[b] if b < len(new) else len(of)
+                body += [n[a:b], of[new[a] : upto], np.array([len(count)], dtype=np.int32)]
             else:
-                more = (learned[a:b],)
-            rows.append((int(bucket[a]), None, name, "pairs", None, None, pack(words[u[first]], runs, words[w[a:b]], *more)))
-            if len(rows) == 16:
-                yield from _table(rows).to_batches()
-                rows = []
+                body.append(learned[a:b])
+            yield from _table([(int(bucket[a]), None, name, "pairs", None, None, pack(*body))]).to_batches()
         if posts:
-            rows.append((abs(name) % plan.buckets, None, name, "docs", None, None, pack(np.frombuffer(b"".join(digests), dtype=np.uint8), count.astype(np.int64))))
-        yield from _table(rows).to_batches()
+            yield from _table([(abs(name) % plan.buckets, None, name, "docs", None, None, pack(np.frombuffer(b"".join(digests), dtype=np.uint8), count.astype(np.int64)))]).to_batches()
 
     for b in batches:
         texts, at = b.column("text").to_pylist(), 0
@@ -345,7 +358,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, posts: bool) -> Iterat
                 upto += 1
             if held and (size + n // 4 > CHUNK_TOKENS or len(digests) + upto - at > CHUNK_DOCS):
                 yield from chunk()
-                held, digests, learn, size = [], [], [], 0
+                digests, learn, size = [], [], 0
             held.append(tokens(texts[at:upto]))
             digests += ids[at:upto]
             learn += flags[at:upto]
@@ -366,36 +379,40 @@ def _merged(rows: pa.Table, plan: Plan) -> pa.Table:
     """The pairs of a bucket -> its cells, a first seating with a table for each, and what owners must know."""
     bucket = rows.column("bucket")[0].as_py()
     parts = _bodies(rows, "pairs")
-    u = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-    w = np.concatenate([p[2] for p in parts])
-    c = np.concatenate([p[3] for p in parts]).astype(np.int64)
-    words, wi = np.unique(w, return_inverse=True)
-    contexts, ui = np.unique(u, return_inverse=True)
-    del parts, u, w
-    cell, of = np.unique(ui.astype(np.int64) << 32 | wi, return_inverse=True)
-    c = np.bincount(of, weights=c, minlength=len(cell)).astype(np.int64)
+    contexts, words = (np.unique(np.concatenate([p[k] for p in parts])) for k in (0, 2))
+    cell = np.concatenate([np.repeat(np.searchsorted(contexts, p[0]) << 32, p[1]) | np.searchsorted(words, p[2])[p[3]] for p in parts])
+    c = np.concatenate([p[4] for p in parts])
+    del parts
+    order = np.argsort(cell, kind="stable")
+    cell, c = cell[order], c[order]
+    del order
+    new = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    c = np.add.reduceat(c, new).astype(np.int32)
+    cell = cell[new]
     ui, wi = (cell >> 32).astype(np.int32), (cell & 0xFFFFFFFF).astype(np.int32)
+    del cell, new
     many = np.flatnonzero(c > 1)
-    ones = np.bincount(ui[c == 1], minlength=len(contexts)).astype(np.int64)
+    ones = np.bincount(ui[c == 1], minlength=len(contexts)).astype(np.int32)
     customers = np.bincount(ui, weights=c, minlength=len(contexts)).astype(np.int64)
-    tables = ones + np.bincount(ui[many], minlength=len(contexts))
+    deep = np.bincount(ui[many], minlength=len(contexts)).astype(np.int32)
     said = np.bincount(wi[c == 1], minlength=len(words)).astype(np.int64)
     count = np.bincount(wi, weights=c, minlength=len(words)).astype(np.int64)
-    sums = np.bincount(wi[many], minlength=len(words)).astype(np.int64)
+    sums = np.bincount(wi[many], minlength=len(words)).astype(np.int32)
+    hot = plan.places(contexts)
+    at = np.flatnonzero(hot >= 0)
+    cuts = plan.slices(words)
     out = [
-        (bucket, None, None, "cells", None, None, pack(contexts, words, cell, c)),
-        (bucket, None, None, "many", None, None, pack(contexts, ui[many], wi[many], c[many], ones, np.array([len(words)]), plan.slices(words))),
-        (bucket, None, None, "seats", None, None, pack(np.ones(len(many), dtype=np.int64), tables)),
+        (bucket, None, None, "cells", None, None, pack(contexts, words, np.bincount(ui, minlength=len(contexts)).astype(np.int32), wi, c)),
+        (bucket, None, None, "many", None, None, pack(deep, wi[many], c[many], ones, at, hot[at], cuts)),
+        (bucket, None, None, "seats", None, None, pack(np.ones(len(many), dtype=np.int32), ones + deep)),
     ]
-    cuts = plan.slices(words)
     for q, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
         if b > a:
             out.append((bucket, q, None, "words", None, None, pack(words[a:b], said[a:b], count[a:b])))
             out.append((bucket, q, None, "sums", None, None, pack(sums[a:b])))
-    hot = plan.places(contexts)
     cold = (hot < 0) & (customers > 0)
-    out += _totals("customers", coarse(customers[cold])) + _totals("tables", coarse(tables[cold]))
-    out += _totals("hot customers", hot[hot >= 0], customers[hot >= 0]) + _totals("hot tables", hot[hot >= 0], tables[hot >= 0])
+    out += _totals("customers", coarse(customers[cold])) + _totals("tables", coarse((ones + deep)[cold]))
+    out += _totals("hot customers", hot[at], customers[at]) + _totals("hot tables", hot[at], (ones + deep)[at])
     return _table(out)
 
 
@@ -437,55 +454,65 @@ def _parent(rows: pa.Table, plan: Plan, state: State, number: int) -> pa.Table:
 def _seated(rows: pa.Table, plan: Plan, state: State, number: int) -> pa.Table:
     """A sweep over a bucket: all cells are seated anew, given their restaurants' x and the parent."""
     bucket = rows.column("bucket")[0].as_py()
-    contexts, ui, wi, c, ones, n_words, cuts = _bodies(rows, "many")[0]
+    deep, wi, c, ones, at, hot, cuts = _bodies(rows, "many")[0]
     _, before = _bodies(rows, "seats")[0]
     parent = state.parent(np.concatenate([x[0] for x in _bodies(rows, "parent")]).astype(float))
     rng, d = plan.rng(3, number, bucket), state.low.discount
-    hot = plan.places(contexts)
     x = rng.gamma(state.low.strength / d + before)
-    if (hot >= 0).any():  # the same in every bucket
-        x[hot >= 0] = plan.rng(4, number).gamma(state.low.strength / d + state.hot_tables)[hot[hot >= 0]]
-    t = draw_tables(c, d * x[ui] * parent[wi], d, rng)
-    tables = ones + np.bincount(ui, weights=t, minlength=len(contexts)).astype(np.int64)
-    sums = np.bincount(wi, weights=t, minlength=int(n_words[0])).astype(np.int64)
+    if len(at):  # the same in every bucket
+        x[at] = plan.rng(4, number).gamma(state.low.strength / d + state.hot_tables)[hot]
+    t = draw_tables(c, d * np.repeat(x, deep) * parent[wi], d, rng).astype(np.int32)
+    tables = ones + np.bincount(np.repeat(np.arange(len(deep)), deep), weights=t, minlength=len(deep)).astype(np.int32)
+    sums = np.bincount(wi, weights=t, minlength=int(cuts[-1])).astype(np.int32)
     out = [(bucket, None, None, "seats", None, None, pack(t, tables))]
     out += [(bucket, q, None, "sums", None, None, pack(sums[a:b])) for q, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-    cold = (hot < 0) & (tables > 0)
-    out += _totals("tables", coarse(tables[cold])) + _totals("hot tables", hot[hot >= 0], tables[hot >= 0])
+    cold = tables > 0
+    cold[at] = False
+    out += _totals("tables", coarse(tables[cold])) + _totals("hot tables", hot, tables[at])
     return _table(out + _totals("cells", _histogram(c, t)))
 
 
 def _priced(rows: pa.Table, plan: Plan, states: list[State]) -> pa.Table:
-    """A bucket's cells and several seatings of them, and the documents that have them -> sums for documents."""
-    if "pairs" not in (kinds := rows.column("kind").to_pylist()):
-        return rows.take(pa.array([k for k, x in enumerate(kinds) if x == "docs"], pa.int64())).select(ROWS_NAMES)
-    contexts, words, cell, c = _bodies(rows, "cells")[0]
-    ui, wi = cell >> 32, cell & 0xFFFFFFFF
+    """A bucket's cells and several seatings of them -> their mean predictions, and what is counted by word."""
+    bucket = rows.column("bucket")[0].as_py()
+    contexts, words, runs, wi, c = _bodies(rows, "cells")[0]
+    ui = np.repeat(np.arange(len(contexts), dtype=np.int32), runs)
     customers = np.bincount(ui, weights=c, minlength=len(contexts))
     hot = plan.places(contexts)
-    total = np.zeros(len(cell))
+    at = np.flatnonzero(hot >= 0)
+    total = np.zeros(len(wi))
     many = c > 1
     for k, state in enumerate(states):
         t = np.minimum(c, 1)
         t[many], tables = _bodies(rows, f"seats {k}")[0]
         tables = tables.astype(float)
-        if (hot >= 0).any():
-            tables[hot >= 0], customers[hot >= 0] = state.hot_tables[hot[hot >= 0]], state.hot_customers[hot[hot >= 0]]
+        tables[at], customers[at] = state.hot_tables[hot[at]], state.hot_customers[hot[at]]
         parent = state.parent(np.concatenate([x[0] for x in _bodies(rows, f"parent {k}")]).astype(float))
         total += state.predict(c, t, customers[ui], tables[ui], parent[wi])
-    score = np.log10(total / max(1, len(states)))
+    score = np.log10(total / max(1, len(states))).astype(np.float32)
     count = np.concatenate([x[0] for x in _bodies(rows, "counts")])
-    base = np.log10((count + 0.1) / (states[-1].tokens + 0.1 * (states[-1].words + 1)))
+    return _table([(bucket, None, None, "priced", None, None, pack(contexts, words, runs, wi, score, count))])
+
+
+def _posted(rows: pa.Table, state: State) -> pa.Table:
+    """A bucket's priced cells, and the documents that have them -> sums for documents."""
+    kinds = rows.column("kind").to_pylist()
     out = []
-    for bucket, chunk, kind, body in zip(*(rows.column(x).to_pylist() for x in ("bucket", "chunk", "kind", "body")), strict=True):
+    if "pairs" in kinds:
+        contexts, words, runs, wi, score, count = _bodies(rows, "priced")[0]
+        cell = np.repeat(np.arange(len(contexts)) << 32, runs) | wi
+        known = (count > 0).astype(float)
+        base = np.log10((count + 0.1) / (state.tokens + 0.1 * (state.words + 1)))
+    for k, kind in enumerate(kinds):
+        bucket, chunk = rows.column("bucket")[k].as_py(), rows.column("chunk")[k].as_py()
         if kind == "docs":
-            out.append((bucket, None, chunk, "docs", None, None, body))
+            out.append((bucket, None, chunk, "docs", None, None, rows.column("body")[k].as_py()))
         if kind != "pairs":
             continue
-        u, runs, w, n, of, docs = unpack(body)
-        at = np.searchsorted(cell, np.repeat(np.searchsorted(contexts, u), runs) << 32 | np.searchsorted(words, w))
+        u, runs, own, at, n, of, docs = unpack(rows.column("body")[k].as_py())
+        at = np.searchsorted(cell, np.repeat(np.searchsorted(contexts, u) << 32, runs) | np.searchsorted(words, own)[at])
         word = wi[at]
-        sums = [np.bincount(of, weights=np.repeat(x, n), minlength=int(docs[0])) for x in ((count[word] > 0).astype(float), base[word], score[at])]
+        sums = [np.bincount(of, weights=np.repeat(x, n), minlength=int(docs[0])) for x in (known[word], base[word], score[at])]
         has = np.flatnonzero(np.bincount(of, minlength=int(docs[0])))
         out.append((bucket, None, chunk, "sums", None, None, pack(has.astype(np.int32), *[x[has] for x in sums])))
     return _table(out)
@@ -558,11 +585,30 @@ def lm_scores(docs: DataFrame, folds: int = 10, options: Options | None = None)
     plan = _plan(rows, options.seed)
     rng = plan.rng(0)
 
-    def stage(df: DataFrame, name: str) -> DataFrame:
-        """Stage by kind; totals come to the driver as sums by kind and key."""
-        df.write.partitionBy("kind").parquet(f"{folder}/{name}")
-        spark.sparkContext._jvm.System.gc()  # so that the shuffle's files go
-        return spark.read.schema(ROWS).parquet(f"{folder}/{name}")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names: dict[str, str] = {}
+
+    def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Stage by kind, and dealt by a column for good: what is joined on it later isn't moved again."""
+        write = df.write.partitionBy("kind").format("parquet")
+        if by:
+            names[name] = f"lm_{uuid.uuid4().hex}"
+            write.bucketBy(partitions, by).option("path", f"{folder}/{name}").saveAsTable(names[name])
+            out = spark.table(names[name])
+        else:
+            write.save(f"{folder}/{name}")
+            out = spark.read.schema(ROWS).parquet(f"{folder}/{name}")
+        free()
+        return out
+
+    def free(*paths: str) -> None:
+        """Remove tables; and have Spark remove the files of shuffles that are over."""
+        dropped(spark, *[f"{folder}/{x}" for x in paths])
+        for x in paths:
+            if x in names:
+                spark.sql(f"drop table if exists {names.pop(x)}")
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
     def totals(df: DataFrame) -> dict[str, dict[int, float]]:
         out: dict[str, dict[int, float]] = {}
@@ -573,6 +619,11 @@ def lm_scores(docs: DataFrame, folds: int = 10, options: Options | None = None)
     def grouped(df: DataFrame, by: str, run: Callable[[pa.Table], pa.Table], schema: str = ROWS) -> DataFrame:
         return df.groupBy(by).applyInArrow(run, schema)
 
+    def beside(lying: DataFrame, moved: DataFrame, by: str, run: Callable[[pa.Table], pa.Table]) -> DataFrame:
+        """Like grouped() over both; lying is dealt by `by` already."""
+        moved = moved.select(*[F.col(c).alias(c) for c in ROWS_NAMES])  # both may come from one table
+        return lying.groupBy(by).cogroup(moved.groupBy(by)).applyInArrow(lambda a, b: run(pa.concat_tables([x for x in (a, b) if x.num_rows])), ROWS)
+
     def of(df: DataFrame, kind: str, name: str | None = None) -> DataFrame:
         df = df.where(F.col("kind") == kind).select(*ROWS_NAMES)
         return df if name is None else df.withColumn("kind", F.lit(name))
@@ -583,15 +634,16 @@ def lm_scores(docs: DataFrame, folds: int = 10, options: Options | None = None)
     def hot(sums: dict[int, float]) -> np.ndarray:
         return np.array([sums.get(k, 0.0) for k in range(len(plan.hot))])
 
-    dealt = partial(_dealt, plan=plan, posts=False)
-    cells = stage(grouped(rows.mapInArrow(lambda b: dealt(b), ROWS), "bucket", lambda t: _merged(t, plan)), "cells")
-    owned = stage(grouped(of(cells, "words"), "q", _vocabulary), "owned")
+    dealt, posts = partial(_dealt, plan=plan, posts=False), partial(_dealt, plan=plan, posts=True)
+    cells = stage(grouped(rows.mapInArrow(lambda b: dealt(b), ROWS), "bucket", lambda t: _merged(t, plan)), "cells", "bucket")
+    owned = stage(grouped(of(cells, "words"), "q", _vocabulary), "owned", "q")
+    free("cells/kind=words")
     said, known = totals(cells), totals(owned)
     state = State(words=int(known.get("words", {}).get(0, 0)), tokens=int(known.get("tokens", {}).get(0, 0)))
     state = replace(state, tables=float(state.words), hot_customers=hot(said.get("hot customers", {})), hot_tables=hot(said.get("hot tables", {})))
     if options.fixed:
         state = replace(state, low=options.fixed[0], top=options.fixed[1])
-    # contexts that few buckets share out are restaurants like any other
+    # contexts that several buckets share are restaurants like any other
     customers = dict(said.get("customers", {}))
     for k in coarse(state.hot_customers):
         customers[int(k)] = customers.get(int(k), 0) + 1
@@ -599,18 +651,18 @@ def lm_scores(docs: DataFrame, folds: int = 10, options: Options | None = None)
     seats, samples = cells, []
     for number in range(options.burn_in + options.samples):
         if number:  # the first parent is that of one table a cell
-            now, last = state, f"seats{number}"
-            seats = stage(grouped(of(cells, "many").unionByName(of(seats, "seats")).unionByName(of(parent, "parent")), "bucket", at(_seated, now, number)), last)
+            last = seats
+            seats = stage(beside(of(cells, "many"), of(last, "seats").unionByName(of(parent, "parent")), "bucket", at(_seated, state, number)), f"seats{number}")
             said = totals(seats)
             state = replace(state, hot_tables=hot(said.get("hot tables", {})))
-        now = state
-        parent = stage(grouped(of(owned, "owned").unionByName(of(seats, "sums")), "q", at(_parent, now, number)), f"parent{number}")
+        parent = stage(beside(of(owned, "owned"), of(seats, "sums"), "q", at(_parent, state, number)), f"parent{number}")
+        free(f"seats{number}/kind=sums" if number else "cells/kind=sums")
         top = totals(parent)
         state = replace(state, customers=top.get("parent customers", {}).get(0, 0.0), tables=top.get("parent tables", {}).get(0, 0.0))
         if number >= options.burn_in:
             samples.append((state, seats, parent))
-        else:
-            dropped(spark, *([f"{folder}/parent{number - 1}", f"{folder}/seats{number - 1}"] if number > 1 else []))
+        if 1 <= number <= options.burn_in:  # what came before the samples
+            free(f"parent{number - 1}", f"seats{number - 1}" if number > 1 else "cells/kind=seats")
         if not options.fixed:
             tables = dict(said.get("tables", {}))
             for k in coarse(state.hot_tables):
@@ -619,16 +671,15 @@ def lm_scores(docs: DataFrame, folds: int = 10, options: Options | None = None)
             root = state.top.drawn({int(state.tables): 1.0}, {int(state.customers): 1.0}, top.get("parent cells", {}), rng) if state.words else state.top
             state = replace(state, low=low, top=root)
 
-    posts = partial(_dealt, plan=plan, posts=True)
-    parts = rows.mapInArrow(lambda b: posts(b), ROWS).unionByName(of(cells, "cells")).unionByName(of(owned, "counts"))
+    states, moved = [s for s, _, _ in samples], of(owned, "counts")
     for k, (_, s, p) in enumerate(samples):
-        parts = parts.unionByName(of(s, "seats", f"seats {k}")).unionByName(of(p, "parent", f"parent {k}"))
-    states = [s for s, _, _ in samples]
-    sums = grouped(parts, "bucket", lambda t: _priced(t, plan, states))
+        moved = moved.unionByName(of(s, "seats", f"seats {k}")).unionByName(of(p, "parent", f"parent {k}"))
+    priced = stage(beside(of(cells, "cells"), moved, "bucket", lambda t: _priced(t, plan, states)), "priced", "bucket")
+    free("cells", "owned", *[f"{x}{k}" for x in ("seats", "parent") for k in range(options.burn_in + options.samples)])
+    sums = beside(of(priced, "priced"), rows.mapInArrow(lambda b: posts(b), ROWS), "bucket", lambda t: _posted(t, states[-1]))
     scores = grouped(sums, "chunk", _summed, "digest binary, n_tokens long, n_known long, base_score double, score double")
     scores = staged(scores.groupBy("digest").agg(*[F.min(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]), f"{folder}/scores")
-    spark.sparkContext._jvm.System.gc()
-    dropped(spark, *[f"{folder}/{x}" for x in ("cells", "owned", *[f"{y}{k}" for y in ("seats", "parent") for k in range(options.burn_in + options.samples)])])
+    free("priced")
     out = docs.select("doc_id", held_out.alias("held_out"), F.unhex(F.sha2(text, 256)).alias("digest")).join(scores, "digest")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(states[-1].tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -22,6 +22,8 @@ grows with the corpus.  Words are told apart by 64 bits of hash; two of n words
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
 import uuid
@@ -30,6 +32,7 @@ from dataclasses import dataclass, field, replace
 from functools import lru_cache, partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,8 +40,10 @@ from pyspark.sql import functions as F
 
 from prosegauge.llm.common import dropped, fold, power_of_two, small_batches, staged, whole, work_folder
 
+#: Buckets that are dealt to together, so that they share a list of words.
+TOGETHER = 4
 #: Bytes of text to a bucket, tokens and documents that are packed together, bytes that are split at once.
-BUCKET_BYTES, CHUNK_TOKENS, CHUNK_DOCS, AT_ONCE = 16 << 20, 2_000_000, 60_000, 1 << 20
+BUCKET_BYTES, CHUNK_TOKENS, CHUNK_DOCS, AT_ONCE = 8 << 20, 1_500_000, 60_000, 1 << 20
 #: Texts that frequent contexts are looked for in.  Which are found changes where work is done, not the result.
 SAMPLED = 4000
 #: Cells of up to so many customers get their tables from the exact law.
@@ -60,7 +65,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     return np.array(head, dtype="<i8").tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
-def unpack(body: bytes) -> list[np.ndarray]:
+def unpack(body: bytes | pa.Buffer) -> list[np.ndarray]:
     n = int(np.frombuffer(body, "<i8", 1)[0])
     head, at, out = np.frombuffer(body, "<i8", 2 * n, 8), 8 + 16 * n, []
     for kind, size in head.reshape(-1, 2):
@@ -93,6 +98,7 @@ def _codes() -> tuple[np.ndarray, np.ndarray]:
     code[65:91] = code[97:123]
     space = np.zeros(256, dtype=bool)
     space[[32, *range(9, 14)]] = True
+    code[space] = 0
     return code, space
 
 
@@ -124,16 +130,17 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first = ~blank
     first[1:] &= blank[:-1]
     start = np.flatnonzero(first)
-    letters = np.flatnonzero(~blank)
-    word = np.cumsum(first, dtype=np.int32)[letters] - 1
-    place = letters - start[word]
     of = np.searchsorted(ends, start, side="right")
     count = np.bincount(of, minlength=len(texts)) + 1
     out = np.full(int(count.sum()), END, dtype=np.uint64)
     if len(start):
-        power = _powers(int(place.max()) + 1)
-        h = np.add.reduceat(code[data[letters]] * power[place], np.searchsorted(letters, start))
-        h = mixed(h)
+        data = data[start[0] :]
+        start -= start[0]
+        # a word and the white space after it, which counts as nothing
+        place = np.arange(len(data), dtype=np.int32) - np.repeat(start.astype(np.int32), np.diff(np.append(start, len(data))))
+        h = code[data]
+        h *= _powers(int(place.max()) + 1)[place]
+        h = mixed(np.add.reduceat(h, start))
         out[np.arange(len(start)) + of] = np.where(h == END, np.uint64(1), h)
     return out, count
 
@@ -264,18 +271,18 @@ class Plan:
 
     buckets: int
     owners: int
+    dealt: int  # groups of TOGETHER buckets
     hot: np.ndarray  # hashes of frequent contexts, ascending ...
     spread: np.ndarray  # ... and over how many buckets each goes
     seed: int
 
-    def bucket(self, words: np.ndarray, u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        """Of tokens; u, w: places in words; hot: of u in self.hot, or -1."""
-        out = (mixed(words + np.uint64(1)) % np.uint64(self.buckets))[u]
-        some = np.flatnonzero(hot >= 0)
-        if len(some):
-            out[some] += mixed(words[w[some]] + np.uint64(2)) % self.spread[hot[some]].astype(np.uint64)
-            out[some] %= np.uint64(self.buckets)
-        return out
+    def parts(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of contexts: over how many parts each is spread, the number of its first part, and each part's bucket."""
+        hot = self.places(words)
+        spread = np.where(hot >= 0, self.spread[hot] if len(self.spread) else 1, 1)
+        begin = np.cumsum(spread) - spread
+        own = np.repeat((mixed(words + np.uint64(1)) % np.uint64(self.buckets)).astype(np.int64), spread)
+        return spread, begin, (own + np.arange(len(own)) - np.repeat(begin, spread)) % self.buckets
 
     def places(self, u: np.ndarray) -> np.ndarray:
         if not len(self.hot):
@@ -297,9 +304,9 @@ class Plan:
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, posts: bool) -> Iterator[pa.RecordBatch]:
-    """(digest, text, learn) -> one row for each bucket of a chunk: its pairs of words, and how often they are
-    learned or, for posts, which documents have them; and for posts one row on the documents."""
-    part, number = TaskContext.get().partitionId(), 0
+    """(digest, text, learn) -> one row for TOGETHER buckets of a chunk: their pairs of words, and how often they
+    are learned or, for posts, which documents have them; and for posts one row on the documents."""
+    task, number = TaskContext.get().partitionId(), 0
     held: list[tuple[np.ndarray, np.ndarray]] = []
     digests: list[bytes] = []
     learn: list[bool] = []
@@ -308,45 +315,62 @@ def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, posts: bool) -> Iterat
     def chunk() -> Iterator[pa.RecordBatch]:
         nonlocal number
         count = np.concatenate([n for _, n in held])
-        words, w = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        w, words = pd.factorize(np.concatenate([t for t, _ in held]))
         held.clear()
+        order = np.argsort(words)
+        rank = np.empty(len(words), dtype=np.int64)
+        rank[order] = np.arange(len(words))
+        words, w = words[order], rank[w]
         u = np.concatenate((np.searchsorted(words, [END]), w[:-1]))
-        hot = plan.places(words)
-        # bucket, context and word in one number
-        key = plan.bucket(words, u, w, hot[u])
-        key <<= np.uint64(22)
-        key |= u.astype(np.uint64)
-        del u
+        spread, part_of, bucket_of = plan.parts(words)
+        part_of = part_of[u]
+        if (spread > 1).any():
+            some = np.flatnonzero(spread[u] > 1)
+            part_of[some] += (mixed(words[w[some]] + np.uint64(2)) % spread[u[some]].astype(np.uint64)).astype(np.int64)
+        # parts by bucket; then a part, a word and a document are one number
+        by_bucket = np.argsort(bucket_of, kind="stable")
+        rank = np.empty(len(by_bucket), dtype=np.uint64)
+        rank[by_bucket] = np.arange(len(by_bucket), dtype=np.uint64)
+        context_of = np.repeat(np.arange(len(words)), spread)[by_bucket]
+        bucket_of = bucket_of[by_bucket]
+        key = rank[part_of]
+        del u, part_of, rank
         key <<= np.uint64(22)
         key |= w.astype(np.uint64)
         del w
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        of = np.repeat(np.arange(len(count), dtype=np.uint16), count)[order]
-        del order
+        key <<= np.uint64(16)
+        key |= np.repeat(np.arange(len(count), dtype=np.uint64), count)
+        key.sort()
+        of = key.astype(np.uint16)
+        key >>= np.uint64(16)
         new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         n = np.diff(np.append(new, len(key))).astype(np.int32)
         learned = np.add.reduceat(np.array(learn, dtype=np.int32)[of], new)
         key = key[new]
-        bucket = key >> np.uint64(44)
-        u, w = (key >> np.uint64(22) & np.uint64(0x3FFFFF)).astype(np.int32), (key & np.uint64(0x3FFFFF)).astype(np.int32)
+        part, w = (key >> np.uint64(22)).astype(np.int64), (key & np.uint64(0x3FFFFF)).astype(np.int32)
         del key
-        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-        name = int.from_bytes(hashlib.blake2b(b"".join(digests) + b"%d %d" % (part, number), digest_size=8).digest(), "little", signed=True)
+        run = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))  # of one part
+        bucket = bucket_of[part]
+        name = int.from_bytes(hashlib.blake2b(b"".join(digests) + b"%d %d" % (task, number), digest_size=8).digest(), "little", signed=True)
         number += 1
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            first = a + np.flatnonzero(np.concatenate(([True], u[a + 1 : b] != u[a : b - 1])))
-            runs = np.diff(np.append(first, b)).astype(np.int32)
+        pairs_upto = np.searchsorted(bucket, np.arange(plan.dealt * TOGETHER + 1))
+        runs_upto = np.searchsorted(run, pairs_upto)
+        for k in range(plan.dealt):
+            cuts, own_runs = pairs_upto[k * TOGETHER : (k + 1) * TOGETHER + 1], runs_upto[k * TOGETHER : (k + 1) * TOGETHER + 1]
+            a, b = int(cuts[0]), int(cuts[-1])
+            if a == b:
+                continue
+            first = run[own_runs[0] : own_runs[-1]]
             own, at = np.unique(w[a:b], return_inverse=True)
-            body = [words[u[first]], runs, words[own], at.astype(np.uint16 if len(own) <= 65536 else np.int32)]
+            body = [words[context_of[part[first]]], np.diff(np.append(first, b)).astype(np.int32), words[own], at.astype(np.uint16 if len(own) <= 65536 else np.int32), cuts - a, own_runs - own_runs[0]]
             if posts:
                 upto = new[b] if b < len(new) else len(of)
-                body += [n[a:b], of[new[a] : upto], np.array([len(count)], dtype=np.int32)]
+                body += [n[a:b].astype(np.uint8 if n[a:b].max() < 256 else np.int32), of[new[a] : upto], np.array([len(count)], dtype=np.int32)]
             else:
                 body.append(learned[a:b])
-            yield from _table([(int(bucket[a]), None, name, "pairs", None, None, pack(*body))]).to_batches()
+            yield from _table([(k, None, name, "pairs", None, None, pack(*body))]).to_batches()
         if posts:
-            yield from _table([(abs(name) % plan.buckets, None, name, "docs", None, None, pack(np.frombuffer(b"".join(digests), dtype=np.uint8), count.astype(np.int64)))]).to_batches()
+            yield from _table([(abs(name) % plan.dealt, None, name, "docs", None, None, pack(np.frombuffer(b"".join(digests), dtype=np.uint8), count.astype(np.int64)))]).to_batches()
 
     for b in batches:
         texts, at = b.column("text").to_pylist(), 0
@@ -359,6 +383,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, posts: bool) -> Iterat
             if held and (size + n // 4 > CHUNK_TOKENS or len(digests) + upto - at > CHUNK_DOCS):
                 yield from chunk()
                 digests, learn, size = [], [], 0
+                _released()
             held.append(tokens(texts[at:upto]))
             digests += ids[at:upto]
             learn += flags[at:upto]
@@ -366,23 +391,60 @@ def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, posts: bool) -> Iterat
             at = upto
     if held:
         yield from chunk()
+    _released()
 
 
 def _bodies(rows: pa.Table, kind: str) -> list[list[np.ndarray]]:
-    """Unpacked bodies of a kind, by owner if they have one."""
+    """Unpacked bodies of a kind, by owner if they have one; views of the rows, not copies."""
     at = [k for k, x in enumerate(rows.column("kind").to_pylist()) if x == kind]
-    some = rows.take(pa.array(at, pa.int64())).sort_by("q")
-    return [unpack(x) for x in some.column("body").to_pylist()]
+    owner, body = rows.column("q").to_pylist(), rows.column("body")
+    return [unpack(body[k].as_buffer()) for k in sorted(at, key=lambda k: -1 if owner[k] is None else owner[k])]
+
+
+def _released() -> None:
+    """Give memory that is free back to the system: workers outlive their task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems have other allocators
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _own(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that are pointed at, and where they are then."""
+    used = np.zeros(len(words), dtype=bool)
+    used[at] = True
+    return words[used], (np.cumsum(used) - 1)[at]
+
+
+def _of_bucket(body: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """What dealt pairs have for the kth of their buckets."""
+    u, runs, words, at, cuts, own_runs, *more = body
+    (a, b), (c, d) = cuts[k : k + 2], own_runs[k : k + 2]
+    out = [u[c:d], runs[c:d], words, at[a:b]]
+    if len(more) == 1:
+        return [*out, more[0][a:b]]
+    n, of, docs = more
+    ends = np.cumsum(n[:b], dtype=np.int64)
+    lo, hi = (int(ends[x - 1]) if x else 0 for x in (a, b))
+    return [*out, n[a:b], of[lo:hi], docs]
 
 
 def _merged(rows: pa.Table, plan: Plan) -> pa.Table:
-    """The pairs of a bucket -> its cells, a first seating with a table for each, and what owners must know."""
-    bucket = rows.column("bucket")[0].as_py()
-    parts = _bodies(rows, "pairs")
+    """Dealt pairs -> the cells of each bucket, a first seating with a table for each, and what owners must know."""
+    dealt = rows.column("bucket")[0].as_py()
+    bodies = _bodies(rows, "pairs")
+    out: list[tuple] = []
+    for k in range(TOGETHER):
+        parts = [p for p in (_of_bucket(body, k) for body in bodies) if len(p[3])]
+        if parts:
+            out += _merged_one(dealt * TOGETHER + k, parts, plan)
+    return _table(out)
+
+
+def _merged_one(bucket: int, parts: list[list[np.ndarray]], plan: Plan) -> list[tuple]:
+    parts = [[u, runs, *_own(words, at), c] for u, runs, words, at, c in parts]
     contexts, words = (np.unique(np.concatenate([p[k] for p in parts])) for k in (0, 2))
     cell = np.concatenate([np.repeat(np.searchsorted(contexts, p[0]) << 32, p[1]) | np.searchsorted(words, p[2])[p[3]] for p in parts])
     c = np.concatenate([p[4] for p in parts])
-    del parts
     order = np.argsort(cell, kind="stable")
     cell, c = cell[order], c[order]
     del order
@@ -413,7 +475,7 @@ def _merged(rows: pa.Table, plan: Plan) -> pa.Table:
     cold = (hot < 0) & (customers > 0)
     out += _totals("customers", coarse(customers[cold])) + _totals("tables", coarse((ones + deep)[cold]))
     out += _totals("hot customers", hot[at], customers[at]) + _totals("hot tables", hot[at], (ones + deep)[at])
-    return _table(out)
+    return out
 
 
 def _vocabulary(rows: pa.Table) -> pa.Table:
@@ -491,30 +553,36 @@ def _priced(rows: pa.Table, plan: Plan, states: list[State]) -> pa.Table:
         total += state.predict(c, t, customers[ui], tables[ui], parent[wi])
     score = np.log10(total / max(1, len(states))).astype(np.float32)
     count = np.concatenate([x[0] for x in _bodies(rows, "counts")])
-    return _table([(bucket, None, None, "priced", None, None, pack(contexts, words, runs, wi, score, count))])
+    return _table([(bucket // TOGETHER, bucket % TOGETHER, None, "priced", None, None, pack(contexts, words, runs, wi, score, count))])
 
 
 def _posted(rows: pa.Table, state: State) -> pa.Table:
-    """A bucket's priced cells, and the documents that have them -> sums for documents."""
-    kinds = rows.column("kind").to_pylist()
-    out = []
-    if "pairs" in kinds:
-        contexts, words, runs, wi, score, count = _bodies(rows, "priced")[0]
-        cell = np.repeat(np.arange(len(contexts)) << 32, runs) | wi
-        known = (count > 0).astype(float)
-        base = np.log10((count + 0.1) / (state.tokens + 0.1 * (state.words + 1)))
+    """Priced cells of TOGETHER buckets, and the documents that have them -> sums for documents, chunk by chunk."""
+    kinds, names = rows.column("kind").to_pylist(), rows.column("chunk").to_pylist()
+    bodies, places = rows.column("body"), rows.column("q").to_pylist()
+    dealt, out, cells = rows.column("bucket")[0].as_py(), [], {}
     for k, kind in enumerate(kinds):
-        bucket, chunk = rows.column("bucket")[k].as_py(), rows.column("chunk")[k].as_py()
         if kind == "docs":
-            out.append((bucket, None, chunk, "docs", None, None, rows.column("body")[k].as_py()))
+            out.append((dealt, None, names[k], "docs", None, None, bodies[k].as_py()))
+        if kind == "priced":
+            contexts, words, runs, wi, score, count = unpack(bodies[k].as_buffer())
+            cell = np.repeat(np.arange(len(contexts)) << 32, runs) | wi
+            cells[places[k]] = contexts, words, cell, wi, score, count > 0, np.log10((count + 0.1) / (state.tokens + 0.1 * (state.words + 1)))
+    for k, kind in enumerate(kinds):
         if kind != "pairs":
             continue
-        u, runs, own, at, n, of, docs = unpack(rows.column("body")[k].as_py())
-        at = np.searchsorted(cell, np.repeat(np.searchsorted(contexts, u) << 32, runs) | np.searchsorted(words, own)[at])
-        word = wi[at]
-        sums = [np.bincount(of, weights=np.repeat(x, n), minlength=int(docs[0])) for x in (known[word], base[word], score[at])]
-        has = np.flatnonzero(np.bincount(of, minlength=int(docs[0])))
-        out.append((bucket, None, chunk, "sums", None, None, pack(has.astype(np.int32), *[x[has] for x in sums])))
+        body = unpack(bodies[k].as_buffer())
+        sums = np.zeros((4, int(body[-1][0])))
+        for at, (contexts, words, cell, wi, score, known, base) in cells.items():
+            u, runs, own, w, n, of, _ = _of_bucket(body, at)
+            if not len(w):
+                continue
+            found = np.searchsorted(cell, np.repeat(np.searchsorted(contexts, u) << 32, runs) | np.searchsorted(words, own)[w])
+            word = wi[found]
+            for j, x in enumerate((np.ones(len(word)), known[word], base[word], score[found])):
+                sums[j] += np.bincount(of, weights=np.repeat(x, n), minlength=sums.shape[1])
+        has = np.flatnonzero(sums[0])
+        out.append((dealt, None, names[k], "sums", None, None, pack(has.astype(np.uint16), sums[1, has].astype(np.int32), sums[2, has], sums[3, has].astype(np.float32))))
     return _table(out)
 
 
@@ -556,7 +624,7 @@ def _plan(rows: DataFrame, seed: int) -> Plan:
     share = found["n"].to_numpy() / all_ if found else np.zeros(0)
     order = np.argsort(hot)
     spread = np.clip(np.ceil(share * buckets * 4), 1, buckets).astype(np.int64)
-    return Plan(buckets, power_of_two(buckets), hot[order], spread[order], seed)
+    return Plan(buckets, power_of_two(buckets), -(-buckets // TOGETHER), hot[order], spread[order], seed)
 
 
 @dataclass
@@ -621,8 +689,13 @@ def lm_scores(docs: DataFrame, folds: int = 10, options: Options | None = None)
 
     def beside(lying: DataFrame, moved: DataFrame, by: str, run: Callable[[pa.Table], pa.Table]) -> DataFrame:
         """Like grouped() over both; lying is dealt by `by` already."""
+
+        def both(a: pa.Table, b: pa.Table) -> pa.Table:
+            _released()
+            return run(pa.concat_tables([x for x in (a, b) if x.num_rows]))
+
         moved = moved.select(*[F.col(c).alias(c) for c in ROWS_NAMES])  # both may come from one table
-        return lying.groupBy(by).cogroup(moved.groupBy(by)).applyInArrow(lambda a, b: run(pa.concat_tables([x for x in (a, b) if x.num_rows])), ROWS)
+        return lying.groupBy(by).cogroup(moved.groupBy(by)).applyInArrow(both, ROWS)
 
     def of(df: DataFrame, kind: str, name: str | None = None) -> DataFrame:
         df = df.where(F.col("kind") == kind).select(*ROWS_NAMES)
@@ -671,6 +744,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, options: Options | None = None)
             root = state.top.drawn({int(state.tables): 1.0}, {int(state.customers): 1.0}, top.get("parent cells", {}), rng) if state.words else state.top
             state = replace(state, low=low, top=root)
 
+    free("cells/kind=many", "owned/kind=owned")
     states, moved = [s for s, _, _ in samples], of(owned, "counts")
     for k, (_, s, p) in enumerate(samples):
         moved = moved.unionByName(of(s, "seats", f"seats {k}")).unionByName(of(p, "parent", f"parent {k}"))

@@ -43,7 +43,8 @@ from prosegauge.llm.common import dropped, fold, power_of_two, small_batches, st
 #: Buckets that are dealt to together, so that they share a list of words.
 TOGETHER = 4
 #: Bytes of text to a bucket, tokens and documents that are packed together, bytes that are split at once.
-BUCKET_BYTES, CHUNK_TOKENS, CHUNK_DOCS, AT_ONCE = 8 << 20, 1_500_000, 60_000, 1 << 20
+BUCKET_BYTES, CHUNK_TOKENS, CHUNK_DOCS, AT_ONCE = 6 << 20, 1_500_000, 60_000, 1 << 20
+BATCH_BYTES = 2 << 20
 #: Texts that frequent contexts are looked for in.  Which are found changes where work is done, not the result.
 SAMPLED = 4000
 #: Cells of up to so many customers get their tables from the exact law.
@@ -75,10 +76,18 @@ def unpack(body: bytes | pa.Buffer) -> list[np.ndarray]:
 
 
 def _table(rows: list[tuple]) -> pa.Table:
-    """rows of ROWS."""
+    """rows of ROWS, in batches of about BATCH_BYTES; the list is used up."""
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.binary())
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "q", "chunk", "kind", "key", "n", "body"])
+    schema = pa.schema(list(zip(["bucket", "q", "chunk", "kind", "key", "n", "body"], kinds, strict=True)))
+    batches = []
+    while rows:
+        upto, size = 0, 0
+        while upto < len(rows) and size < BATCH_BYTES:
+            size += 40 + len(rows[upto][-1] or b"")
+            upto += 1
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[:upto], strict=True), kinds, strict=True)], schema=schema))
+        del rows[:upto]
+    return pa.Table.from_batches(batches, schema)
 
 
 def _totals(kind: str, keys: np.ndarray, n: np.ndarray | None = None) -> list[tuple]:
@@ -432,12 +441,12 @@ def _merged(rows: pa.Table, plan: Plan) -> pa.Table:
     """Dealt pairs -> the cells of each bucket, a first seating with a table for each, and what owners must know."""
     dealt = rows.column("bucket")[0].as_py()
     bodies = _bodies(rows, "pairs")
-    out: list[tuple] = []
+    out = []
     for k in range(TOGETHER):
         parts = [p for p in (_of_bucket(body, k) for body in bodies) if len(p[3])]
         if parts:
-            out += _merged_one(dealt * TOGETHER + k, parts, plan)
-    return _table(out)
+            out.append(_table(_merged_one(dealt * TOGETHER + k, parts, plan)))
+    return pa.concat_tables(out)
 
 
 def _merged_one(bucket: int, parts: list[list[np.ndarray]], plan: Plan) -> list[tuple]:
@@ -685,7 +694,11 @@ def lm_scores(docs: DataFrame, folds: int = 10, options: Options | None = None)
         return out
 
     def grouped(df: DataFrame, by: str, run: Callable[[pa.Table], pa.Table], schema: str = ROWS) -> DataFrame:
-        return df.groupBy(by).applyInArrow(run, schema)
+        def own(t: pa.Table) -> pa.Table:
+            _released()
+            return run(t)
+
+        return df.groupBy(by).applyInArrow(own, schema)
 
     def beside(lying: DataFrame, moved: DataFrame, by: str, run: Callable[[pa.Table], pa.Table]) -> DataFrame:
         """Like grouped() over both; lying is dealt by `by` already."""

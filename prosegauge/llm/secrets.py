@@ -49,10 +49,11 @@ def spans(blobs: DataFrame, rules: tuple[Rule, ...], wanted: dict[Rule, Column])
     def parts(r: Rule) -> Column:
         found = lambda group: lengths(F.regexp_extract_all("text", F.lit(r.regex), F.lit(group)))
         each = F.arrays_zip(lengths(F.split("text", r.regex, -1)).alias("gap"), found(0).alias("n"), found(r.group).alias("said"))
+        each = F.when(F.regexp_like("text", F.lit(r.regex)), each)  # most texts have no match, and are read once
         return F.when(wanted[r], F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(r.least).alias("least"), each.alias("each")))
 
     rows = blobs.select("blob", F.explode(F.array(*[parts(r) for r in rules])).alias("f")).where("f is not null")
-    rows = rows.select("blob", "f.kind", "f.version", "f.least", F.posexplode("f.each").alias("at", "x"))
+    rows = rows.select("blob", "f.kind", "f.version", "f.least", F.posexplode_outer("f.each").alias("at", "x"))
     rows = rows.select("blob", "kind", "version", "least", "at", F.col("x")["gap"].alias("gap"), F.col("x")["n"].alias("n"), F.col("x")["said"].alias("said"))
     upto = Window.partitionBy("blob", "kind", "version").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce("n", F.lit(0))).over(upto).cast("int"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prosegauge.llm.common import small_batches, whole
+from prosegauge.llm.common import small_batches, tidy, whole
 
 CHUNK, OVERLAP = 1 << 15, 512
 #: A token's extent can depend on this many characters after its end: on one by look-ahead, or on those of a
@@ -105,11 +105,11 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, keep: tuple[str, ...] =
             out = [_packed(encoding, p[f - s : t - s]) for p, s, f, t in zip(d["piece"], d["start"], d["from"], d["to"], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("k"), pa.array(out, pa.binary())], ["key", "k", "ids"])
 
-    brief = rows.where(F.length("text") <= chunk).mapInArrow(short, f"kept {kept_type}, ids binary")
+    brief = rows.where(F.length("text") <= chunk).mapInArrow(tidy(short), f"kept {kept_type}, ids binary")
     # keyed by content: the same whenever a task is run again, and a text that many rows have is encoded once
     long = rows.where(F.length("text") > chunk).withColumn("key", F.sha2("text", 256))
-    parts = long.select("key", "text").mapInArrow(chunked, "key string, k int, of int, start long, piece string")
-    parts = parts.dropDuplicates(["key", "k"]).mapInArrow(split, "key string, k int, of int, start long, piece string, head array<bigint>, tail array<bigint>")
+    parts = long.select("key", "text").mapInArrow(tidy(chunked), "key string, k int, of int, start long, piece string")
+    parts = parts.dropDuplicates(["key", "k"]).mapInArrow(tidy(split), "key string, k int, of int, start long, piece string, head array<bigint>, tail array<bigint>")
     order = Window.partitionBy("key").orderBy("k")
     parts = parts.withColumn("from", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect(F.lag("tail").over(order), F.col("head")))))
     parts = parts.withColumn("to", F.when(F.col("k") == F.col("of") - 1, F.col("start") + F.length("piece")).otherwise(F.lead("from").over(order)))
@@ -118,8 +118,8 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, keep: tuple[str, ...] =
     lost = parts.where("not whole").withColumn("own", F.substring("piece", (F.lit(chunk) * F.col("k") - F.col("start") + 1).cast("int"), F.lit(chunk)))
     lost = lost.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "own"))).alias("all"))
     lost = lost.select(F.struct("key").alias("kept"), F.array_join(F.transform("all", lambda x: x["own"]), "").alias("text"))
-    lost = lost.mapInArrow(short, "kept struct<key:string>, ids binary").select("kept.key", "ids")
-    done = parts.where("whole").select("key", "k", "start", "piece", "from", "to").mapInArrow(piecewise, "key string, k int, ids binary")
+    lost = lost.mapInArrow(tidy(short), "kept struct<key:string>, ids binary").select("kept.key", "ids")
+    done = parts.where("whole").select("key", "k", "start", "piece", "from", "to").mapInArrow(tidy(piecewise), "key string, k int, ids binary")
     done = done.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("all"))
     done = done.select("key", F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
     long = long.select("key", "kept").join(done.unionByName(lost), "key").select("kept", "ids")
@@ -142,7 +142,7 @@ def decoded(rows: DataFrame, ranks: bytes, pattern: str, ids: str = "ids") -> Da
             yield pa.RecordBatch.from_arrays([b.column("kept"), pa.array(out, pa.binary())], ["kept", "bytes"])
 
     kept_type = flat.schema["kept"].dataType.simpleString()
-    return flat.mapInArrow(joined, f"kept {kept_type}, bytes binary").select("kept.*", "bytes")
+    return flat.mapInArrow(tidy(joined), f"kept {kept_type}, bytes binary").select("kept.*", "bytes")
 
 
 def as_ids(packed: Column) -> Column:

@@ -29,7 +29,7 @@ def _session(spark: SparkSession, partitions: int | None) -> SparkSession:
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "64")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "4")
     own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")  # what stays is on disk
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else every partition takes some MB at once

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prosegauge.llm.common import power_of_two, small_batches
+from prosegauge.llm.common import power_of_two, small_batches, tidy
 
 #: Character n-grams of words, a space on either side of each word.
 NGRAM = 4
@@ -144,7 +144,7 @@ def train(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, share: float = LEAST
     order = Window.partitionBy("lang").orderBy("order", "text")
     picked = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= texts).select("lang", "text")
     picked = picked.repartition(F.xxhash64("text"))
-    sets = picked.select("lang", F.lit(None).cast("long").alias("h")).unionByName(picked.mapInArrow(_sets, "lang string, h long"))
+    sets = picked.select("lang", F.lit(None).cast("long").alias("h")).unionByName(picked.mapInArrow(tidy(_sets), "lang string, h long"))
     counts = sets.groupBy("lang", "h").agg(F.count("*").alias("n"))
     size = Window.partitionBy("lang")
     counts = counts.withColumn("texts", F.max(F.when(F.col("h").isNull(), F.col("n"))).over(size)).where("h is not null")
@@ -190,4 +190,4 @@ def identified(docs: DataFrame, filters: Filters | None, keep: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([b.column("kept"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["kept", "lang_pred", "score"])
 
     kept_type = rows.schema["kept"].dataType.simpleString()
-    return rows.mapInArrow(predict, f"kept {kept_type}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(predict), f"kept {kept_type}, lang_pred string, score double")

@@ -22,8 +22,6 @@ grows with the corpus.  Words are told apart by 64 bits of hash; two of n words
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 import hashlib
 import uuid
@@ -38,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import dropped, fold, power_of_two, small_batches, staged, whole, work_folder
+from prosegauge.llm.common import dropped, fold, power_of_two, released, small_batches, staged, whole, work_folder
 
 #: Buckets that are dealt to together, so that they share a list of words.
 TOGETHER = 4
@@ -392,7 +390,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, posts: bool) -> Iterat
             if held and (size + n // 4 > CHUNK_TOKENS or len(digests) + upto - at > CHUNK_DOCS):
                 yield from chunk()
                 digests, learn, size = [], [], 0
-                _released()
+                released()
             held.append(tokens(texts[at:upto]))
             digests += ids[at:upto]
             learn += flags[at:upto]
@@ -400,7 +398,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], plan: Plan, posts: bool) -> Iterat
             at = upto
     if held:
         yield from chunk()
-    _released()
+    released()
 
 
 def _bodies(rows: pa.Table, kind: str) -> list[list[np.ndarray]]:
@@ -410,13 +408,6 @@ def _bodies(rows: pa.Table, kind: str) -> list[list[np.ndarray]]:
     return [unpack(body[k].as_buffer()) for k in sorted(at, key=lambda k: -1 if owner[k] is None else owner[k])]
 
 
-def _released() -> None:
-    """Give memory that is free back to the system: workers outlive their task."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other systems have other allocators
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _own(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words that are pointed at, and where they are then."""
     used = np.zeros(len(words), dtype=bool)
@@ -695,7 +686,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, options: Options | None = None)
 
     def grouped(df: DataFrame, by: str, run: Callable[[pa.Table], pa.Table], schema: str = ROWS) -> DataFrame:
         def own(t: pa.Table) -> pa.Table:
-            _released()
+            released()
             return run(t)
 
         return df.groupBy(by).applyInArrow(own, schema)
@@ -704,7 +695,7 @@ def lm_scores(docs: DataFrame, folds: int = 10, options: Options | None = None)
         """Like grouped() over both; lying is dealt by `by` already."""
 
         def both(a: pa.Table, b: pa.Table) -> pa.Table:
-            _released()
+            released()
             return run(pa.concat_tables([x for x in (a, b) if x.num_rows]))
 
         moved = moved.select(*[F.col(c).alias(c) for c in ROWS_NAMES])  # both may come from one table

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import dropped, small_batches, staged, whole, work_folder
+from prosegauge.llm.common import dropped, small_batches, staged, tidy, whole, work_folder
 
 SHINGLE, BITS, ERRORS = 3, 64, 3
 #: A key with more fingerprints than this is compared in blocks of BLOCK.
@@ -113,7 +113,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
             fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def _forest(group: pd.DataFrame) -> pd.DataFrame:
 
 def links(fps: DataFrame, folder: str) -> DataFrame:
     """fps (fp, distinct) -> u, v: enough links to join what is linked."""
-    all_keys = staged(fps.select("fp").mapInArrow(_keyed, "key long, fp long"), f"{folder}/keys")
+    all_keys = staged(fps.select("fp").mapInArrow(tidy(_keyed), "key long, fp long"), f"{folder}/keys")
     shared = all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = staged(all_keys.join(shared, "key"), f"{folder}/shared")
     cold = rows.where(F.col("n") <= HOT_KEY)

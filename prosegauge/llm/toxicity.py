@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import fold, small_batches, whole
+from prosegauge.llm.common import fold, small_batches, tidy, whole
 
 GRAMS = (3, 4, 5)
 BUCKETS, DIMENSIONS = 1 << 18, 4
@@ -273,4 +273,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             s = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), f"doc_id {id_type}, held_out boolean, score double, predicted int")

@@ -42,6 +42,22 @@ def staged(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filtering_session(spark: SparkSession) -> SparkSession:
+    """A session of its own, in which even small scans are thinned by a Bloom filter of the other side of a join
+    before they are shuffled.
+
+    The filter has Spark's own bound (spark.sql.optimizer.runtime.bloomFilter.maxNumBits); where it is full, more
+    rows are moved, and the result is the same.
+    """
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.session.timeZone", "spark.sql.autoBroadcastJoinThreshold"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    own.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    own.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
+    return own
+
+
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Remove staged tables that no plan reads any more."""
     for path in paths:

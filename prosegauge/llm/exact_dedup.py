@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import staged, whole, work_folder
+from prosegauge.llm.common import filtering_session, staged, whole, work_folder
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
@@ -40,20 +40,6 @@ def _session(spark: SparkSession, partitions: int | None) -> SparkSession:
     return own
 
 
-def _checking_session(spark: SparkSession) -> SparkSession:
-    """A session of its own, in which even small scans are thinned by a Bloom filter of the hits before a shuffle.
-
-    The filter has Spark's own bound (spark.sql.optimizer.runtime.bloomFilter.maxNumBits).
-    """
-    own = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.session.timeZone", "spark.sql.autoBroadcastJoinThreshold"):
-        own.conf.set(key, spark.conf.get(key))
-    own.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
-    own.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
-    own.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
-    return own
-
-
 def located(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """text, doc_id, digest and the row's place, which stays the same when a task is run again."""
     return docs.select(
@@ -112,7 +98,7 @@ def exact_groups(docs: DataFrame, path: str | None = None, checkpoint: str | Non
     run_stream(spark, path, schema, checkpoint, digest=digest)
     state = staged(read_state(spark, checkpoint), f"{folder}/state")
     # on hits, the full bytes: one row a digest and map task is moved, so a hot text is no load
-    own = _checking_session(spark)
+    own = filtering_session(spark)
     hits = own.read.schema(state.schema).parquet(f"{folder}/state").where("n > 1").select("digest")
     checked = located(own.read.schema(schema).parquet(path), digest).select("digest", "text").join(hits, "digest", "left_semi")
     checked = checked.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"))

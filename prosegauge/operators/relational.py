@@ -88,6 +88,13 @@ def batch(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     return rows.withColumn("action", F.coalesce("own", "any")).where("action is not null").drop("own", "any")
 
 
+def lost_edits(blocks: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits that no block is meant by: the caller reports them as errors, nothing is lost silently."""
+    exact = edits.where("file is not null").join(blocks.select("hash", "file").distinct(), ["hash", "file"], "left_anti")
+    loose = edits.where("file is null").join(blocks.select("hash").distinct(), "hash", "left_anti")
+    return exact.unionByName(loose)
+
+
 # --- clones ---------------------------------------------------------------------
 
 

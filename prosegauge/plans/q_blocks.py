@@ -270,6 +270,11 @@ SQL["fix_batch"] = f"""WITH {_HASHED}, e0 AS (SELECT hash, CASE WHEN role = 'use
 e AS (SELECT * FROM e0 QUALIFY row_number() OVER (PARTITION BY hash, file ORDER BY place DESC, f DESC) = 1)
 SELECT h.file, h.start, coalesce(a.action, b.action) AS action FROM hashed h LEFT JOIN e a ON a.hash = h.hash AND a.file = h.file LEFT JOIN e b ON b.hash = h.hash AND b.file IS NULL WHERE coalesce(a.action, b.action) IS NOT NULL"""
 
+_wild = lambda s, d: _hashed(s, d).where("start <= 21").select(F.when(F.col("start") == 11, F.concat(F.lit("no"), F.col("hash"))).otherwise(F.col("hash")).alias("hash"), F.when(F.col("role") == "user", F.concat(F.col("file"), F.when(F.col("start") == 1, F.lit(".old")).otherwise(F.lit("")))).alias("file"), F.col("start").alias("place"))
+Q["fix_batch_lost"] = lambda s, d: R.lost_edits(_hashed(s, d), _wild(s, d)).select("hash", "file", "place")
+SQL["fix_batch_lost"] = f"""WITH {_HASHED}, e AS (SELECT CASE WHEN start = 11 THEN 'no' || hash ELSE hash END AS hash, CASE WHEN role = 'user' THEN file || CASE WHEN start = 1 THEN '.old' ELSE '' END END AS file, start AS place FROM hashed WHERE start <= 21)
+SELECT hash, file, place FROM e WHERE NOT EXISTS (SELECT 1 FROM hashed h WHERE h.hash = e.hash AND (e.file IS NULL OR h.file = e.file))"""
+
 # --- distributions -----------------------------------------------------------------
 
 _values = lambda s, d: C.table(s, d, "documents").select(F.col("lang"), (F.length("text")).alias("value"))
@@ -351,7 +356,7 @@ SQL["pred_generated"] = f"WITH g AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN
 
 def git_log(s, d):
     docs = C.table(s, d, "documents")
-    log = docs.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id"))), lambda x: F.concat(x["doc_id"].cast("string"), F.lit("\x1f"), C.pick(C.SUBJECTS, x["doc_id"]), F.lit("\x1fbody\n\x1e\n"))), "").alias("log"))
+    log = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("\x1f"), C.pick(C.SUBJECTS, F.col("doc_id")), F.lit("\x1fbody\n\x1e\n")).alias("log"))
     return P.parse_log(log, "log").select("file", "text")
 
 
@@ -361,7 +366,9 @@ SQL["src_git_log"] = f"SELECT 'commit ' || doc_id AS file, {C.sql_pick(C.SUBJECT
 
 def git_diff(s, d):
     ev = C.table(s, d, "events")
-    diff = ev.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id"))), lambda x: F.concat(F.lit("@@ -1 +"), (x["event_id"] + 1).cast("string"), F.when(x["event_id"] % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(","), (x["event_id"] % 3 - 1).cast("string"))), F.lit(" @@ f\n+x"))), "\n").alias("diff"))
+    e = F.col("event_id")
+    hunk = F.concat(F.lit("@@ -1 +"), (e + 1).cast("string"), F.when(e % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(","), (e % 3 - 1).cast("string"))), F.lit(" @@ f\n+x"))
+    diff = ev.select("user_id", hunk.alias("diff"))
     return P.parse_hunks(diff, "diff").select("user_id", "from_line", "to_line")
 
 

@@ -123,9 +123,11 @@ def markup_route(s, d):
 Q["src_markup_route"] = markup_route
 SQL["src_markup_route"] = f"WITH {C.TEXTS}, {q_text._strip_sql('texts')}, {C.FILES} SELECT doc_id, sha256(CASE WHEN regexp_matches(lower(path), '\\.(md|mdx|markdown)$') THEN stripped.text ELSE texts.text END) AS sha FROM texts JOIN stripped USING (doc_id) JOIN files USING (doc_id)"
 
-_at = "(doc_id % 7 + 1)"
-Q["code_around"] = lambda s, d: C.texts(s, d).select("doc_id", F.array_join(F.slice(T.lines(F.col("text")), F.greatest(F.lit(1), F.expr(_at).cast("int") - 2), F.least(F.lit(5), F.expr(_at).cast("int") + 2)), "\n").alias("around"))
-SQL["code_around"] = f"WITH {C.TEXTS} SELECT doc_id, array_to_string(string_split(text, chr(10))[greatest(1, {_at} - 2):greatest(1, {_at} - 2) + least(5, {_at} + 2) - 1], chr(10)) AS around FROM texts"
+#: Lines shown before and after a block.
+AROUND = 12
+_at = "(doc_id % 17 + 1)"
+Q["code_around"] = lambda s, d: C.texts(s, d).select("doc_id", F.array_join(F.slice(T.lines(F.col("text")), F.greatest(F.lit(1), F.expr(_at).cast("int") - AROUND), F.least(F.lit(2 * AROUND + 1), F.expr(_at).cast("int") + AROUND)), "\n").alias("around"))
+SQL["code_around"] = f"WITH {C.TEXTS} SELECT doc_id, array_to_string(string_split(text, chr(10))[greatest(1, {_at} - {AROUND}):greatest(1, {_at} - {AROUND}) + least({2 * AROUND + 1}, {_at} + {AROUND}) - 1], chr(10)) AS around FROM texts"
 Q["is_doc"] = lambda s, d: q_blocks.blocks(s, d).groupBy("doc").agg(F.count("*").alias("n"))
 SQL["is_doc"] = f"WITH {q_blocks.BL} SELECT doc, count(*) AS n FROM bl GROUP BY 1"
 Q["rule_code"] = lambda s, d: C.table(s, d, "documents").select("source").distinct().select("source", T.rule_code(F.col("source")).alias("code"))

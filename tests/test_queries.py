@@ -13,7 +13,7 @@ from prosegauge.plans import registry
 from prosegauge.plans.ruleset import load_rules
 
 SF = "/root/testdata/sf0.001"
-FEW = ["rhythm", "word_lengths", "morph", "structure", "repeats", "cyrillic_share", "norm_hash", "scan_ru", "scan_code", "score", "genre_mute", "fill_lines", "top_markers", "builtin_en_dash", "strip_markup", "struct_checks", "commit_checks", "touching", "text_copies", "pair_match", "merge_spans", "fix_batch", "baseline_new", "baseline_fixed", "calibrate_percentiles", "clones", "erosion", "lift", "fn_lang_of", "pred_allow", "src_git_log", "src_git_diff", "unseen", "retry_after"]
+FEW = ["rhythm", "word_lengths", "morph", "structure", "repeats", "cyrillic_share", "norm_hash", "scan_ru", "scan_code", "score", "genre_mute", "fill_lines", "top_markers", "builtin_en_dash", "strip_markup", "struct_checks", "commit_checks", "touching", "text_copies", "pair_match", "merge_spans", "fix_batch", "fix_batch_lost", "code_around", "baseline_new", "baseline_fixed", "calibrate_percentiles", "clones", "erosion", "lift", "fn_lang_of", "pred_allow", "src_git_log", "src_git_diff", "unseen", "retry_after"]
 
 
 @pytest.fixture(scope="module")

@@ -41,6 +41,8 @@ THIS_COMMIT = r"(?i)this (commit|change|pr|patch) (adds|introduces|implements|re
 SUBJECT_LIMIT, MAX_LINES, MAX_LINE, MAX_DEPTH = 72, 2, 100, 5
 SHAPE, COMMIT = "Comment shape", "Commit shape"
 DELETABLE = ["Commented-out code", "Empty comment"]
+#: Nothing to rewrite: the block goes as a whole.
+GONE = [*DELETABLE, "Separator banner"]
 #: A block with this mark is left alone.
 KEEP_TAG = r"(?i)prosegauge[:-]keep"
 
@@ -51,6 +53,30 @@ def strip_markers(raw: Column) -> Column:
     return T.trimmed(F.array_join(F.transform(T.lines(raw), one), "\n"))
 
 
+def prose_lines(raw: Column) -> Column:
+    """Lines of a block that say something, past its marks and tags."""
+    bare = lambda x: T.trimmed(F.regexp_replace(T.trimmed(F.regexp_replace(T.trimmed(x), r"\A(?:/\*\*|\*/|///|//|/\*|#)", "")), r"\A\*", ""))
+    return F.size(F.filter(F.transform(T.lines(raw), bare), lambda x: (x != "") & ~x.startswith("@")))
+
+
+def rendered_lines(raw: Column, body: Column, max_line: int = 100) -> Column:
+    """Lines that body takes up once it is wrapped and stands where raw is."""
+    first = T.lines(raw)[0]
+    head = F.regexp_replace(first, r"\A[ \t]+", "")
+    mark = F.when(head.startswith("/*"), 3).when(head.startswith("///"), 3).when(head.startswith("#"), 1).otherwise(2)
+    room = F.lit(max_line) - (F.length(first) - F.length(head) + mark + 1)
+    width = F.when(room > 20, room).otherwise(F.lit(20))
+
+    def wrapped(part: Column) -> Column:
+        sizes = F.transform(F.filter(F.split(part, f"[{T.SPACE}]+", -1), lambda w: w != ""), F.length)
+        start = F.struct(F.lit(1).alias("n"), F.lit(-1).alias("used"))
+        fits = lambda a, w: (a["used"] < 0) | (a["used"] + 1 + w <= width)
+        more = lambda a, w: F.struct(F.when(fits(a, w), a["n"]).otherwise(a["n"] + 1).alias("n"), F.when(fits(a, w) & (a["used"] >= 0), a["used"] + 1 + w).otherwise(w).alias("used"))
+        return F.aggregate(sizes, start, more, lambda a: a["n"])
+
+    return F.aggregate(F.transform(T.lines(body), wrapped), F.lit(0), lambda a, n: a + n)
+
+
 def is_doc(raw: Column) -> Column:
     first = T.trimmed(T.lines(raw)[0])
     return first.startswith("/**") | first.startswith("///")
@@ -101,10 +127,19 @@ def newlines(s: Column) -> Column:
 
 
 def first_todo(text: Column) -> Column:
-    """Lines before the first marker outside quotes; null without one."""
-    pieces, found = F.split(text, T.jdk(TODO), -1), T.find_all(text, TODO)
-    before = F.transform(found, lambda m, k: F.array_join(F.flatten(F.transform(F.arrays_zip(F.slice(pieces, F.lit(1), k + 1).alias("p"), F.slice(found, F.lit(1), k).alias("m")), lambda x: F.array(x["p"], F.coalesce(x["m"], F.lit(""))))), ""))
-    return newlines(F.get(F.filter(before, lambda b: ~in_quotes(b)), F.lit(0)))
+    """Lines before the first marker outside quotes; null without one.
+
+    A mark is put before each marker; quotes count within a line, so each line is asked by itself.
+    """
+    marked = F.regexp_replace(F.replace(text, F.lit(matching.PLACE), F.lit("")), F.lit(T.jdk(TODO)), F.lit(matching.PLACE + "$0"))
+
+    def open_(line: Column) -> Column:
+        pieces = F.split(line, matching.PLACE, -1)
+        before = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.array_join(F.slice(pieces, F.lit(1), k), ""))
+        return F.when(F.size(pieces) > 1, F.exists(before, lambda b: ~in_quotes(b))).otherwise(F.lit(False))
+
+    at = F.transform(T.lines(marked), lambda x, k: F.when(open_(x), k))
+    return F.when(F.contains(marked, F.lit(matching.PLACE)), F.array_min(F.filter(at, lambda k: k.isNotNull())))
 
 
 def comment_findings(blocks: DataFrame, max_lines: int = MAX_LINES, max_line: int = MAX_LINE) -> DataFrame:
@@ -158,7 +193,7 @@ def doc_lead(text: Column, doc: Column, following: Column) -> Column:
 
 
 def rule_findings(blocks: DataFrame, sets: list[tuple[RuleSet, Column]], genre: str = "code", skip: tuple[str, ...] = ()) -> DataFrame:
-    """blocks -> file, start, line, category, rule, lift, hard: a row for each line that a rule is found on.
+    """blocks -> file, start, line, category, rule, lift, hard, fix: a row for each line that a rule is found on.
 
     sets: rule sets, and of which blocks each is asked.
     """
@@ -169,8 +204,8 @@ def rule_findings(blocks: DataFrame, sets: list[tuple[RuleSet, Column]], genre:
         asked = blocks.where(where).withColumn("words", T.count_words(F.col("text")))
         found = matching.dense_enough(matching.hits(asked, rules, key=[*key, "words", "doc", "next"]), rs)
         found = found.where((F.col("category") != "Copula inflation") | ~doc_lead(F.col("text"), F.col("doc"), F.col("next")))
-        found = matching.with_lines(found).select(*key, F.explode("lines").alias("l"), "category", "rule", "lift", "hard")
-        found = found.select(*key, (F.col("start") + F.col("l") - 1).cast("int").alias("line"), "category", "rule", "lift", "hard")
+        found = matching.with_lines(found).select(*key, F.explode("lines").alias("l"), "category", "rule", "lift", "hard", "fix")
+        found = found.select(*key, (F.col("start") + F.col("l") - 1).cast("int").alias("line"), "category", "rule", "lift", "hard", "fix")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -186,12 +221,13 @@ def block_id(file: Column, start: Column, end: Column) -> Column:
 
 
 def items(blocks: DataFrame, findings: DataFrame) -> DataFrame:
-    """A row for each block with findings: id, hash, score, findings (line, rule, category, hard, lift)."""
+    """A row for each block with findings: id, hash, score, findings (line, rule, category, hard, lift, fix, sample)."""
     once = findings.dropDuplicates(["file", "start", "rule", "line"])
     found = once.groupBy("file", "start").agg(
         F.sum(weight(F.col("lift"), F.col("hard"))).cast("long").alias("score"),
-        F.array_sort(F.collect_list(F.struct("line", "rule", "category", "hard", "lift"))).alias("findings"),
+        F.array_sort(F.collect_list(F.struct("line", "rule", "category", "hard", "lift", "fix"))).alias("findings"),
         F.max("hard").alias("hard"),
     )
-    rows = blocks.select(block_id(F.col("file"), F.col("start"), F.col("end")).alias("id"), T.norm_hash(F.col("text")).alias("hash"), "file", "start", "end", "raw")
-    return rows.join(found, ["file", "start"])
+    rows = blocks.select(block_id(F.col("file"), F.col("start"), F.col("end")).alias("id"), T.norm_hash(F.col("text")).alias("hash"), "file", "start", "end", "raw", "text")
+    sampled = F.transform("findings", lambda f: f.withField("sample", T.excerpt(F.col("text"), f["line"] - F.col("start") + 1)))
+    return rows.join(found, ["file", "start"]).withColumn("findings", sampled).drop("text")

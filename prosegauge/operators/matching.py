@@ -14,6 +14,10 @@ from prosegauge.functions import text as T
 from prosegauge.plans.ruleset import FAKE_RANGE, HARD, Rule, RuleSet
 
 
+#: Marks a place in a text; taken out of texts first.
+PLACE = "\x01"
+
+
 def rule_count(rule: Rule, text: Column, low: Column) -> Column:
     if rule.kind == "lit":
         return literal_count(low, F.lit(rule.pattern.lower()))
@@ -93,23 +97,20 @@ def muted(rs: RuleSet, genre: str) -> Column:
 def with_lines(found: DataFrame) -> DataFrame:
     """hits -> with `lines`, where matches stand, each line once.
 
-    A match starts at its first letter or digit.  The pieces between matches give the places; the pattern is
-    a column here, for there are few rows.
+    A match starts at its first letter or digit.  A mark is put there, and the lines with a mark are what is
+    asked for: linear in the text and its matches.  The pattern is a column here, for there are few rows.
     """
     text = F.col("text")
     pattern = F.when(F.col("pattern") == "", F.lit(T.jdk(FAKE_RANGE))).otherwise(F.col("pattern"))
-    found = found.withColumn("__m", F.regexp_extract_all(text, pattern, F.lit(0))).withColumn("__s", F.split(text, pattern, F.lit(-1)))
-    keep = F.when(F.col("pattern") == "", fake_ranges(text)).otherwise(F.transform("__m", lambda m: F.lit(True)))
-    newlines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda n, s: n + newlines(s))
-
-    def line(m: Column, k: Column) -> Column:
-        lead = F.regexp_extract(m, r"\A([^\p{L}\p{Nd}]*)[\p{L}\p{Nd}]", 1)
-        return total(F.slice("__s", F.lit(1), k + 1)) + total(F.slice("__m", F.lit(1), k)) + newlines(lead) + 1
-
-    at = F.transform("__m", line)
-    at = F.transform(F.filter(F.arrays_zip(at.alias("l"), keep.alias("k")), lambda x: x["k"]), lambda x: x["l"])
-    return found.withColumn("lines", F.array_distinct(at)).drop("__m", "__s")
+    clean = F.replace(text, F.lit(PLACE), F.lit(""))
+    m, pieces = F.regexp_extract_all(clean, pattern, F.lit(0)), F.split(clean, pattern, F.lit(-1))
+    keep = F.when(F.col("pattern") == "", fake_ranges(clean)).otherwise(F.transform(m, lambda x: F.lit(True)))
+    found = found.withColumn("__m", F.arrays_zip(m.alias("m"), keep.alias("k"))).withColumn("__s", pieces)
+    start = lambda x: F.when(F.regexp_like(x, F.lit(r"[\p{L}\p{Nd}]")), F.regexp_replace(x, r"\A([^\p{L}\p{Nd}]*)", "$1" + PLACE)).otherwise(F.concat(F.lit(PLACE), x))
+    placed = F.transform("__m", lambda x: F.when(x["k"], start(x["m"])).otherwise(x["m"]))
+    whole = F.array_join(F.zip_with("__s", placed, lambda s, x: F.concat(s, F.coalesce(x, F.lit("")))), "")
+    at = F.transform(T.lines(whole), lambda x, k: F.when(F.contains(x, F.lit(PLACE)), k + 1))
+    return found.withColumn("lines", F.filter(at, lambda k: k.isNotNull())).drop("__m", "__s")
 
 
 def by_rule(found: DataFrame) -> DataFrame:

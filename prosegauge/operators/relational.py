@@ -70,6 +70,20 @@ def pair_match(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("kind", kind)
 
 
+def rescan(items: DataFrame, blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """Items (file, hash, start, end, ...) after `files` were read again, with `blocks` in them now.
+
+    A block is found by its hash, the last of equal ones; its lines are updated.  One that isn't there any more
+    is done.  Items of other files stay as they are.
+    """
+    now = blocks.groupBy("file", "hash").agg(F.max(F.struct("start", "end")).alias("__now"))
+    rows = items.join(files.select("file", F.lit(True).alias("__read")).distinct(), "file", "left").join(now, ["file", "hash"], "left")
+    rows = rows.withColumn("start", F.coalesce("__now.start", "start")).withColumn("end", F.coalesce("__now.end", "end"))
+    gone = F.coalesce("__read", F.lit(False)) & F.col("__now").isNull()
+    done = gone | F.col("done") if "done" in items.columns else gone
+    return rows.withColumn("done", done).drop("__now", "__read")
+
+
 def merge_spans(spans: DataFrame) -> DataFrame:
     """spans (file, start, end, own_line) -> neighbours that have their lines to themselves, as one."""
     order = Window.partitionBy("file").orderBy("start", "end")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.operators import scoring
+from prosegauge.functions import text as T
+from prosegauge.operators import blocks, scoring
 
 
 def report_json(scores: DataFrame) -> DataFrame:
@@ -13,10 +14,10 @@ def report_json(scores: DataFrame) -> DataFrame:
     return scores.select("doc_id", F.to_json(F.struct(*[c for c in scores.columns if c != "doc_id"])).alias("json"))
 
 
-def quiet(source: Column, dashes: Column) -> Column:
-    """`source score/100 [band] bans: P (+D dashes), markers: x/100 words`."""
+def quiet(source: Column) -> Column:
+    """`source score/100 [band] bans: P (+D dashes), markers: x/100 words`; bans by whether their name has "dash"."""
     words = F.greatest(F.col("words"), F.lit(1))
-    return F.format_string("%s %d/100 [%s] bans: %d (+%d dashes), markers: %.1f/100 words", source, F.col("score"), F.col("band"), F.col("phrase_bans"), dashes, (F.col("soft") + F.col("copy_paste")) * 100.0 / words)
+    return F.format_string("%-40s %3d/100 [%s] bans: %d (+%d dashes), markers: %.1f/100 words", source, F.col("score"), F.col("band"), F.col("other_bans"), F.col("dash_bans"), (F.col("soft") + F.col("copy_paste")) * 100.0 / words)
 
 
 def penalty_lines(scores: DataFrame) -> DataFrame:
@@ -31,11 +32,50 @@ def fence(text: Column) -> Column:
     return F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
 
 
-def markdown(items: DataFrame) -> DataFrame:
-    """id, md: a block with its findings, in a fence that its text can't close."""
-    said = F.array_join(F.transform("findings", lambda f: F.concat(F.lit("- "), f["rule"], F.lit(" (line "), f["line"].cast("string"), F.lit(")"))), "\n")
+def fix_command(hash_: Column, file: Column, findings: Column) -> Column:
+    """The command that mends a block: delete it if all its findings call for that, else put new text there."""
+    gone = F.forall(findings, lambda f: f["rule"].isin(*blocks.GONE) | f["category"].isin(*blocks.GONE))
+    how = F.when(gone, F.lit("--delete")).otherwise(F.lit('--text "<new text>"'))
+    return F.concat(F.lit("```bash\nprosegauge fix --block "), hash_, F.lit(" "), how, F.lit(' --write "'), file, F.lit('"\n```'))
+
+
+def markdown(items: DataFrame, lang: Column, kind: str = "comment") -> DataFrame:
+    """id, md: a block with its findings by rule, in a fence that its text can't close, and the command below.
+
+    How many blocks have the text is counted by hash, partially before the shuffle.
+    """
+    copies = items.groupBy("hash").agg(F.count("*").alias("copies"))
+
+    def group(rule: Column) -> Column:
+        own = F.filter("findings", lambda f: f["rule"] == rule)
+        at = F.array_join(F.transform(own, lambda f: f["line"].cast("string")), ", ")
+        fix = F.when(own[0]["fix"] == "", F.lit("")).otherwise(F.concat(F.lit(" - "), own[0]["fix"]))
+        return F.concat(F.lit("- **"), rule, F.lit("** ("), F.when(own[0]["hard"], F.lit("hard, ")).otherwise(F.lit("")), F.lit("line "), at, F.lit(")"), fix, F.lit("\n"))
+
+    said = F.array_join(F.transform(F.array_distinct(F.transform("findings", lambda f: f["rule"])), group), "")
+    head = F.concat(F.lit("## "), F.col("id"), F.lit("\nblock "), F.col("hash"), F.lit(" | `"), lang, F.lit(f"` | {kind} | weight "), F.col("score").cast("string"))
+    many = F.when(F.col("copies") > 1, F.concat(F.lit(" | text copies: "), F.col("copies").cast("string"))).otherwise(F.lit(""))
     f = fence(F.col("raw"))
-    return items.select("id", F.concat(F.lit("## "), F.col("id"), F.lit("\nblock "), F.col("hash"), F.lit(" | score "), F.col("score").cast("string"), F.lit("\n"), said, F.lit("\n"), f, F.lit("\n"), F.col("raw"), F.lit("\n"), f).alias("md"))
+    tail = F.concat(fix_command(F.col("hash"), F.col("file"), F.col("findings")), F.lit("\n\n")) if kind == "comment" else F.lit("")
+    md = F.concat(head, many, F.lit("\n\n"), said, F.lit("\n"), f, F.lit("\n"), F.col("raw"), F.lit("\n"), f, F.lit("\n\n"), tail)
+    return items.join(copies, "hash").select("id", md.alias("md"))
+
+
+def findings_json(items: DataFrame) -> DataFrame:
+    """id, place, json: a flat list of findings, one object each, in the order of their block."""
+    rows = items.select("id", "file", F.posexplode("findings").alias("place", "f"))
+    empty = lambda c: F.when(F.col(f"f.{c}") != "", F.col(f"f.{c}"))
+    lift = F.when(F.col("f.lift") != 0, F.col("f.lift"))
+    fields = [F.col("file"), empty("category").alias("category"), F.col("f.line").alias("line"), F.col("f.rule").alias("rule"), empty("fix").alias("fix"), empty("sample").alias("sample"), lift.alias("lift"), F.col("f.hard").alias("hard")]
+    return rows.select("id", "place", F.to_json(F.struct(*fields)).alias("json"))
+
+
+def todo(items: DataFrame, note: Column) -> DataFrame:
+    """id, todo: an open point for a block, with the rules found and its text as a quotation."""
+    said = F.concat(F.lit("  - rules: "), F.array_join(F.transform("findings", lambda f: f["rule"]), ", "), F.lit("\n"))
+    quoted = F.array_join(F.transform(T.lines(F.regexp_replace("raw", r"\n+\z", "")), lambda x: F.concat(F.lit("  > "), T.trimmed(x), F.lit("\n"))), "")
+    head = F.concat(F.lit("\n- [ ] `"), F.col("file"), F.lit(":"), F.col("start").cast("string"), F.lit("` "), T.trimmed(note), F.lit("\n"))
+    return items.select("id", F.concat(head, F.when(F.size("findings") > 0, said).otherwise(F.lit("")), quoted).alias("todo"))
 
 
 def write_items(items: DataFrame, path: str) -> None:

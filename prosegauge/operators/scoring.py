@@ -84,6 +84,8 @@ def score(docs: DataFrame, rs: RuleSet, genre: str = "", key: str = "doc_id", te
     base = base.select(
         *[c for c in base.columns if c != "__n"],
         total(lambda r: r.hard and live(r) and r.name != EM_DASH).alias("phrase_bans"),
+        total(lambda r: r.hard and live(r) and "dash" in r.name).alias("dash_bans"),
+        total(lambda r: r.hard and live(r) and "dash" not in r.name).alias("other_bans"),
         total(lambda r: not r.hard and live(r) and r.category == rs.copy_paste).alias("copy_paste"),
         total(lambda r: not r.hard and live(r) and r.category != rs.copy_paste).alias("soft"),
         total(lambda r: r.hard and not live(r), once).alias("muted_bans"),

@@ -126,3 +126,35 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FILES = f"files AS (SELECT source || '/' || {sql_pick(PATHS, 'doc_id')} AS path, text, doc_id FROM documents)"
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, text: a source file for each document, its whole text laid out as functions and blocks."""
+    docs = table(spark, sf_dir, "documents")
+    unit = F.element_at(F.array(F.lit(2), F.lit(4), F.lit(8)), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
+
+    def line(piece: Column, k: Column) -> Column:
+        i = k + 1
+        pad = F.repeat(F.lit(" "), unit * (1 + (i * i) % 6))
+        named = lambda head, tail: F.concat(F.lit(head), i.cast("string"), F.lit(tail))
+        return (
+            F.when(i % 23 == 1, named("func f", "(a int, b string) {"))
+            .when(i % 23 == 22, F.lit("}"))
+            .when(i % 23 == 9, F.concat(F.repeat(F.lit(" "), unit), named("func inner", "() {")))
+            .when(i % 23 == 15, F.lit(""))
+            .when(i % 23 == 5, F.lit(")"))
+            .when(i % 7 == 3, F.concat(pad, F.lit('if x && y == "a || b" {')))
+            .when(i % 11 == 5, F.concat(pad, F.lit("// "), piece))
+            .otherwise(F.concat(pad, piece))
+        )
+
+    pieces = F.transform(F.split("text", "[.,\n]", -1), lambda x: F.regexp_replace(x, r"[^\p{L}\p{Nd} ]|^ +| +$", ""))
+    lang = pick(["go", "swift", "kotlin"], F.col("doc_id"))
+    return docs.select("doc_id", lang.alias("lang"), F.array_join(F.transform(pieces, line), "\n").alias("text"))
+
+
+_UNIT, _PAD = "[2, 4, 8][(doc_id % 3 + 1)::INT]", "repeat(' ', ([2, 4, 8][(doc_id % 3 + 1)::INT] * (1 + (i * i) % 6))::INT)"
+CODE_FILES = f"""cf0 AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[.,\n]'), lambda x: regexp_replace(x, '[^\p{{L}}\p{{Nd}} ]|^ +| +$', '', 'g')) AS p FROM documents),
+cf1 AS (SELECT doc_id, list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i % 23 = 1 THEN 'func f' || i || '(a int, b string) {{' WHEN i % 23 = 22 THEN '}}' WHEN i % 23 = 9 THEN repeat(' ', {_UNIT}) || 'func inner' || i || '() {{' WHEN i % 23 = 15 THEN ''
+  WHEN i % 23 = 5 THEN ')' WHEN i % 7 = 3 THEN {_PAD} || 'if x && y == "a || b" {{' WHEN i % 11 = 5 THEN {_PAD} || '// ' || p[i] ELSE {_PAD} || p[i] END) AS l FROM cf0),
+code_files AS (SELECT doc_id, {sql_pick(['go', 'swift', 'kotlin'], 'doc_id')} AS lang, array_to_string(l, chr(10)) AS text FROM cf1)"""

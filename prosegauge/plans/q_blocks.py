@@ -9,6 +9,7 @@ from prosegauge.functions import text as T
 from prosegauge.operators import blocks as B
 from prosegauge.operators import matching
 from prosegauge.operators import relational as R
+from prosegauge.operators import source_metrics as SM
 from prosegauge.plans import corpus as C
 from prosegauge.plans.q_text import W, sql_count, sql_dense, sql_hits, sql_lines, sql_muted, sql_re, sql_trim
 from prosegauge.plans.q_text import _hash as sql_hash
@@ -167,24 +168,24 @@ def _rule_findings_sql() -> str:
         for k in ("l0", "l1", "l2", "hits", "rules", "h0"):
             lines = lines.replace(f"{k} AS", f"{n}_{k} AS").replace(f"FROM {k}", f"FROM {n}_{k}")
         ctes.append(lines)
-        rows = ", ".join(f"({C.sql_text(r.category)}, {C.sql_text(r.name)}, {r.lift}::DOUBLE, {r.hard})" for r in rules)
-        ctes.append(f"{n}_rules(category, rule, lift, hard) AS (VALUES {rows})")
+        rows = ", ".join(f"({C.sql_text(r.category)}, {C.sql_text(r.name)}, {r.lift}::DOUBLE, {r.hard}, {C.sql_text(r.fix)})" for r in rules)
+        ctes.append(f"{n}_rules(category, rule, lift, hard, fix) AS (VALUES {rows})")
         ctes.append(f"{n}_n AS (SELECT doc_id, rule, count(*) AS n FROM {n}_l1 GROUP BY ALL)")
-        out.append(f"SELECT file, start, (start + line - 1)::INT AS line, category, rule, lift, hard FROM (SELECT DISTINCT doc_id, rule, line FROM {n}_l2) JOIN {n}_rules USING (rule) JOIN {n}_n USING (doc_id, rule) JOIN lang USING (doc_id) WHERE {sql_dense(part)}")
+        out.append(f"SELECT file, start, (start + line - 1)::INT AS line, category, rule, lift, hard, fix FROM (SELECT DISTINCT doc_id, rule, line FROM {n}_l2) JOIN {n}_rules USING (rule) JOIN {n}_n USING (doc_id, rule) JOIN lang USING (doc_id) WHERE {sql_dense(part)}")
     return ", ".join(ctes) + f", rf AS ({' UNION ALL '.join(out)})"
 
 
-SQL["rule_findings"] = f"WITH {_rule_findings_sql()} SELECT file, start, line, category, rule, lift, hard FROM rf"
+SQL["rule_findings"] = f"WITH {_rule_findings_sql()} SELECT file, start, line, category, rule, lift, hard, fix FROM rf"
 
 
 def findings(s, d):
-    shape = B.comment_findings(_live(s, d)).select("file", "start", "line", "category", "rule", F.lit(0.0).alias("lift"), F.lit(False).alias("hard"))
+    shape = B.comment_findings(_live(s, d)).select("file", "start", "line", "category", "rule", F.lit(0.0).alias("lift"), F.lit(False).alias("hard"), F.lit("").alias("fix"))
     return rule_findings(s, d).unionByName(shape)
 
 
-_FIND = f"{_rule_findings_sql()}, fi AS (SELECT file, start, line, category, rule, lift, hard FROM rf UNION ALL SELECT file, start, line, '{B.SHAPE}', rule, 0.0, false FROM struct)"
+_FIND = f"{_rule_findings_sql()}, fi AS (SELECT file, start, line, category, rule, lift, hard, fix FROM rf UNION ALL SELECT file, start, line, '{B.SHAPE}', rule, 0.0, false, '' FROM struct)"
 Q["union_rule_layers"] = findings
-SQL["union_rule_layers"] = f"WITH {_FIND} SELECT file, start, line, category, rule, lift, hard FROM fi"
+SQL["union_rule_layers"] = f"WITH {_FIND} SELECT file, start, line, category, rule, lift, hard, fix FROM fi"
 
 _weight = "(CASE WHEN lift > 1 THEN least(10, floor(lift + 0.5)::INT) ELSE 1 END * CASE WHEN hard THEN 3 ELSE 1 END)"
 _ITEMS = f"{_FIND}, once AS (SELECT DISTINCT file, start, line, rule, category, lift, hard FROM fi), it AS (SELECT file, start, sum({_weight})::BIGINT AS score, count(*) AS n, bool_or(hard) AS hard FROM once GROUP BY 1, 2), items AS (SELECT {_id} AS id, {sql_hash('text')} AS hash, file, start, score, n, it.hard AS hard FROM it JOIN bl USING (file, start))"
@@ -219,9 +220,23 @@ SQL["survey"] = f"WITH {BL} SELECT role AS lang, count(*) AS comments, count(DIS
 
 # --- joins and snapshots -----------------------------------------------------------
 
+def _edited(s, d):
+    """Items, the blocks that some of their files have now, and those files."""
+    b = blocks(s, d)
+    item = b.select("file", T.norm_hash(F.col("text")).alias("hash"), "start", "end")
+    again = b.where("role = 'user' and start = 1 and length(file) % 2 = 0").select("file").distinct()
+    now = item.join(again, "file", "left_semi").where("start % 4 <> 3").withColumn("start", F.col("start") + 3).withColumn("end", F.col("end") + 3)
+    return item, now, again
+
+
 _ranges = lambda s, d: C.table(s, d, "events").select(F.concat(F.lit("conv"), F.col("user_id"), F.lit(".go")).alias("file"), F.pmod(F.col("event_id"), F.lit(60)).cast("int").alias("from_line")).withColumn("to_line", F.col("from_line") + 2)
+Q["rescan"] = lambda s, d: R.rescan(*_edited(s, d)).select("file", "hash", "start", "end", "done")
 Q["touching"] = lambda s, d: R.touching(blocks(s, d), _ranges(s, d)).select("file", "start", "end")
 _RANGES = "ranges AS (SELECT 'conv' || user_id || '.go' AS file, (event_id % 60)::INT AS from_line, (event_id % 60 + 2)::INT AS to_line FROM events)"
+_EDITED = f"""{BL}, it AS (SELECT file, {sql_hash('text')} AS hash, start, "end" FROM bl), fs AS (SELECT DISTINCT file FROM bl WHERE role = 'user' AND start = 1 AND len(file) % 2 = 0),
+nw AS (SELECT file, hash, start + 3 AS start, "end" + 3 AS "end" FROM it JOIN fs USING (file) WHERE start % 4 <> 3)"""
+SQL["rescan"] = f"""WITH {_EDITED}, n AS (SELECT file, hash, max((start, "end")) AS s FROM nw GROUP BY 1, 2)
+SELECT file, hash, coalesce(s[1], start)::INT AS start, coalesce(s[2], "end")::INT AS "end", fs.file IS NOT NULL AND s IS NULL AS done FROM it LEFT JOIN fs USING (file) LEFT JOIN n USING (file, hash)"""
 SQL["touching"] = f'WITH {BL}, {_RANGES} SELECT file, start, "end" FROM bl WHERE EXISTS (SELECT 1 FROM ranges r WHERE r.file = bl.file AND r.from_line <= bl."end" AND bl.start <= r.to_line)'
 _hashed = lambda s, d: blocks(s, d).select("file", "start", T.norm_hash(F.col("text")).alias("hash"), "role", "text", "next")
 _HASHED = f"{BL}, hashed AS (SELECT file, start, {sql_hash('text')} AS hash, role, text, next FROM bl)"
@@ -275,6 +290,31 @@ Q["fix_batch_lost"] = lambda s, d: R.lost_edits(_hashed(s, d), _wild(s, d)).sele
 SQL["fix_batch_lost"] = f"""WITH {_HASHED}, e AS (SELECT CASE WHEN start = 11 THEN 'no' || hash ELSE hash END AS hash, CASE WHEN role = 'user' THEN file || CASE WHEN start = 1 THEN '.old' ELSE '' END END AS file, start AS place FROM hashed WHERE start <= 21)
 SELECT hash, file, place FROM e WHERE NOT EXISTS (SELECT 1 FROM hashed h WHERE h.hash = e.hash AND (e.file IS NULL OR h.file = e.file))"""
 
+# --- functions of source ------------------------------------------------------------
+
+
+def sql_functions() -> str:
+    """functions: the same rows by joins of a file's lines with its signatures.
+
+    A signature that stands within an earlier one's body is no function of its own.
+    """
+    note = " OR ".join(f"prefix(bare, '{x}')" for x in SM.NOTE)
+    branches = f"len(regexp_extract_all(regexp_replace(l, {sql_re(SM.STRING)}, '\"\"', 'g'), {sql_re(SM.BRANCH)}))"
+    lead = "regexp_extract(l, '^[ \\t]*')"
+    given = f"regexp_extract(l, {sql_re(SM.PARAMETERS)}, 1)"
+    steps = ", ".join(map(str, SM.STEPS))
+    return f"""ln0 AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM code_files),
+ln AS (SELECT *, {sql_trim('l')} AS bare, length({lead}) + {SM.TAB - 1} * (length({lead}) - length(replace({lead}, chr(9), ''))) AS ind FROM ln0),
+gr AS (SELECT doc_id, i, ind - coalesce(lag(ind) OVER (PARTITION BY doc_id ORDER BY i), 0) AS g FROM ln WHERE bare <> ''),
+un AS (SELECT doc_id, g AS unit FROM (SELECT doc_id, g, count(*) AS n, min(i) AS i FROM gr WHERE g IN ({steps}) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) = 1),
+sg AS (SELECT doc_id, lang, i, l, ind AS base FROM ln WHERE regexp_matches(l, {sql_re(SM.SIGNATURE)})),
+sp AS (SELECT s.doc_id, s.lang, s.i, s.l, s.base, coalesce(min(j.i), 1000000000) AS stop FROM sg s LEFT JOIN ln j ON j.doc_id = s.doc_id AND j.i > s.i AND j.bare <> '' AND j.ind <= s.base AND NOT regexp_matches(j.bare, '^[)\\]]') GROUP BY ALL),
+own AS (SELECT * FROM sp a WHERE NOT EXISTS (SELECT 1 FROM sp b WHERE b.doc_id = a.doc_id AND b.i < a.i AND a.i < b.stop)),
+bd AS (SELECT o.doc_id, o.i, count(*) AS sloc, max(ind) AS deep, sum(branches) AS branches FROM own o JOIN (SELECT doc_id, i, ind, {branches} AS branches FROM ln WHERE bare <> '' AND NOT ({note})) x ON x.doc_id = o.doc_id AND x.i > o.i AND x.i < o.stop GROUP BY 1, 2),
+functions AS (SELECT o.doc_id, o.lang, o.i::INT AS line, regexp_extract(o.l, 'func\\s*(?:\\([^()]*\\)\\s*)?(\\w*)', 1) AS name, greatest(0, (greatest(base, coalesce(deep, 0)) - base) // coalesce(unit, {SM.STEP}) - 1)::INT AS depth, coalesce(sloc, 0)::INT AS sloc, (1 + coalesce(branches, 0))::INT AS cc,
+  CASE WHEN {sql_trim(given)} = '' THEN 0 ELSE len(string_split({given}, ',')) END::INT AS params FROM own o LEFT JOIN bd USING (doc_id, i) LEFT JOIN un ON un.doc_id = o.doc_id)"""
+
+
 # --- distributions -----------------------------------------------------------------
 
 _values = lambda s, d: C.table(s, d, "documents").select(F.col("lang"), (F.length("text")).alias("value"))
@@ -298,9 +338,13 @@ s AS (SELECT key, pos FROM h QUALIFY row_number() OVER (PARTITION BY h ORDER BY
 m AS (SELECT key, count(DISTINCT line) AS marked FROM (SELECT key, unnest(range(pos, pos + 5)) AS line FROM s) GROUP BY 1)
 SELECT key, len(l)::BIGINT AS loc, coalesce(marked, 0)::BIGINT AS marked FROM f LEFT JOIN m USING (key)"""
 
-# functions of a kind: each line item is one, with measures of the sort that code has
-_metrics = lambda s, d: C.table(s, d, "lineitem").select(F.col("l_returnflag").alias("lang"), (F.col("l_quantity") / 3).cast("int").alias("cc"), F.pmod(F.col("l_partkey"), F.lit(90)).cast("int").alias("sloc"), F.pmod(F.col("l_suppkey"), F.lit(7)).cast("int").alias("depth"))
-_METRICS = "m AS (SELECT l_returnflag AS lang, trunc(l_quantity / 3)::INT AS cc, (l_partkey % 90)::INT AS sloc, (l_suppkey % 7)::INT AS depth FROM lineitem)"
+# functions of source files: depth, lines and branches by indentation
+_metrics = lambda s, d: SM.functions(C.code_files(s, d), ["doc_id", "lang"]).where("sloc > 0")
+_METRICS = f"{C.CODE_FILES}, {sql_functions()}, m AS (SELECT * FROM functions WHERE sloc > 0)"
+Q["functions"] = lambda s, d: SM.functions(C.code_files(s, d), ["doc_id", "lang"])
+SQL["functions"] = f"WITH {C.CODE_FILES}, {sql_functions()} SELECT doc_id, lang, line, name, depth, sloc, cc, params FROM functions"
+Q["heaviest_functions"] = lambda s, d: SM.heaviest(_metrics(s, d), ["lang"]).select("lang", "place", "doc_id", "line", "cc", "sloc")
+SQL["heaviest_functions"] = f"WITH {_METRICS} SELECT lang, (row_number() OVER (PARTITION BY lang ORDER BY cc * sloc DESC, doc_id, line))::INT AS place, doc_id, line, cc, sloc FROM m QUALIFY place <= 6"
 _pct = lambda c: F.avg(F.when(c, 100.0).otherwise(0.0))
 Q["function_stats"] = lambda s, d: _metrics(s, d).groupBy("lang").agg(F.count("*").alias("functions"), _pct(F.col("cc") > 10).alias("cc_gt10"), _pct(F.col("depth") > 4).alias("depth_gt4"), _pct(F.col("sloc") > 60).alias("sloc_gt60"), _pct(F.col("sloc") <= 3).alias("tiny3"), _pct(F.col("sloc") <= 6).alias("tiny6"), F.count_if((F.col("cc") > 10) & (F.col("depth") > 4)).alias("both"), F.count_if((F.col("cc") > 10) & (F.col("depth") <= 4)).alias("cc_only"), F.count_if((F.col("cc") <= 10) & (F.col("depth") > 4)).alias("depth_only"))
 SQL["function_stats"] = f"WITH {_METRICS} SELECT lang, count(*) AS functions, avg(CASE WHEN cc > 10 THEN 100.0::DOUBLE ELSE 0 END) AS cc_gt10, avg(CASE WHEN depth > 4 THEN 100.0::DOUBLE ELSE 0 END) AS depth_gt4, avg(CASE WHEN sloc > 60 THEN 100.0::DOUBLE ELSE 0 END) AS sloc_gt60, avg(CASE WHEN sloc <= 3 THEN 100.0::DOUBLE ELSE 0 END) AS tiny3, avg(CASE WHEN sloc <= 6 THEN 100.0::DOUBLE ELSE 0 END) AS tiny6, count(*) FILTER (cc > 10 AND depth > 4) AS both, count(*) FILTER (cc > 10 AND depth <= 4) AS cc_only, count(*) FILTER (cc <= 10 AND depth > 4) AS depth_only FROM m GROUP BY 1"

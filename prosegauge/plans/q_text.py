@@ -202,8 +202,9 @@ def sql_score(rs: RuleSet, genre: str) -> str:
     return f"""WITH {C.TEXTS}, {_RHYTHM}, {_MORPH}, {_STRUCTURE}, {sql_hits(rs)},
 live AS (SELECT doc_id, n, hard, category, rule, {mut} AS muted FROM hits JOIN rules USING (rule_no) JOIN (SELECT doc_id, words FROM rhythm) USING (doc_id) WHERE {sql_dense(rs)}),
 agg AS (SELECT doc_id, coalesce(sum(n) FILTER (hard AND NOT muted AND rule <> 'Em dash'), 0) AS phrase_bans, coalesce(sum(n) FILTER (NOT hard AND NOT muted AND category = {cp}), 0) AS copy_paste,
+  coalesce(sum(n) FILTER (hard AND NOT muted AND contains(rule, 'dash')), 0) AS dash_bans, coalesce(sum(n) FILTER (hard AND NOT muted AND NOT contains(rule, 'dash')), 0) AS other_bans,
   coalesce(sum(n) FILTER (NOT hard AND NOT muted AND category <> {cp}), 0) AS soft, count(*) FILTER (hard AND muted) AS muted_bans, count(*) FILTER (NOT hard AND muted) AS muted_markers FROM live GROUP BY 1),
-j AS (SELECT s.*, coalesce(phrase_bans, 0)::BIGINT AS phrase_bans, coalesce(copy_paste, 0)::BIGINT AS copy_paste, coalesce(soft, 0)::BIGINT AS soft, coalesce(muted_bans, 0)::BIGINT AS muted_bans, coalesce(muted_markers, 0)::BIGINT AS muted_markers, {dash} AS dash FROM structure s LEFT JOIN agg USING (doc_id)),
+j AS (SELECT s.*, coalesce(phrase_bans, 0)::BIGINT AS phrase_bans, coalesce(copy_paste, 0)::BIGINT AS copy_paste, coalesce(dash_bans, 0)::BIGINT AS dash_bans, coalesce(other_bans, 0)::BIGINT AS other_bans, coalesce(soft, 0)::BIGINT AS soft, coalesce(muted_bans, 0)::BIGINT AS muted_bans, coalesce(muted_markers, 0)::BIGINT AS muted_markers, {dash} AS dash FROM structure s LEFT JOIN agg USING (doc_id)),
 p AS (SELECT *, least(45, 12 * phrase_bans)::INT AS p_bans, CASE WHEN copy_paste > 0 THEN 60 ELSE 0 END AS p_copy, {sql_points('2 * (soft::DOUBLE / greatest(words, 1) * 100)', 30)} AS p_soft,
   CASE WHEN dash > 2.0 THEN {sql_points('3 * (dash - 2.0::DOUBLE)', 8)} ELSE 0 END AS p_dash,
   CASE WHEN sentences >= 4 AND cv_len < {target}::DOUBLE THEN {sql_points(f'({target}::DOUBLE - cv_len) / {target}::DOUBLE * 30', 20)} ELSE 0 END AS p_rhythm,

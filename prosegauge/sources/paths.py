@@ -110,3 +110,10 @@ def parse_hunks(diffs: DataFrame, column: str) -> DataFrame:
     size = F.when(F.coalesce(F.col("h.n"), F.lit("")) == "", F.lit(1)).otherwise(F.expr("try_cast(h.n as int)"))
     rows = rows.withColumn("from_line", F.col("h.at").cast("int")).withColumn("to_line", F.col("from_line") + size - 1)
     return rows.where(F.col("to_line") >= F.col("from_line")).drop("h")
+
+
+def parse_changed(shows: DataFrame, column: str) -> DataFrame:
+    """The listing of a commit by name and status -> with file, a row for each one changed: not added, not deleted."""
+    rows = shows.withColumn("__f", F.explode(F.split(column, "\n", -1))).withColumn("__f", F.split(T.trimmed(F.col("__f")), "\t", -1))
+    rows = rows.where((F.size("__f") == 2) & (F.col("__f")[0] == "M")).withColumn("file", F.col("__f")[1])
+    return rows.where("file <> ''").drop("__f")

@@ -69,10 +69,21 @@ def git_log(spark: SparkSession, root: str, n: int) -> DataFrame:
     return P.parse_log(spark.createDataFrame([(out.decode(),)], "log string"), "log")
 
 
+def git_pairs(spark: SparkSession, root: str, commit: str) -> DataFrame:
+    """file, old, new: the files that a commit changed, before it and after it."""
+    run = lambda *a: subprocess.run(["git", "-C", root, *a], capture_output=True, check=True).stdout.decode("utf-8", "replace")
+    listing = spark.createDataFrame([(run("show", "--name-status", "--pretty=format:", "--no-renames", commit),)], "listing string")
+    names = [r["file"] for r in P.parse_changed(listing, "listing").orderBy("file").toLocalIterator()]
+    return spark.createDataFrame([(f, run("show", f"{commit}^:{f}"), run("show", f"{commit}:{f}")) for f in names], "file string, old string, new string")
+
+
 def rcs_head(text: Column) -> Column:
-    """The head revision of a version file: its first text, with doubled signs as one."""
-    body = F.regexp_extract(text, r"(?s)\ntext\n@((?:[^@]|@@)*)@", 1)
-    return F.replace(body, F.lit("@@"), F.lit("@"))
+    """The head revision of a version file: its first text, with doubled signs as one.
+
+    Plain replacing and cutting: a regex for it would recurse once for each character of a long text.
+    """
+    body = F.replace(F.get(F.split(text, "\ntext\n@", 2), F.lit(1)), F.lit("@@"), F.lit("\x01"))
+    return F.replace(F.coalesce(F.substring_index(body, "@", 1), F.lit("")), F.lit("\x01"), F.lit("@"))
 
 
 class SettingsError(ValueError):

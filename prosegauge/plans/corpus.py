@@ -92,21 +92,31 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXTS = f"texts AS (SELECT doc_id, text || chr(10) || chr(10) || {sql_pick(SNIPPETS, 'doc_id')} AS text, lang, source FROM documents)"
 
 
+def block_lines(turns: DataFrame) -> Column:
+    """array: the lines of a turn's comment block, and the line of code below it.
+
+    Every second turn has its whole text in the block.
+    """
+    code = F.split(pick(CODE, F.col("conv_id") * 3 + F.col("turn")), "\n", -1)
+    said = F.split(F.concat(F.lit("// "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n// "))), "\n", -1)
+    return F.when(F.pmod("turn", F.lit(2)) == 1, F.concat(F.slice(code, F.lit(1), F.size(code) - 1), said, F.slice(code, F.lit(-1), F.lit(1)))).otherwise(code)
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, start, end, lines, raw, next: a comment block for each turn of a conversation, in a file for each conversation."""
     turns = table(spark, sf_dir, "conversations")
-    code = pick(CODE, F.col("conv_id") * 3 + F.col("turn"))
-    all_lines = F.split(code, "\n", -1)
+    turns = turns.withColumn("l", block_lines(turns))
     return turns.select(
         F.concat(F.lit("conv"), F.col("conv_id"), F.lit(".go")).alias("file"),
         (F.col("turn") * 10 + 1).cast("int").alias("start"),
-        F.array_join(F.slice(all_lines, F.lit(1), F.size(all_lines) - 1), "\n").alias("raw"),
-        F.element_at(all_lines, -1).alias("next"),
+        F.array_join(F.slice("l", F.lit(1), F.size("l") - 1), "\n").alias("raw"),
+        F.element_at("l", -1).alias("next"),
         F.col("role").alias("role"),
     ).withColumn("lines", F.size(F.split("raw", "\n", -1))).withColumn("end", F.col("start") + F.col("lines") - 1)
 
 
-BLOCKS = f"""b0 AS (SELECT 'conv' || conv_id || '.go' AS file, (turn * 10 + 1)::INT AS start, string_split({sql_pick(CODE, '(conv_id * 3 + turn)')}, chr(10)) AS l, role FROM conversations),
+BLOCKS = f"""bc AS (SELECT *, string_split({sql_pick(CODE, '(conv_id * 3 + turn)')}, chr(10)) AS c FROM conversations),
+b0 AS (SELECT 'conv' || conv_id || '.go' AS file, (turn * 10 + 1)::INT AS start, role, CASE WHEN turn % 2 = 1 THEN list_concat(list_concat(c[1:len(c)-1], string_split('// ' || replace(coalesce(text, ''), chr(10), chr(10) || '// '), chr(10))), [c[len(c)]]) ELSE c END AS l FROM bc),
 blocks AS (SELECT file, start, array_to_string(l[1:len(l)-1], chr(10)) AS raw, l[len(l)] AS next, role, (len(l) - 1)::INT AS lines, (start + len(l) - 2)::INT AS "end" FROM b0)"""
 
 

@@ -20,9 +20,9 @@ Q, SQL = {}, {}
 
 
 def sources(s, d):
-    """path, text: a source file for each conversation, a snippet for each turn."""
+    """path, text: a source file for each conversation, a block and code for each turn."""
     turns = C.table(s, d, "conversations")
-    code = C.pick(C.CODE, F.col("conv_id") * 3 + F.col("turn"))
+    code = F.array_join(C.block_lines(turns), "\n")
     rows = turns.select("conv_id", F.struct("turn", F.concat(code, F.lit("\n\n")).alias("code")).alias("x"))
     rows = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     return rows.select(F.concat(F.lit("conv"), F.col("conv_id"), F.lit(".go")).alias("path"), F.array_join(F.transform("x", lambda x: x["code"]), "").alias("text"))
@@ -60,7 +60,7 @@ def hook_stream(s, d):
     folder = work_folder(s)
     schema = C.table(s, d, "conversations").schema
     turns = s.readStream.schema(schema).parquet(f"{d}/conversations.parque[t]")
-    code = F.split(C.pick(C.CODE, F.col("conv_id") * 3 + F.col("turn")), "\n", -1)
+    code = C.block_lines(turns)
     text = B.strip_markers(F.array_join(F.slice(code, F.lit(1), F.size(code) - 1), "\n"))
     rows = turns.select(F.col("role").alias("session"), F.lit("all.go").alias("file"), (F.col("turn") * 10 + 1).cast("int").alias("start"), T.norm_hash(text).alias("hash"), F.length(text).cast("long").alias("score"))
     query = hook.unseen(rows).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()

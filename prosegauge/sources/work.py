@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where the session names none."""
+    """A new folder under spark.checkpoint.dir; a temporary one only where a local session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="prosegauge-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/prosegauge/{uuid.uuid4().hex}"

@@ -594,3 +594,49 @@ def test_filters_grow_with_ngrams():
     own = [np.arange(200_000, dtype=np.int64) * 7919, np.arange(10, dtype=np.int64)]
     f = langid.Filters.fit(["a", "b"], own, 1 << 14)
     assert f.masks.shape[1] == 1 << 22 and (f.chance < 0.01).all()
+
+
+def test_shards_by_plain_rendezvous(docs, rows):
+    """Spark's hash of a key and a shard: XXH64 of the long's eight bytes, seeded 42, then of the int's four."""
+
+    def shard(key, weights):
+        h = 42 if key is None else xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), 42)
+        bids = []
+        for s, w in enumerate(weights):
+            if w:
+                u = ((xxhash.xxh64_intdigest(s.to_bytes(4, "little"), h) >> 11) + 0.5) / (1 << 53)
+                bids.append((-math.log(u) / w, s))
+        return min(bids)[1]
+
+    keyed = docs.withColumn("doc_id", docs["doc_id"].cast("long"))
+    for weights in ([1.0] * 16, [1.0, 0.0, 3.0, 0.5]):
+        got = sharding.sharded(keyed, weights).collect()
+        assert {r["doc_id"] for r in got} == {i for i, _, _, _ in rows}
+        assert all((r["shard"], r["grown_shard"]) == (shard(r["doc_id"], weights), shard(r["doc_id"], [*weights, 1.0])) for r in got)
+
+
+def plain_grams(text):
+    spaced = "".join(c if c.isalpha() else " " for c in text.lower())
+    return [f" {w} "[k : k + 4] for w in spaced.split(" ") if len(w) > 1 for k in range(len(w) - 1)]
+
+
+def test_languages_by_plain_sets(spark):
+    """Filters against exact sets of n-grams: the same language, and a share that false positives hardly move."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    learned = table.where(fold(table["doc_id"], 4) != 2)
+    known = [(r["lang"], set(plain_grams(r["text"]))) for r in learned.collect() if r["lang"] and any(c.isalpha() for c in r["text"] or "")]
+    of, texts = defaultdict(Counter), Counter(lang for lang, _ in known)
+    assert max(texts.values()) <= langid.TEXTS_PER_LANGUAGE
+    for lang, grams in known:
+        of[lang].update(grams)
+    sets = {lang: {g for g, n in c.items() if n >= max(1, texts[lang] * langid.LEAST_SHARE)} for lang, c in of.items()}
+    filters = langid.train(learned)
+    got = {r["doc_id"]: r for r in langid.identified(table.select("doc_id", "text"), filters).select("kept.doc_id", "lang_pred", "score").collect()}
+    assert sorted(sets) == filters.languages
+    for r in table.collect():
+        grams = plain_grams(r["text"] or "")
+        hits = {lang: sum(g in own for g in grams) for lang, own in sets.items()}
+        best = sorted(hits, key=lambda x: (-hits[x], x))
+        said = got[r["doc_id"]]
+        if grams and (len(best) < 2 or hits[best[0]] - hits[best[1]] > 0.01 * len(grams)):
+            assert said["lang_pred"] == best[0] and abs(said["score"] - hits[best[0]] / len(grams)) < 0.01

@@ -640,3 +640,31 @@ def test_languages_by_plain_sets(spark):
         said = got[r["doc_id"]]
         if grams and (len(best) < 2 or hits[best[0]] - hits[best[1]] > 0.01 * len(grams)):
             assert said["lang_pred"] == best[0] and abs(said["score"] - hits[best[0]] / len(grams)) < 0.01
+
+
+def test_toxicity_by_plain_windows(docs, rows):
+    """A model with any weights, against windows of words counted one by one."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32) * 40, 0.25)
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x100000001B3 + ord(c) + 1) % 2**64
+        h = (h + len(gram)) % 2**64
+        return ((h ^ (h >> 31)) * 0x9E3779B97F4A7C15 % 2**64) >> (65 - toxicity.BUCKETS.bit_length())
+
+    def plain(text):
+        runs = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split(" ")
+        run = [w for w in runs if w]
+        run = [w for k, w in enumerate(run) if not k or w != run[k - 1]]
+        worst = -math.inf
+        for at in range(0, max(1, len(run)), toxicity.WINDOW):
+            grams = [f" {w} "[k : k + n] for w in run[at : at + toxicity.WINDOW] for n in toxicity.GRAMS for k in range(len(w) + 3 - n)]
+            worst = max(worst, sum(float(model.logit[bucket(g)]) for g in grams) / (toxicity.NEUTRAL + len(grams)) + model.bias)
+        return 1 / (1 + math.exp(-max(-30, min(30, worst))))
+
+    got = toxicity.scored(docs, model).collect()
+    mine = sorted((i is None, i or 0, plain(t)) for i, t, _, _ in rows)
+    have = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["score"]) for r in got)
+    assert len(have) == len(mine) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-6 for a, b in zip(have, mine, strict=True))

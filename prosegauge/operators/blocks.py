@@ -138,8 +138,8 @@ def first_todo(text: Column) -> Column:
         before = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: F.array_join(F.slice(pieces, F.lit(1), k), ""))
         return F.when(F.size(pieces) > 1, F.exists(before, lambda b: ~in_quotes(b))).otherwise(F.lit(False))
 
-    at = F.transform(T.lines(marked), lambda x, k: F.when(open_(x), k))
-    return F.when(F.contains(marked, F.lit(matching.PLACE)), F.array_min(F.filter(at, lambda k: k.isNotNull())))
+    at = F.transform(T.lines(marked), lambda x, k: F.when(F.contains(x, F.lit(matching.PLACE)) & open_(x), k))
+    return F.when(T.matches(text, TODO), F.array_min(F.filter(at, lambda k: k.isNotNull())))
 
 
 def comment_findings(blocks: DataFrame, max_lines: int = MAX_LINES, max_line: int = MAX_LINE) -> DataFrame:

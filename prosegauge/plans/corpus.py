@@ -104,7 +104,7 @@ def block_lines(turns: DataFrame) -> Column:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, start, end, lines, raw, next: a comment block for each turn of a conversation, in a file for each conversation."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     turns = turns.withColumn("l", block_lines(turns))
     return turns.select(
         F.concat(F.lit("conv"), F.col("conv_id"), F.lit(".go")).alias("file"),
@@ -140,7 +140,7 @@ FILES = f"files AS (SELECT source || '/' || {sql_pick(PATHS, 'doc_id')} AS path,
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, text: a source file for each document, its whole text laid out as functions and blocks."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     unit = F.element_at(F.array(F.lit(2), F.lit(4), F.lit(8)), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
 
     def line(piece: Column, k: Column) -> Column:

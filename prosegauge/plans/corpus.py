@@ -164,7 +164,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UNIT, _PAD = "[2, 4, 8][(doc_id % 3 + 1)::INT]", "repeat(' ', ([2, 4, 8][(doc_id % 3 + 1)::INT] * (1 + (i * i) % 6))::INT)"
-CODE_FILES = f"""cf0 AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[.,\n]'), lambda x: regexp_replace(x, '[^\p{{L}}\p{{Nd}} ]|^ +| +$', '', 'g')) AS p FROM documents),
+CODE_FILES = f"""cf0 AS (SELECT doc_id, list_transform(regexp_split_to_array(text, '[.,\n]'), lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{Nd}} ]|^ +| +$', '', 'g')) AS p FROM documents),
 cf1 AS (SELECT doc_id, list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i % 23 = 1 THEN 'func f' || i || '(a int, b string) {{' WHEN i % 23 = 22 THEN '}}' WHEN i % 23 = 9 THEN repeat(' ', {_UNIT}) || 'func inner' || i || '() {{' WHEN i % 23 = 15 THEN ''
   WHEN i % 23 = 5 THEN ')' WHEN i % 7 = 3 THEN {_PAD} || 'if x && y == "a || b" {{' WHEN i % 11 = 5 THEN {_PAD} || '// ' || p[i] ELSE {_PAD} || p[i] END) AS l FROM cf0),
 code_files AS (SELECT doc_id, {sql_pick(['go', 'swift', 'kotlin'], 'doc_id')} AS lang, array_to_string(l, chr(10)) AS text FROM cf1)"""

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -236,6 +237,17 @@ def stirling_numbers(d, most):
     return out
 
 
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(3)
+    for sizes in ([], [0], [1, 0, 5, 1000, 0, 3, 70_000]):
+        arrays = [rng.integers(0, 256, n * np.dtype(k).itemsize, dtype=np.uint8).view(k) for n, k in zip(sizes, lm_scoring._TYPES, strict=False)]
+        body = lm_scoring.pack(*arrays)
+        for form in (body, pa.array([body])[0].as_buffer()):
+            got = lm_scoring.unpack(form)
+            assert [x.dtype for x in got] == [x.dtype for x in arrays]
+            assert [x.tobytes() for x in got] == [x.tobytes() for x in arrays]
+
+
 def test_tables_follow_their_law():
     rng = np.random.default_rng(3)
     for d, c, weight in ((0.5, 2, 0.3), (0.75, 7, 1.5), (0.3, 12, 4.0)):

@@ -1,18 +1,22 @@
 """Near copies for the pipeline: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-At 0.8 two SimHash fingerprints differ in about ten bits of 64, far beyond the three that the Golay keys of
-simhash.py reach.  So candidates come from prefix filtering, which misses no pair: in one order of all shingles,
-sets that are similar enough share one of the first n - ceil(0.8 n) + 1 of their n shingles.  Shingles that a
-sample finds frequent come last in the order; which ones it finds changes the work, not the result.  A pair whose
-sets can't have enough in common by their histograms (the sum of the lesser counts) is dropped; the others are
-checked on their whole sets.
-
-Equal sets are one node.  A shingle that many prefixes share is worked on in blocks, and gives a spanning forest
+The method is that of simhash.py, Golay-code fuzzy hashing of SimHash fingerprints, at a larger distance.  At 0.8
+each bit of two fingerprints differs with chance acos(8/9) / pi, about 0.15, so a fingerprint has as many tables of
+bits as such a pair needs to share a key but for a chance of MISSED.  In each table some bits are the anchor, and 24
+are a word whose nearest codewords (one within three bits, or six at four) are found by their syndrome; (table,
+anchor, codeword index) are the keys.  The anchor grows with the number of sets, and the number of tables with it, so
+that few sets share a key by chance.  Of the sets that share a key, those whose sizes or first 128 bits are too far
+apart are dropped; the others are checked on their whole sets.
+
+Tables are worked through a few at a time, so what lies on disk at once is in proportion to the texts, and it holds
+no sets but those that are checked.  Equal sets are one node.  A key that many sets share links all of them to one,
+if they are similar; where that leaves more than one component, it is worked on in blocks, and gives a spanning forest
 of its links instead of all of them.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from itertools import repeat
@@ -20,21 +24,29 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm.common import dropped, filtering_session, small_batches, staged, tidy, whole, work_folder
-from prosegauge.llm.simhash import BLOCK, components
+from prosegauge.llm.common import dropped, small_batches, staged, tidy, whole, work_folder
+from prosegauge.llm.simhash import BLOCK, components, golay
 
 SHINGLE = 5
-#: A shingle that more prefixes share is compared in blocks of BLOCK.
+#: A key that more sets share links them to one, and is compared in blocks of BLOCK where that isn't enough.
 HOT_KEY = 128
-#: Cells of a set's histogram.
-CELLS = 256
 #: Similarity of 4/5 or more, in whole numbers.
 OVER, UNDER = 4, 5
-#: Texts that frequent shingles are looked for in, and how many of these are told apart.
-SAMPLED, FREQUENT = 4_000, 250_000
+#: The chance that two sets of just this similarity share no key.
+MISSED = 0.001
+#: Bits of a word; keys a word has on average; the chance that two words share one where each bit differs as at 0.8.
+WORD_BITS, KEYS, SHARED = 24, 3.16, 0.38
+#: Sets that share a key by chance, about.
+BY_CHANCE = 16
+#: Of the first 128 bits, so many differ at most; at 0.8 it is 19 on average, with a deviation of 4.
+FAR = 48
+#: Tables whose keys are on disk at once.
+TABLES_AT_ONCE = 8
+#: Rows of keys that are compared at once.
+ROWS_AT_ONCE = 1 << 16
 
 
 def shingles(data: bytes) -> np.ndarray:
@@ -62,82 +74,172 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes())
 
 
-def with_nodes(docs: DataFrame) -> DataFrame:
-    """docs -> row (all columns), node (hash of the set)."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), whole(F.col("text")).cast("binary").alias("data"))
+def layout(n: int) -> tuple[int, int]:
+    """Bits of the anchor and number of tables for n sets."""
+    anchor = max(0, math.ceil(math.log2(max(1, n) * KEYS / (1 << 12) / BY_CHANCE)))
+    alike = 1 - math.acos(2 * OVER / (OVER + UNDER)) / math.pi
+    return anchor, math.ceil(math.log(MISSED) / math.log(1 - SHARED * alike**anchor))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes = np.array([_node(shingles(x)) for x in b.column("data").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(nodes.view(np.int64))], ["row", "node"])
 
-    return rows.mapInArrow(tidy(run), f"row {rows.schema['row'].dataType.simpleString()}, node long")
+def signature(s: np.ndarray, words: int) -> np.ndarray:
+    """The SimHash of a set in 64 bits times `words`: majority of each bit over its shingles' hashes."""
+    steps = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, len(s), 255):  # as many as a byte can count
+        h = s[at : at + 255].view(np.uint64)[:, None] + steps
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
+        counts += bits.view(np.uint64).sum(axis=0).view(np.uint8)
+    return np.packbits(counts * 2 > len(s), bitorder="little").view(np.uint64)
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """docs -> node, set; made from the texts each time, for sets take more room than texts."""
-    rows = docs.select(whole(F.col("text")).cast("binary").alias("data"))
+def signed(docs: DataFrame, words: int) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, digest, node (hash of the set), n (its size), bits (its signature)."""
+    small_batches(docs.sparkSession)
+    text = whole(F.col("text"))
+    rows = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("digest"), text.cast("binary").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(x) for x in b.column("data").to_pylist()]
-            nodes = np.array([_node(s) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+            nodes, sizes, bits = [], [], []
+            for data in b.column("data").to_pylist():
+                s = shingles(data)
+                nodes.append(_node(s))
+                sizes.append(len(s))
+                bits.append(signature(s, words).tobytes())
+            nodes = np.array(nodes, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(nodes), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "digest", "node", "n", "bits"])
+
+    return rows.mapInArrow(tidy(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest binary, node long, n long, bits binary")
 
-    return rows.mapInArrow(tidy(run), "node long, set array<bigint>")
 
+def keyed(nodes: DataFrame, anchor: int, tables: range) -> DataFrame:
+    """nodes (node, n, bits) -> key, node, n, a, b: the keys of some tables; a and b are the first 128 bits."""
 
-def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that are in more than one text of a sample, the rarest first; FREQUENT at most."""
-    n = max(1, docs.count())
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // SAMPLED))) == 0)
-    counts = sets_of(some).select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
-    found = counts.orderBy(F.col("n").desc(), "s").limit(FREQUENT).toArrow()
-    return found["s"].to_numpy()[::-1].copy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        check, errors, found = golay()
+        for batch in batches:
+            if not len(batch):
+                continue
+            packed = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint8).reshape(len(batch), -1)
+            node, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n"))
+            first = np.ascontiguousarray(packed[:, :16]).view(np.int64)
+            flat = np.unpackbits(packed, axis=1, bitorder="little")
+            keys, of = [], []
+            for table in tables:
+                at = table * (anchor + WORD_BITS)
+                own = flat[:, at : at + anchor].astype(np.int64) @ (1 << np.arange(anchor, dtype=np.int64))
+                word = flat[:, at + anchor : at + anchor + WORD_BITS].astype(np.int64) @ (1 << np.arange(WORD_BITS, dtype=np.int64))
+                syndrome = check[word >> 12] ^ (word & 4095)
+                for nth in range(6):
+                    on = np.flatnonzero(found[syndrome] > nth)
+                    keys.append((table << anchor | own[on]) << 12 | (word[on] ^ errors[syndrome[on], nth]) >> 12)
+                    of.append(on)
+            of = np.concatenate(of)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), node[of], n[of], first[of, 0], first[of, 1])], ["key", "node", "n", "a", "b"])
+
+    return nodes.mapInArrow(tidy(run), "key long, node long, n long, a long, b long")
+
+
+def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows (node, n, a, b) can be similar by their sizes and first bits."""
+    bits = sum(np.bitwise_count((x[:, k] ^ y[:, k]).view(np.uint64)).astype(np.int64) for k in (2, 3))
+    n, m = x[:, 1], y[:, 1]
+    return (x[:, 0] != y[:, 0]) & (bits <= FAR) & (np.minimum(n, m) * UNDER >= OVER * np.maximum(n, m))
+
+
+def met(rows: DataFrame, hot_key: int) -> DataFrame:
+    """rows (of keyed) -> key, u, v: pairs to check, without a key; and the nodes u of hot keys, without v.
+
+    Rows come in the order of their keys.  A key is hot from more than hot_key rows on; all its nodes are paired
+    with its first one alone.
+    """
 
+    def out(key, u, v) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) if x is not None else pa.nulls(len(u), pa.int64()) for x in (key, u, v)], ["key", "u", "v"])
 
-def prefixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """docs -> key, node, n, place, cells: the prefix of each text's set; place counts from 0.
+    def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        on = _near(x, y)
+        both = np.unique(np.sort(np.stack([x[on, 0], y[on, 0]], axis=1), axis=1), axis=0)
+        return out(None, both[:, 0], both[:, 1])
 
-    One row more of each text, at place -1, has the histogram of its set.
-    """
-    by = np.argsort(frequent)
-    said = docs.sparkSession.sparkContext.broadcast((frequent[by], by))
+    def star(keys: np.ndarray, rows: np.ndarray, top: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield out(keys, rows[:, 0], None)
+        yield pairs(rows, top)
 
-    names = ["key", "node", "n", "place", "cells"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size, hot = [], 0, None  # hot: the key that the last row was of, if it is hot, and its first row
+
+        def done(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal parts, size, hot
+            if not size:
+                return
+            all_rows = np.concatenate(parts)
+            key, rows = all_rows[:, 0], all_rows[:, 1:]
+            if hot:
+                upto = np.searchsorted(key, hot[0], side="right")
+                if upto:
+                    yield from star(key[:upto], rows[:upto], np.repeat(hot[1][None, :], upto, axis=0))
+                key, rows = key[upto:], rows[upto:]
+                if len(key):
+                    hot = None
+            kept = len(key)
+            if len(key):
+                start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                length = np.diff(np.r_[start, len(key)])
+                many = np.repeat(length > hot_key, length)
+                if many.any():
+                    yield from star(key[many], rows[many], rows[np.repeat(start, length)[many]])
+                if many[-1]:
+                    hot = (key[-1], rows[start[-1]].copy())
+                elif not last:
+                    kept = start[-1]  # more of this key may come
+                cold = np.flatnonzero(~many[:kept])
+                key_cold, rows_cold = key[cold], rows[cold]
+                at, step = np.arange(len(cold)), 1
+                while True:
+                    at = at[at + step < len(cold)]
+                    at = at[key_cold[at] == key_cold[at + step]]
+                    if not len(at):
+                        break
+                    yield pairs(rows_cold[at], rows_cold[at + step])
+                    step += 1
+            rest = np.column_stack([key[kept:], rows[kept:]])
+            parts, size = [rest] if len(rest) else [], len(rest)
+
+        for batch in batches:
+            parts.append(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n", "a", "b")]))
+            size += len(batch)
+            if size >= ROWS_AT_ONCE:
+                yield from done(False)
+        yield from done(True)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "key long, u long, v long")
+
+
+def sets_of(docs: DataFrame) -> DataFrame:
+    """docs -> node, set; made from the texts each time, for sets take more room than texts."""
+    rows = docs.select(whole(F.col("text")).cast("binary").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = said.value
         for b in batches:
-            parts, sets = [], []
-            for data in b.column("data").to_pylist():
-                s = shingles(data)
-                if not len(s):
-                    continue
-                late = np.full(len(s), -1)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    late = np.where(known[at] == s, rank[at], -1)
-                size = len(s) - -(-OVER * len(s) // UNDER) + 1
-                node = np.array([_node(s)], dtype=np.uint64).view(np.int64)
-                parts.append((s[np.lexsort((s, late))[:size]], np.repeat(node, size), np.full(size, len(s)), np.arange(size)))
-                sets.append((0, int(node[0]), len(s), -1, np.bincount(s.view(np.uint64) % np.uint64(CELLS), minlength=CELLS).astype(np.int32)))
-            if parts:
-                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(columns[0]), pa.list_(pa.int32()))], names)
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in list(zip(*sets, strict=True))[:4]], pa.array([x[4] for x in sets], pa.list_(pa.int32()))], names)
-
-    return docs.select(whole(F.col("text")).cast("binary").alias("data")).mapInArrow(tidy(run), "key long, node long, n long, place long, cells array<int>")
+            sets = [shingles(x) for x in b.column("data").to_pylist()]
+            nodes = np.array([_node(s) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+
+    return rows.mapInArrow(tidy(run), "node long, set array<bigint>")
 
 
 def _forest(group: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the links among the sets of two blocks."""
+    """A spanning forest of the links among the sets of two blocks, but for those within a component."""
     group = group.drop_duplicates("node")
     node, sets = group["node"].to_numpy(dtype=np.int64), list(group["set"])
     size = np.array([len(s) for s in sets], dtype=np.int64)
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     start = np.cumsum(size) - size
-    root, out, mark = np.arange(len(node)), [], np.zeros(len(flat), dtype=bool)
+    root, out, mark = np.unique(group["component"].to_numpy(dtype=np.int64), return_inverse=True)[1], [], np.zeros(len(flat), dtype=bool)
     for x in range(len(node)):
         other = np.flatnonzero(root != root[x])
         other = other[(other > x) & (np.minimum(size[other], size[x]) * UNDER >= OVER * np.maximum(size[other], size[x]))]
@@ -157,72 +259,93 @@ def _forest(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
-def links(docs: DataFrame, folder: str) -> DataFrame:
-    """docs (text) -> u, v: enough links to join the nodes of what is similar."""
-    spark = docs.sparkSession
-    made = staged(prefixes(docs, frequent_shingles(docs)), f"{folder}/prefixes")
-    keys = made.where("place >= 0").drop("cells")
-    # most shingles are in one prefix alone; their rows aren't moved, but for what a Bloom filter lets through
-    keys.groupBy("key").agg(F.count("*").alias("m")).write.parquet(f"{folder}/counts")
-    own = filtering_session(spark)
-    often = own.read.parquet(f"{folder}/counts").where("m > 1").select("key")
-    own.read.schema(keys.schema).parquet(f"{folder}/prefixes").where("place >= 0").join(often, "key", "left_semi").distinct().write.parquet(f"{folder}/several")
-    rows = spark.read.schema(keys.schema).parquet(f"{folder}/several")
-    dropped(spark, f"{folder}/counts")
-    # copies of a set have the same keys; they count once
-    several = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    rows = staged(rows.join(several, "key"), f"{folder}/shared")
-    dropped(spark, f"{folder}/several")
-    cold = rows.where(F.col("m") <= HOT_KEY)
-    a, b = (cold.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "place")]) for x in "uv")
-    pairs = a.join(b, "key").where("node_u < node_v")
-    # at the first shingle that both have, this many more can follow in either
-    pairs = pairs.where(similar(F.least(F.expr("n_u - place_u"), F.expr("n_v - place_v")), F.col("n_u"), F.col("n_v")))
-    pairs = staged(pairs.select(F.col("node_u").alias("u"), F.col("node_v").alias("v"), "n_u", "n_v").distinct(), f"{folder}/met")
-    cells = made.where("place < 0").select("node", "cells").dropDuplicates(["node"])
-    pairs = pairs.join(cells.select(F.col("node").alias("u"), F.col("cells").alias("c_u")), "u").join(cells.select(F.col("node").alias("v"), F.col("cells").alias("c_v")), "v")
-    most = F.aggregate(F.zip_with("c_u", "c_v", lambda a, b: F.least(a, b)), F.lit(0), lambda a, x: a + x)
-    pairs = staged(pairs.where(similar(most, F.col("n_u"), F.col("n_v"))).select("u", "v"), f"{folder}/pairs")
-    dropped(spark, f"{folder}/prefixes", f"{folder}/met")
-    hot = rows.where(F.col("m") > HOT_KEY)
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(hot.select("node")).distinct()
-    asked.write.parquet(f"{folder}/asked")
-    # bucketed, so that sets lie still when pairs come to them; one set of each pair then goes to the other
-    table = f"sets_{uuid.uuid4().hex}"
-    sets = sets_of(docs).join(spark.read.schema(asked.schema).parquet(f"{folder}/asked"), "node", "left_semi").dropDuplicates(["node"])
-    sets.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").option("path", f"{folder}/sets").saveAsTable(table)
-    sets = spark.table(table)
+def _freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()  # so that the files of shuffles that are over go
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
-    both = both.where(similar(F.size(F.array_intersect("set_u", "set_v")), F.size("set_u"), F.size("set_v"))).select("u", "v")
-    hot = hot.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    hot = hot.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    hot = hot.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(sets, "node")
-    forests = hot.groupBy("key", "i", "j").applyInPandas(_forest, "u long, v long")
-    found = staged(both.unionByName(forests).distinct(), f"{folder}/links")
+
+
+def _sets(docs: DataFrame, asked: DataFrame, folder: str) -> tuple[DataFrame, str]:
+    """node, set of the nodes asked for, bucketed, so that they lie still when pairs come to them; and the table's name."""
+    spark, table = docs.sparkSession, f"sets_{uuid.uuid4().hex}"
+    asked = staged(asked.select("node").distinct(), f"{folder}/asked")
+    sets = sets_of(docs).join(asked, "node", "left_semi").dropDuplicates(["node"])
+    sets.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").option("path", f"{folder}/sets").saveAsTable(table)
+    _freed(spark)
+    return spark.table(table), table
+
+
+def _forgotten(spark: SparkSession, table: str, folder: str) -> None:
     spark.sql(f"drop table {table}")
-    dropped(spark, *[f"{folder}/{x}" for x in ("shared", "pairs", "asked", "sets")])
-    spark.sparkContext._jvm.System.gc()
+    dropped(spark, f"{folder}/sets", f"{folder}/asked")
+
+
+def links(docs: DataFrame, nodes: DataFrame, anchor: int, tables: int, folder: str) -> DataFrame:
+    """docs (text), nodes (node, n, bits; distinct) -> u, v: enough links to join the nodes of what is similar."""
+    spark = docs.sparkSession
+    schema = "key long, u long, v long"
+    some = [range(at, min(tables, at + TABLES_AT_ONCE)) for at in range(0, tables, TABLES_AT_ONCE)]
+    for k, part in enumerate(some):
+        staged(met(keyed(nodes, anchor, part), HOT_KEY), f"{folder}/met{k}")
+        _freed(spark)
+    pairs = spark.read.schema(schema).parquet(*[f"{folder}/met{k}" for k in range(len(some))]).where("key is null")
+    pairs = staged(pairs.select("u", "v").distinct(), f"{folder}/pairs")
+    sets, table = _sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")), folder)
+    # one set of each pair goes to the other
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
+    both = both.where(similar(F.size(F.array_intersect("set_u", "set_v")), F.size("set_u"), F.size("set_v")))
+    found = staged(both.select("u", "v"), f"{folder}/links")
+    _forgotten(spark, table, folder)
+    dropped(spark, f"{folder}/pairs")
+    _freed(spark)
+    for k in range(len(some)):
+        # what earlier tables joined needn't be compared again
+        hot = spark.read.schema(schema).parquet(f"{folder}/met{k}").where("key is not null").select("key", F.col("u").alias("node"))
+        if not hot.isEmpty():
+            labels = staged(components(found, f"{folder}/by{k}"), f"{folder}/labels{k}")
+            hot = hot.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("component"))
+            hot = staged(hot, f"{folder}/hot{k}")
+            open_keys = hot.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+            hot = staged(hot.join(open_keys.select("key", "m"), "key"), f"{folder}/open{k}")
+            if not hot.isEmpty():
+                sets, table = _sets(docs, hot, folder)
+                hot = hot.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+                hot = hot.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                hot = hot.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component").join(sets, "node")
+                forests = staged(hot.groupBy("key", "i", "j").applyInPandas(_forest, "u long, v long").distinct(), f"{folder}/links{k}")
+                found = found.unionByName(forests)
+                _forgotten(spark, table, folder)
+            dropped(spark, *[f"{folder}/{x}{k}" for x in ("by", "labels", "hot", "open")])
+            _freed(spark)
+        dropped(spark, f"{folder}/met{k}")
     return found
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """docs -> row (all columns of docs), component: equal for rows that links lead between.
+    """docs (doc_id, text) -> doc_id, digest (of the text), node, component: equal for rows that links lead between.
 
     Null text counts as empty; texts without words are copies of each other.  Rows may repeat; an empty table
-    gives an empty result.
+    gives an empty result; other columns aren't read.
     """
-    folder = work_folder(docs.sparkSession)
-    small_batches(docs.sparkSession)
-    labels = staged(components(links(docs, folder), folder), f"{folder}/labels")
-    dropped(docs.sparkSession, f"{folder}/links", f"{folder}/edges")
-    return with_nodes(docs).join(labels, "node", "left").select("row", F.coalesce("label", "node").alias("component"))
+    spark = docs.sparkSession
+    folder = work_folder(spark)
+    small_batches(spark)
+    anchor, tables = layout(docs.count())
+    rows = staged(signed(docs, -(-tables * (anchor + WORD_BITS) // 64)), f"{folder}/signed")
+    nodes = staged(rows.where("n > 0").select("node", "n", "bits").dropDuplicates(["node"]), f"{folder}/nodes")
+    labels = staged(components(links(docs, nodes, anchor, tables, folder), folder), f"{folder}/labels")
+    dropped(spark, f"{folder}/nodes", f"{folder}/links", f"{folder}/edges")
+    return rows.select("doc_id", "digest", "node").join(labels, "node", "left").select("doc_id", "digest", "node", F.coalesce("label", "node").alias("component"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each group: the one with the least doc_id, then the least digest of its text.
 
     Only members of a group replace each other, whatever their ids; a row without an id comes after those with one.
+    Of rows that have this id and text one stays.
     """
-    order = F.struct(F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.sha2(whole(F.col("row.text")), 256))
-    return near_groups(docs).groupBy("component").agg(F.min_by("row", order).alias("row")).select("row.*")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))
+    # one column names a row by text and id, so that texts move once
+    name = F.concat(F.hex("digest"), F.when(F.col("doc_id").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("doc_id").cast("string"))))
+    kept = near_groups(docs).groupBy("component").agg(F.min_by(F.struct("doc_id", "digest"), order).alias("kept")).select("kept.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.sha2(whole(F.col("text")), 256)).alias("digest"), "doc_id")
+    rows = rows.select("row", name.alias("name")).join(kept.select(name.alias("name")), "name", "left_semi")
+    return rows.groupBy("name").agg(F.first("row").alias("row")).select("row.*")

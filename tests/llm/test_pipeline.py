@@ -97,3 +97,19 @@ def test_one_id_with_two_texts(spark, tmp_path):
     stages = through(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), tmp_path)
     assert [sorted({r["text"] for r in x}) for x in stages[:3]] == [sorted({r[1] for r in rows})] * 3
     assert [len(x) for x in stages[:3]] == [4, 3, 3]
+
+
+def test_pairs_at_the_threshold_share_keys_of_the_method(spark):
+    made = []
+    for k in range(60):
+        words = [f"w{k}x{n}" for n in range(90)]
+        made += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:81] + [f"new{k}x{n}" for n in range(9)]))]  # similarity 0.81
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    anchor, tables = near_copies.layout(len(made))
+    rows = near_copies.signed(df, -(-tables * (anchor + near_copies.WORD_BITS) // 64))
+    of = {r["node"]: r["doc_id"] for r in rows.select("node", "doc_id").collect()}
+    keys = {}
+    for r in near_copies.keyed(rows.select("node", "n", "bits"), anchor, range(tables)).collect():
+        keys.setdefault(of[r["node"]], set()).add(r["key"])
+    assert len(of) == len(made) and all(keys[2 * k] & keys[2 * k + 1] for k in range(60))
+    assert sorted(r["doc_id"] for r in near_copies.one_of_each(df).collect()) == list(range(0, 120, 2))

@@ -5,13 +5,13 @@ each bit of two fingerprints differs with chance acos(8/9) / pi, about 0.15, so
 bits as such a pair needs to share a key but for a chance of MISSED.  In each table some bits are the anchor, and 24
 are a word whose nearest codewords (one within three bits, or six at four) are found by their syndrome; (table,
 anchor, codeword index) are the keys.  The anchor grows with the number of sets, and the number of tables with it, so
-that few sets share a key by chance.  Of the sets that share a key, those whose sizes or first 128 bits are too far
-apart are dropped; the others are checked on their whole sets.
+that few sets share a key by chance.  Of the sets that share a key, those whose sizes, or 128 bits that are in no key, are too
+far apart are dropped; of the others each is first checked, on whole sets, with the nearest one before it alone.  Where
+that leaves a key with more than one component, all its pairs between components are checked.
 
 Tables are worked through a few at a time, so what lies on disk at once is in proportion to the texts, and it holds
-no sets but those that are checked.  Equal sets are one node.  A key that many sets share links all of them to one,
-if they are similar; where that leaves more than one component, it is worked on in blocks, and gives a spanning forest
-of its links instead of all of them.
+no sets but those that are checked.  Equal sets are one node.  In a key that many sets share, each is first compared
+with the first one and its neighbours only; where that isn't enough, the key is worked on in blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,20 +30,22 @@ from prosegauge.llm.common import dropped, small_batches, staged, tidy, whole, w
 from prosegauge.llm.simhash import BLOCK, components, golay
 
 SHINGLE = 5
-#: A key that more sets share links them to one, and is compared in blocks of BLOCK where that isn't enough.
-HOT_KEY = 128
+#: In a key of more sets each is compared with the first one and WINDOW others, and then in blocks of BLOCK.
+HOT_KEY, WINDOW = 1024, 64
 #: Similarity of 4/5 or more, in whole numbers.
 OVER, UNDER = 4, 5
 #: The chance that two sets of just this similarity share no key.
 MISSED = 0.001
 #: Bits of a word; keys a word has on average; the chance that two words share one where each bit differs as at 0.8.
 WORD_BITS, KEYS, SHARED = 24, 3.16, 0.38
-#: Sets that share a key by chance, about.
-BY_CHANCE = 16
-#: Of the first 128 bits, so many differ at most; at 0.8 it is 19 on average, with a deviation of 4.
-FAR = 48
+#: Sets that share a key by chance, about, at most; and the least anchor.
+BY_CHANCE, LEAST_ANCHOR = 64, 2
+#: Of 64 and 128 bits, so many differ at most; at 0.8 it is 10 and 19 on average, with deviations of 3 and 4.
+FAR_64, FAR = 27, 40
 #: Tables whose keys are on disk at once.
 TABLES_AT_ONCE = 8
+#: What met() returns.
+MET = "u long, v long, key long, node long, n long, a long, b long"
 #: Rows of keys that are compared at once.
 ROWS_AT_ONCE = 1 << 16
 
@@ -74,9 +75,14 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes())
 
 
+def width(anchor: int, tables: int) -> int:
+    """Words of 64 bits that a signature has: those of the keys, and two that are in none."""
+    return -(-tables * (anchor + WORD_BITS) // 64) + 2
+
+
 def layout(n: int) -> tuple[int, int]:
     """Bits of the anchor and number of tables for n sets."""
-    anchor = max(0, math.ceil(math.log2(max(1, n) * KEYS / (1 << 12) / BY_CHANCE)))
+    anchor = max(LEAST_ANCHOR, math.ceil(math.log2(max(1, n) * KEYS / (1 << 12) / BY_CHANCE)))
     alike = 1 - math.acos(2 * OVER / (OVER + UNDER)) / math.pi
     return anchor, math.ceil(math.log(MISSED) / math.log(1 - SHARED * alike**anchor))
 
@@ -116,7 +122,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
 
 def keyed(nodes: DataFrame, anchor: int, tables: range) -> DataFrame:
-    """nodes (node, n, bits) -> key, node, n, a, b: the keys of some tables; a and b are the first 128 bits."""
+    """nodes (node, n, bits) -> key, node, n, a, b: the keys of some tables; a and b are the last 128 bits, which are in no key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check, errors, found = golay()
@@ -125,7 +131,7 @@ def keyed(nodes: DataFrame, anchor: int, tables: range) -> DataFrame:
                 continue
             packed = np.frombuffer(b"".join(batch.column("bits").to_pylist()), dtype=np.uint8).reshape(len(batch), -1)
             node, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n"))
-            first = np.ascontiguousarray(packed[:, :16]).view(np.int64)
+            last = np.ascontiguousarray(packed[:, -16:]).view(np.int64)
             flat = np.unpackbits(packed, axis=1, bitorder="little")
             keys, of = [], []
             for table in tables:
@@ -138,85 +144,94 @@ def keyed(nodes: DataFrame, anchor: int, tables: range) -> DataFrame:
                     keys.append((table << anchor | own[on]) << 12 | (word[on] ^ errors[syndrome[on], nth]) >> 12)
                     of.append(on)
             of = np.concatenate(of)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), node[of], n[of], first[of, 0], first[of, 1])], ["key", "node", "n", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), node[of], n[of], last[of, 0], last[of, 1])], ["key", "node", "n", "a", "b"])
 
     return nodes.mapInArrow(tidy(run), "key long, node long, n long, a long, b long")
 
 
-def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether rows (node, n, a, b) can be similar by their sizes and first bits."""
-    bits = sum(np.bitwise_count((x[:, k] ^ y[:, k]).view(np.uint64)).astype(np.int64) for k in (2, 3))
-    n, m = x[:, 1], y[:, 1]
-    return (x[:, 0] != y[:, 0]) & (bits <= FAR) & (np.minimum(n, m) * UNDER >= OVER * np.maximum(n, m))
+def _near(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j and bits that differ: of places in the columns key, node, n, a, b (and component) those that may be similar."""
+    on = np.bitwise_count((x[3][i] ^ x[3][j]).view(np.uint64)) <= FAR_64
+    i, j = i[on], j[on]
+    bits = sum(np.bitwise_count((x[k][i] ^ x[k][j]).view(np.uint64)).astype(np.int64) for k in (3, 4))
+    n, m = x[2][i], x[2][j]
+    on = (x[1][i] != x[1][j]) & (bits <= FAR) & (np.minimum(n, m) * UNDER >= OVER * np.maximum(n, m))
+    for own in x[5:]:
+        on &= own[i] != own[j]
+    return i[on], j[on], bits[on]
 
 
 def met(rows: DataFrame, hot_key: int) -> DataFrame:
-    """rows (of keyed) -> key, u, v: pairs to check, without a key; and the nodes u of hot keys, without v.
+    """rows (key, node, n, a, b) -> u, v: pairs to check; and key, node, n, a, b of what may have more pairs.
 
-    Rows come in the order of their keys.  A key is hot from more than hot_key rows on; all its nodes are paired
-    with its first one alone.
+    Of its pairs in a key, a node has that with the nearest one before it alone.  Where there are others, or a key
+    has more than hot_key rows, its nodes come too.  Rows with a column more, their component, have all their pairs
+    between components instead, and no key may have too many to compare.
     """
-
-    def out(key, u, v) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) if x is not None else pa.nulls(len(u), pa.int64()) for x in (key, u, v)], ["key", "u", "v"])
-
-    def pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        on = _near(x, y)
-        both = np.unique(np.sort(np.stack([x[on, 0], y[on, 0]], axis=1), axis=1), axis=0)
-        return out(None, both[:, 0], both[:, 1])
-
-    def star(keys: np.ndarray, rows: np.ndarray, top: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield out(keys, rows[:, 0], None)
-        yield pairs(rows, top)
+    across = len(rows.columns) == 6
+    names = rows.columns
+
+    def pairs(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        both = np.unique(np.sort(np.stack([x[1][i], x[1][j]], axis=1), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *[pa.nulls(len(both), pa.int64())] * 5], ["u", "v", *names[:5]])
+
+    def compared(x: list[np.ndarray], hot: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, found, at, step = x[0], [], np.arange(len(x[0])), 1
+        while True:
+            at = at[at + step < len(key)]
+            at = at[key[at] == key[at + step]]
+            if step > WINDOW:
+                at = at[~hot[at]]
+            if not len(at):
+                break
+            found.append(_near(x, at, at + step))
+            step += 1
+        late = np.flatnonzero(hot & (np.arange(len(key)) > first + WINDOW))
+        found.append(_near(x, first[late], late))
+        i, j, bits = (np.concatenate(c) for c in zip(*found, strict=True))
+        if across:
+            yield pairs(x, i, j)
+            return
+        order = np.lexsort((bits, j))
+        i, j = i[order], j[order]
+        nearest = np.r_[True, j[1:] != j[:-1]][: len(j)]
+        yield pairs(x, i[nearest], j[nearest])
+        more = np.unique(np.concatenate([i, j]))
+        more = more[np.isin(key[more], key[j[~nearest]]) & ~hot[more]]
+        more = np.concatenate([more, np.flatnonzero(hot)])
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(more), pa.int64())] * 2, *[pa.array(c[more]) for c in x]], ["u", "v", *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, hot = [], 0, None  # hot: the key that the last row was of, if it is hot, and its first row
+        parts, size, open_key = [], 0, None  # a hot key that isn't over, of which the first row alone is still there
 
         def done(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal parts, size, hot
-            if not size:
-                return
-            all_rows = np.concatenate(parts)
-            key, rows = all_rows[:, 0], all_rows[:, 1:]
-            if hot:
-                upto = np.searchsorted(key, hot[0], side="right")
-                if upto:
-                    yield from star(key[:upto], rows[:upto], np.repeat(hot[1][None, :], upto, axis=0))
-                key, rows = key[upto:], rows[upto:]
-                if len(key):
-                    hot = None
-            kept = len(key)
-            if len(key):
-                start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                length = np.diff(np.r_[start, len(key)])
-                many = np.repeat(length > hot_key, length)
-                if many.any():
-                    yield from star(key[many], rows[many], rows[np.repeat(start, length)[many]])
-                if many[-1]:
-                    hot = (key[-1], rows[start[-1]].copy())
-                elif not last:
-                    kept = start[-1]  # more of this key may come
-                cold = np.flatnonzero(~many[:kept])
-                key_cold, rows_cold = key[cold], rows[cold]
-                at, step = np.arange(len(cold)), 1
-                while True:
-                    at = at[at + step < len(cold)]
-                    at = at[key_cold[at] == key_cold[at + step]]
-                    if not len(at):
-                        break
-                    yield pairs(rows_cold[at], rows_cold[at + step])
-                    step += 1
-            rest = np.column_stack([key[kept:], rows[kept:]])
-            parts, size = [rest] if len(rest) else [], len(rest)
+            nonlocal parts, size, open_key
+            x = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            start = np.flatnonzero(np.r_[True, x[0][1:] != x[0][:-1]])
+            length = np.diff(np.r_[start, len(x[0])])
+            many = (length > hot_key) & (not across)
+            if open_key is not None:
+                many |= x[0][start] == open_key
+            end, rest = len(x[0]), []
+            if not last and many[-1]:
+                rest, open_key = [c[start[-1] : start[-1] + 1] for c in x], x[0][start[-1]]
+            elif not last:
+                end, open_key = start[-1], None
+                rest = [c[end:] for c in x]
+            parts, size = [rest] if rest else [], len(rest[0]) if rest else 0
+            if end:
+                yield from compared([c[:end] for c in x], np.repeat(many, length)[:end], np.repeat(start, length)[:end])
 
         for batch in batches:
-            parts.append(np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "n", "a", "b")]))
-            size += len(batch)
+            if len(batch):
+                parts.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+                size += len(batch)
             if size >= ROWS_AT_ONCE:
                 yield from done(False)
-        yield from done(True)
+        if size:
+            yield from done(True)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "key long, u long, v long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(run), MET)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -232,90 +247,57 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), "node long, set array<bigint>")
 
 
-def _forest(group: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the links among the sets of two blocks, but for those within a component."""
-    group = group.drop_duplicates("node")
-    node, sets = group["node"].to_numpy(dtype=np.int64), list(group["set"])
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    start = np.cumsum(size) - size
-    root, out, mark = np.unique(group["component"].to_numpy(dtype=np.int64), return_inverse=True)[1], [], np.zeros(len(flat), dtype=bool)
-    for x in range(len(node)):
-        other = np.flatnonzero(root != root[x])
-        other = other[(other > x) & (np.minimum(size[other], size[x]) * UNDER >= OVER * np.maximum(size[other], size[x]))]
-        if not len(other):
-            continue
-        own = flat[start[x] : start[x] + size[x]]
-        mark[own] = True
-        ends = np.cumsum(size[other])
-        places = np.arange(ends[-1]) + np.repeat(start[other] - (ends - size[other]), size[other])
-        common = np.add.reduceat(mark[flat[places]].astype(np.int64), ends - size[other])
-        mark[own] = False
-        for y in other[similar(common, size[x], size[other])]:
-            if root[y] != root[x]:
-                root[root == root[y]] = root[x]
-                out.append((node[x], node[y]))
-    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
-
-
 def _freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()  # so that the files of shuffles that are over go
 
 
-def _sets(docs: DataFrame, asked: DataFrame, folder: str) -> tuple[DataFrame, str]:
-    """node, set of the nodes asked for, bucketed, so that they lie still when pairs come to them; and the table's name."""
+def _checked(docs: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
+    """Those of the pairs u, v whose whole sets are similar; written to the folder."""
     spark, table = docs.sparkSession, f"sets_{uuid.uuid4().hex}"
-    asked = staged(asked.select("node").distinct(), f"{folder}/asked")
+    pairs = staged(pairs.select("u", "v").distinct(), f"{folder}/pairs")
+    asked = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{folder}/asked")
+    # bucketed, so that sets lie still when pairs come to them; one set of each pair then goes to the other
     sets = sets_of(docs).join(asked, "node", "left_semi").dropDuplicates(["node"])
     sets.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").option("path", f"{folder}/sets").saveAsTable(table)
     _freed(spark)
-    return spark.table(table), table
-
-
-def _forgotten(spark: SparkSession, table: str, folder: str) -> None:
+    sets = spark.table(table)
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
+    both = both.where(similar(F.size(F.array_intersect("set_u", "set_v")), F.size("set_u"), F.size("set_v")))
+    both = staged(both.select("u", "v"), f"{folder}/links")
     spark.sql(f"drop table {table}")
-    dropped(spark, f"{folder}/sets", f"{folder}/asked")
+    dropped(spark, *[f"{folder}/{x}" for x in ("sets", "asked", "pairs")])
+    _freed(spark)
+    return both
 
 
 def links(docs: DataFrame, nodes: DataFrame, anchor: int, tables: int, folder: str) -> DataFrame:
     """docs (text), nodes (node, n, bits; distinct) -> u, v: enough links to join the nodes of what is similar."""
     spark = docs.sparkSession
-    schema = "key long, u long, v long"
-    some = [range(at, min(tables, at + TABLES_AT_ONCE)) for at in range(0, tables, TABLES_AT_ONCE)]
-    for k, part in enumerate(some):
-        staged(met(keyed(nodes, anchor, part), HOT_KEY), f"{folder}/met{k}")
+    paths = []
+    for at in range(0, tables, TABLES_AT_ONCE):
+        paths.append(f"{folder}/met{at}")
+        staged(met(keyed(nodes, anchor, range(at, min(tables, at + TABLES_AT_ONCE))), HOT_KEY), paths[-1])
         _freed(spark)
-    pairs = spark.read.schema(schema).parquet(*[f"{folder}/met{k}" for k in range(len(some))]).where("key is null")
-    pairs = staged(pairs.select("u", "v").distinct(), f"{folder}/pairs")
-    sets, table = _sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")), folder)
-    # one set of each pair goes to the other
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
-    both = both.where(similar(F.size(F.array_intersect("set_u", "set_v")), F.size("set_u"), F.size("set_v")))
-    found = staged(both.select("u", "v"), f"{folder}/links")
-    _forgotten(spark, table, folder)
-    dropped(spark, f"{folder}/pairs")
+    seen = spark.read.schema(MET).parquet(*paths)
+    found = _checked(docs, seen.where("key is null"), f"{folder}/nearest")
+    # what these links joined needn't be compared again
+    rows = seen.where("key is not null").select("key", "node", "n", "a", "b").distinct()
+    if not rows.isEmpty():
+        labels = staged(components(found, f"{folder}/first"), f"{folder}/first/labels")
+        rows = staged(rows.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label"), f"{folder}/parts")
+        more = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+        rows = rows.join(more.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
+        # keys of blocks are hashes: where two are equal, more is compared
+        own, names = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), ["node", "n", "a", "b", "component"]
+        parted = rows.where("blocks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        parted = parted.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *names)
+        rows = rows.where("blocks = 1").select("key", *names).unionByName(parted)
+        across = staged(met(rows, HOT_KEY).select("u", "v").distinct(), f"{folder}/across")
+        if not across.isEmpty():
+            found = found.unionByName(_checked(docs, across, f"{folder}/rest"))
+        dropped(spark, *[f"{folder}/{x}" for x in ("first", "parts", "across")])
+    dropped(spark, *paths)
     _freed(spark)
-    for k in range(len(some)):
-        # what earlier tables joined needn't be compared again
-        hot = spark.read.schema(schema).parquet(f"{folder}/met{k}").where("key is not null").select("key", F.col("u").alias("node"))
-        if not hot.isEmpty():
-            labels = staged(components(found, f"{folder}/by{k}"), f"{folder}/labels{k}")
-            hot = hot.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("component"))
-            hot = staged(hot, f"{folder}/hot{k}")
-            open_keys = hot.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-            hot = staged(hot.join(open_keys.select("key", "m"), "key"), f"{folder}/open{k}")
-            if not hot.isEmpty():
-                sets, table = _sets(docs, hot, folder)
-                hot = hot.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-                hot = hot.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                hot = hot.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "component").join(sets, "node")
-                forests = staged(hot.groupBy("key", "i", "j").applyInPandas(_forest, "u long, v long").distinct(), f"{folder}/links{k}")
-                found = found.unionByName(forests)
-                _forgotten(spark, table, folder)
-            dropped(spark, *[f"{folder}/{x}{k}" for x in ("by", "labels", "hot", "open")])
-            _freed(spark)
-        dropped(spark, f"{folder}/met{k}")
     return found
 
 
@@ -329,10 +311,10 @@ def near_groups(docs: DataFrame) -> DataFrame:
     folder = work_folder(spark)
     small_batches(spark)
     anchor, tables = layout(docs.count())
-    rows = staged(signed(docs, -(-tables * (anchor + WORD_BITS) // 64)), f"{folder}/signed")
+    rows = staged(signed(docs, width(anchor, tables)), f"{folder}/signed")
     nodes = staged(rows.where("n > 0").select("node", "n", "bits").dropDuplicates(["node"]), f"{folder}/nodes")
     labels = staged(components(links(docs, nodes, anchor, tables, folder), folder), f"{folder}/labels")
-    dropped(spark, f"{folder}/nodes", f"{folder}/links", f"{folder}/edges")
+    dropped(spark, *[f"{folder}/{x}" for x in ("nodes", "nearest", "rest", "edges")])
     return rows.select("doc_id", "digest", "node").join(labels, "node", "left").select("doc_id", "digest", "node", F.coalesce("label", "node").alias("component"))
 
 

@@ -106,10 +106,23 @@ def test_pairs_at_the_threshold_share_keys_of_the_method(spark):
         made += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:81] + [f"new{k}x{n}" for n in range(9)]))]  # similarity 0.81
     df = spark.createDataFrame(made, "doc_id long, text string")
     anchor, tables = near_copies.layout(len(made))
-    rows = near_copies.signed(df, -(-tables * (anchor + near_copies.WORD_BITS) // 64))
+    rows = near_copies.signed(df, near_copies.width(anchor, tables))
     of = {r["node"]: r["doc_id"] for r in rows.select("node", "doc_id").collect()}
     keys = {}
     for r in near_copies.keyed(rows.select("node", "n", "bits"), anchor, range(tables)).collect():
         keys.setdefault(of[r["node"]], set()).add(r["key"])
     assert len(of) == len(made) and all(keys[2 * k] & keys[2 * k + 1] for k in range(60))
     assert sorted(r["doc_id"] for r in near_copies.one_of_each(df).collect()) == list(range(0, 120, 2))
+
+
+def test_disk_of_near_dedup_is_in_proportion(spark):
+    # a text has as many keys however long it is, and texts that only meet by chance aren't compared on their sets
+    df = spark.createDataFrame([(k, " ".join(f"w{k}x{n}" for n in range(40 if k % 2 else 4000))) for k in range(400)], "doc_id long, text string")
+    anchor, tables = near_copies.layout(400)
+    assert near_copies.layout(50_000) == near_copies.layout(250_000) == (anchor, tables)
+    nodes = near_copies.signed(df, near_copies.width(anchor, tables)).select("node", "n", "bits")
+    keys = near_copies.keyed(nodes, anchor, range(tables)).persist()
+    sizes = {r["n"]: r["count"] / 200 for r in keys.groupBy("n").count().collect()}
+    assert all(2 * tables < x < 5 * tables for x in sizes.values()) and len(sizes) == 2
+    assert near_copies.met(keys, near_copies.HOT_KEY).count() == 0
+    keys.unpersist()

@@ -538,6 +538,13 @@ def test_sketches_merge(spark):
     assert both.where("x != y").count() == 0
 
 
+def test_exact_dedup_renames_local_files_itself(spark):
+    """Over a local file system no process is started to rename a file; elsewhere Spark's usual way stays."""
+    key, none = "spark.sql.streaming.checkpointFileManagerClass", "none"
+    assert exact_dedup._session(spark, None, "file:///c").conf.get(key, none).endswith(".FileSystemBasedCheckpointFileManager")
+    assert exact_dedup._session(spark, None, "hdfs://h/c").conf.get(key, none) == none
+
+
 def test_exact_dedup_checks_bytes(docs, rows):
     """With a digest of one hex digit most hits are false; texts still decide."""
     from pyspark.sql import functions as F

@@ -7,11 +7,16 @@ are a word whose nearest codewords (one within three bits, or six at four) are f
 anchor, codeword index) are the keys.  The anchor grows with the number of sets, and the number of tables with it, so
 that few sets share a key by chance.  Of the sets that share a key, those whose sizes, or 128 bits that are in no key, are too
 far apart are dropped; of the others each is first checked, on whole sets, with the nearest one before it alone.  Where
-that leaves a key with more than one component, all its pairs between components are checked.
+that leaves a key with more than one component, the sets of its nodes are open.  Two similar sets share one of the
+first shingles of each, in any order that holds for all sets; with the shingles first that no two components
+share, and then the rare ones, these are few.  So open sets meet again in those shingles, and pairs between components are
+checked.  Nothing is lost by that, and a large group of texts that are much alike, but not alike enough, isn't compared
+pair by pair.
 
 Tables are worked through a few at a time, so what lies on disk at once is in proportion to the texts, and it holds
-no sets but those that are checked.  Equal sets are one node.  In a key that many sets share, each is first compared
-with the first one and its neighbours only; where that isn't enough, the key is worked on in blocks.
+no sets but those that are checked; no texts but theirs are moved.  Equal sets are one node.  In a key that many sets
+share, each is first compared with the first one and its neighbours only; a shingle that many sets share is worked on
+in blocks.
 """
 
 from __future__ import annotations
@@ -25,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from prosegauge.llm.common import dropped, small_batches, staged, tidy, whole, work_folder
+from prosegauge.llm.common import dropped, filtering_session, small_batches, staged, tidy, whole, work_folder
 from prosegauge.llm.simhash import BLOCK, components, golay
 
 SHINGLE = 5
@@ -150,14 +156,14 @@ def keyed(nodes: DataFrame, anchor: int, tables: range) -> DataFrame:
 
 
 def _near(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """i, j and bits that differ: of places in the columns key, node, n, a, b (and component) those that may be similar."""
+    """i, j and bits that differ: of places in the columns key, node, n, a, b (and component, left) those that may be similar."""
     on = np.bitwise_count((x[3][i] ^ x[3][j]).view(np.uint64)) <= FAR_64
     i, j = i[on], j[on]
     bits = sum(np.bitwise_count((x[k][i] ^ x[k][j]).view(np.uint64)).astype(np.int64) for k in (3, 4))
     n, m = x[2][i], x[2][j]
     on = (x[1][i] != x[1][j]) & (bits <= FAR) & (np.minimum(n, m) * UNDER >= OVER * np.maximum(n, m))
-    for own in x[5:]:
-        on &= own[i] != own[j]
+    if len(x) > 5:
+        on &= (x[5][i] != x[5][j]) & similar(np.minimum(x[6][i], x[6][j]), n, m)
     return i[on], j[on], bits[on]
 
 
@@ -165,10 +171,10 @@ def met(rows: DataFrame, hot_key: int) -> DataFrame:
     """rows (key, node, n, a, b) -> u, v: pairs to check; and key, node, n, a, b of what may have more pairs.
 
     Of its pairs in a key, a node has that with the nearest one before it alone.  Where there are others, or a key
-    has more than hot_key rows, its nodes come too.  Rows with a column more, their component, have all their pairs
-    between components instead, and no key may have too many to compare.
+    has more than hot_key rows, its nodes come too.  Rows with two columns more, component and left (see shared()),
+    have all their pairs between components instead, and no key may have too many to compare.
     """
-    across = len(rows.columns) == 6
+    across = "component" in rows.columns
     names = rows.columns
 
     def pairs(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
@@ -234,15 +240,14 @@ def met(rows: DataFrame, hot_key: int) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(tidy(run), MET)
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """docs -> node, set; made from the texts each time, for sets take more room than texts."""
-    rows = docs.select(whole(F.col("text")).cast("binary").alias("data"))
+def sets_of(texts: DataFrame) -> DataFrame:
+    """texts (node, text) -> node, set."""
+    rows = texts.select("node", F.col("text").cast("binary").alias("data"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(x) for x in b.column("data").to_pylist()]
-            nodes = np.array([_node(s) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
     return rows.mapInArrow(tidy(run), "node long, set array<bigint>")
 
@@ -251,51 +256,98 @@ def _freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()  # so that the files of shuffles that are over go
 
 
-def _checked(docs: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
-    """Those of the pairs u, v whose whole sets are similar; written to the folder."""
-    spark, table = docs.sparkSession, f"sets_{uuid.uuid4().hex}"
-    pairs = staged(pairs.select("u", "v").distinct(), f"{folder}/pairs")
-    asked = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{folder}/asked")
-    # bucketed, so that sets lie still when pairs come to them; one set of each pair then goes to the other
-    sets = sets_of(docs).join(asked, "node", "left_semi").dropDuplicates(["node"])
-    sets.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").option("path", f"{folder}/sets").saveAsTable(table)
+def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame, folder: str) -> str:
+    """The name of a table of node and set for the asked nodes, bucketed by node, in the folder.
+
+    Sets are made from the texts each time, for they take more room.  A text is found by its digest, so that
+    those that aren't asked for are left out before anything is moved, even where the asked ones can't be broadcast.
+    """
+    spark, name = docs.sparkSession, uuid.uuid4().hex
+    wanted = staged(nodes.select("node", "digest", "n").join(asked, "node", "left_semi"), f"{folder}/wanted")
+    own = filtering_session(spark)
+    small_batches(own)
+    docs.select(whole(F.col("text")).alias("text")).createGlobalTempView(f"texts_{name}")
+    try:
+        texts = own.table(f"global_temp.texts_{name}").withColumn("digest", F.unhex(F.sha2("text", 256)))
+        # without a condition on what is wanted no filter is made of it
+        texts = texts.join(own.read.schema(wanted.schema).parquet(f"{folder}/wanted").where("n > 0"), "digest").dropDuplicates(["node"])
+        # bucketed, so that sets lie still when pairs come to them
+        sets_of(texts).write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "node").option("path", f"{folder}/sets").saveAsTable(f"sets_{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(f"texts_{name}")
+    dropped(spark, f"{folder}/wanted")
     _freed(spark)
+    return f"sets_{name}"
+
+
+def _checked(pairs: DataFrame, table: str, folder: str) -> DataFrame:
+    """Those of the pairs u, v whose whole sets, from the table, are similar; written to the folder.  The table goes."""
+    spark = pairs.sparkSession
     sets = spark.table(table)
+    # one set of each pair goes to the other
     both = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("set_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("set_v")), "v")
     both = both.where(similar(F.size(F.array_intersect("set_u", "set_v")), F.size("set_u"), F.size("set_v")))
     both = staged(both.select("u", "v"), f"{folder}/links")
     spark.sql(f"drop table {table}")
-    dropped(spark, *[f"{folder}/{x}" for x in ("sets", "asked", "pairs")])
+    dropped(spark, *[f"{folder}/{x}" for x in ("sets", "pairs", "asked")])
     _freed(spark)
     return both
 
 
+def shared(sets: DataFrame) -> DataFrame:
+    """sets (node, n, component, set) -> key, node, n, component, left: the shingles in which sets of different components must meet.
+
+    All sets have their shingles in one order: those of one component alone first, then the rarer ones.  left: how
+    many of its set come from this one on, itself included; no set that has this shingle as the first common one has
+    more in common.  Shingles with too few left for any set that has them aren't there.
+    """
+    flat = sets.select("node", "n", "component", F.explode("set").alias("key"))
+    of = flat.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.min("component").alias("low"), F.max("component").alias("high"))
+    flat = flat.join(of.where("low != high").select("key", "m", "least"), "key")
+    flat = flat.withColumn("left", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("m"), F.desc("key"))).cast("long"))
+    least = F.greatest(F.col("least"), F.ceil(F.col("n") * OVER / UNDER))
+    return flat.where(similar(F.col("left"), F.col("n"), least)).select("key", "node", "n", "component", "left")
+
+
+def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows of shared(), nodes (node, a, b) -> u, v: pairs between components to check."""
+    more = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    rows = rows.join(more.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key").join(nodes.select("node", "a", "b"), "node")
+    # keys of blocks are hashes: where two are equal, more is compared
+    own, names = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), ["node", "n", "a", "b", "component", "left"]
+    parted = rows.where("blocks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parted = parted.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *names)
+    rows = rows.where("blocks = 1").select("key", *names).unionByName(parted)
+    return met(rows, HOT_KEY).select("u", "v").distinct()
+
+
 def links(docs: DataFrame, nodes: DataFrame, anchor: int, tables: int, folder: str) -> DataFrame:
-    """docs (text), nodes (node, n, bits; distinct) -> u, v: enough links to join the nodes of what is similar."""
+    """docs (text), nodes (node, digest of a text, n, bits; distinct) -> u, v: enough links to join the nodes of what is similar."""
     spark = docs.sparkSession
     paths = []
     for at in range(0, tables, TABLES_AT_ONCE):
         paths.append(f"{folder}/met{at}")
-        staged(met(keyed(nodes, anchor, range(at, min(tables, at + TABLES_AT_ONCE))), HOT_KEY), paths[-1])
+        staged(met(keyed(nodes.select("node", "n", "bits"), anchor, range(at, min(tables, at + TABLES_AT_ONCE))), HOT_KEY), paths[-1])
         _freed(spark)
     seen = spark.read.schema(MET).parquet(*paths)
-    found = _checked(docs, seen.where("key is null"), f"{folder}/nearest")
+    pairs = staged(seen.where("key is null").select("u", "v").distinct(), f"{folder}/nearest/pairs")
+    asked = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), f"{folder}/nearest/asked")
+    found = _checked(pairs, _sets(docs, nodes, asked, f"{folder}/nearest"), f"{folder}/nearest")
     # what these links joined needn't be compared again
     rows = seen.where("key is not null").select("key", "node", "n", "a", "b").distinct()
     if not rows.isEmpty():
         labels = staged(components(found, f"{folder}/first"), f"{folder}/first/labels")
         rows = staged(rows.join(labels, "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label"), f"{folder}/parts")
-        more = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-        rows = rows.join(more.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
-        # keys of blocks are hashes: where two are equal, more is compared
-        own, names = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), ["node", "n", "a", "b", "component"]
-        parted = rows.where("blocks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        parted = parted.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *names)
-        rows = rows.where("blocks = 1").select("key", *names).unionByName(parted)
-        across = staged(met(rows, HOT_KEY).select("u", "v").distinct(), f"{folder}/across")
-        if not across.isEmpty():
-            found = found.unionByName(_checked(docs, across, f"{folder}/rest"))
-        dropped(spark, *[f"{folder}/{x}" for x in ("first", "parts", "across")])
+        more = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+        asked = staged(rows.join(more, "key", "left_semi").select("node", "n", "a", "b", "component").distinct(), f"{folder}/rest/asked")
+        if not asked.isEmpty():
+            table = _sets(docs, nodes, asked, f"{folder}/rest")
+            rows = staged(shared(spark.table(table).join(asked.select("node", "n", "component"), "node")), f"{folder}/rest/shared")
+            pairs = staged(_across(rows, asked), f"{folder}/rest/pairs")
+            dropped(spark, f"{folder}/rest/shared")
+            _freed(spark)
+            found = found.unionByName(_checked(pairs, table, f"{folder}/rest"))
+        dropped(spark, *[f"{folder}/{x}" for x in ("first", "parts")])
     dropped(spark, *paths)
     _freed(spark)
     return found
@@ -312,7 +364,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     anchor, tables = layout(docs.count())
     rows = staged(signed(docs, width(anchor, tables)), f"{folder}/signed")
-    nodes = staged(rows.where("n > 0").select("node", "n", "bits").dropDuplicates(["node"]), f"{folder}/nodes")
+    nodes = staged(rows.where("n > 0").select("node", "digest", "n", "bits").dropDuplicates(["node"]), f"{folder}/nodes")
     labels = staged(components(links(docs, nodes, anchor, tables, folder), folder), f"{folder}/labels")
     dropped(spark, *[f"{folder}/{x}" for x in ("nodes", "nearest", "rest", "edges")])
     return rows.select("doc_id", "digest", "node").join(labels, "node", "left").select("doc_id", "digest", "node", F.coalesce("label", "node").alias("component"))

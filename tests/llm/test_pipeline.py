@@ -1,6 +1,7 @@
 """The pipeline's stages, each against a plain version of its own input."""
 
 import hashlib
+import random
 
 import corpus_pipeline
 from prosegauge.llm import near_copies
@@ -126,3 +127,57 @@ def test_disk_of_near_dedup_is_in_proportion(spark):
     assert all(2 * tables < x < 5 * tables for x in sizes.values()) and len(sizes) == 2
     assert near_copies.met(keys, near_copies.HOT_KEY).count() == 0
     keys.unpersist()
+
+
+def moved_mb(spark):
+    """MB that the session's stages have written for shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size())) / 1e6
+
+
+def test_a_group_that_is_not_alike_enough_is_not_compared_pair_by_pair(spark, monkeypatch):
+    # copies of one text with 0 to 11 of 150 words changed at random: some are linked, most are near no other
+    rng, texts = random.Random(5), []
+    for k in range(240):
+        words = [f"w{n}" for n in range(150)]
+        for at in rng.sample(range(150), k % 12):
+            words[at] += rng.choice("abc")
+        texts.append(" ".join(words))
+    sets, top = [plain_shingles(t) for t in texts], list(range(len(texts)))
+    for x in range(len(sets)):
+        for y in range(x):
+            if 9 * len(sets[x] & sets[y]) >= 4 * (len(sets[x]) + len(sets[y])):
+                top = [min(top[x], top[y]) if t in (top[x], top[y]) else t for t in top]
+    assert 60 < len(set(top)) < 180
+    checked, real = [], near_copies.staged
+
+    def counted(df, path):
+        out = real(df, path)
+        if path.endswith("/rest/pairs"):
+            checked.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "staged", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot, block in ((1024, 512), (4, 8)):
+        checked.clear()
+        monkeypatch.setattr(near_copies, "HOT_KEY", hot)
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        assert sorted(r["doc_id"] for r in near_copies.one_of_each(df).collect()) == sorted(set(top))
+        assert len(checked) == 1 and checked[0] < 240 * 239 / 2 / 10, checked
+
+
+def test_only_texts_that_are_checked_move(spark, tmp_path):
+    rows = [(k, " ".join(f"w{k}x{n}" for n in range(3000))) for k in range(300)]
+    rows.append((300, rows[7][1] + " more"))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"file://{tmp_path}/texts")
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the asked ones are too many
+    try:
+        before = moved_mb(spark)
+        groups = near_copies.near_groups(spark.read.parquet(f"file://{tmp_path}/texts"))
+        assert groups.select("component").distinct().count() == 300
+        assert moved_mb(spark) - before < 2  # all sets together take 7 MB
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)

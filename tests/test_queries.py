@@ -65,6 +65,17 @@ def test_language_of_whole_texts(spark):
     assert got == {k: "ru" if t is not None and russian(t) else "en" for k, t in texts.items()}
 
 
+def test_rates_as_printf_has_them(spark, duck):
+    from prosegauge.operators import scoring
+
+    rows = [(n, w) for n in range(1, 40) for w in range(1, 801, 3)] + [(1, 400), (9, 400), (7, 2000), (199, 2000), (9999, 100000)]
+    given = spark.createDataFrame(rows, "n long, w long").repartition(4)
+    got = {(r["n"], r["w"]): r["said"] for r in given.select("n", "w", scoring.marker_verdict(given["n"], given["n"] * 0, given["w"]).alias("said")).collect()}
+    want = {(n, w): duck.execute("select printf('%.1f', ?::BIGINT::DOUBLE / ?::BIGINT * 100)", [n, w]).fetchall()[0][0] for n, w in set(rows)}
+    assert {k: v.split("(")[1].split(" ")[0] for k, v in got.items()} == want
+    assert got[9, 400] == "9 (2.2 per 100 words) - density is elevated, worth a look"
+
+
 def test_registry():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

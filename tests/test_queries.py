@@ -76,6 +76,17 @@ def test_rates_as_printf_has_them(spark, duck):
     assert got[9, 400] == "9 (2.2 per 100 words) - density is elevated, worth a look"
 
 
+def test_quiet_rates(spark):
+    from pyspark.sql import functions as F
+
+    from prosegauge.operators import reports
+
+    rows = [(1, 0, 80, "1.2"), (9, 0, 400, "2.2"), (3, 4, 2000, "0.3"), (5, 0, 0, "500.0"), (11, 0, 400, "2.8")]
+    given = spark.createDataFrame(rows, "soft long, copy_paste long, words long, want string").selectExpr("*", "100 score", "'clean' band", "0L other_bans", "2L dash_bans")
+    for r in given.select(reports.quiet(F.lit("doc1")).alias("line"), "want").collect():
+        assert r["line"] == f"{'doc1':40} 100/100 [clean] bans: 0 (+2 dashes), markers: {r['want']}/100 words"
+
+
 def test_registry():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -87,6 +87,28 @@ def test_quiet_rates(spark):
         assert r["line"] == f"{'doc1':40} 100/100 [clean] bans: 0 (+2 dashes), markers: {r['want']}/100 words"
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_repeats_leave_their_row_alone(spark, shared):
+    from prosegauge.functions import text as T
+    from prosegauge.operators import metrics
+
+    rows = [(1, "One two three. " * 3 + "x"), (2, "a the of a the of a the of a the of"), (3, None), (4, ""), (5, "b b b b b b b"), (6, "b b b b"), (None, "red green blue " * 4), (7, "no no")]
+    rows += [(6, "B, b, b."), (8, "q r s"), (8, "q r s t"), (8, "Q r s"), (None, "red green blue")] * shared
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    count, each = Counter(), Counter()
+    for k, t in rows:
+        w = "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+        count.update((k, " ".join(g)) for g in zip(w, w[1:], w[2:]) if set(g) - set(T.PHRASE_STOPWORDS))
+        each[k, len(w)] += 1
+    want = {(*x, n) for x, n in count.items() if n >= 3}
+    found = metrics.repeats(docs)
+    assert Counter((r["doc_id"], r["phrase"], r["n"]) for r in found.collect()) == Counter(want)
+    assert shared or "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    per = Counter(k for k, _, _ in want if k is not None)
+    rate = lambda k, n: math.floor(per[k] / n * 1000 * 100 + 0.5) / 100 if n >= 3 else 0.0
+    assert Counter((r["doc_id"], r["repeats"], r["repeat_per_1000"]) for r in metrics.repeat_rate(docs).collect()) == Counter((k, per[k], rate(k, n)) for (k, n), m in each.items() for _ in range(m))
+
+
 def test_registry():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

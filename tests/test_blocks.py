@@ -69,6 +69,17 @@ def test_shapes(spark):
         assert found.get(f"f{k}", set()) == want, raw
 
 
+def test_quotes_on_a_long_line(spark):
+    from time import time
+
+    from pyspark.sql import functions as F
+
+    rows = [('say "x', True), ('say "x"', False), ('"\nplain', False), ("a `b", True), ("«a", True), ("«a»", False), ("", False), ('"' + "a " * 150_000, True), ("a " * 150_000 + "\n«", True)]
+    began = time()
+    got = spark.createDataFrame(rows, "t string, want boolean").select(B.in_quotes(F.col("t")).alias("q"), "want").collect()
+    assert all(r["q"] == r["want"] for r in got) and time() - began < 20
+
+
 def test_weight(spark):
     from pyspark.sql import functions as F
 

@@ -116,3 +116,14 @@ def test_many_matches(spark):
     assert matching.with_lines(found).collect()[0]["lines"] == list(range(1, n + 1))
     todo = spark.createDataFrame([("«TODO\n" * n + "x\nTODO: y",), ('"TODO',), ("none",), ("a\nTODO b",)], "text string")
     assert [r[0] for r in todo.select(B.first_todo(todo["text"])).collect()] == [n + 1, None, None, 1]
+
+
+def test_functions_in_small_batches(spark):
+    own = spark.newSession()
+    texts = ["func a() {\n  x\n}\nfunc b(y int) {\n  if y {\n    z\n  }\n}", None, "", "plain"]
+    files = own.createDataFrame([(k, f"l{k % 3}", texts[k % 4]) for k in range(2500)], "doc_id long, lang string, text string").coalesce(1)
+    got = SM.functions(files, ["doc_id", "lang"])
+    assert got.columns == ["doc_id", "lang", *[c.split()[0] for c in SM.SCHEMA.split(", ")]]
+    assert int(own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000 and int(own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    want = [(k, f"l{k % 3}", *f) for k in range(0, 2500, 4) for f in SM.functions_of(texts[0])]
+    assert sorted(map(tuple, got.collect())) == want

@@ -100,3 +100,35 @@ def test_english_set_is_whole(spark):
     docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(said)] + [(9, "real estate data")], "doc_id int, text string")
     found = {(r["doc_id"], r["rule"]): r["count"] for r in matching.hits(docs, list(rs.rules)).collect()}
     assert all(found.get((k, rule)) == 1 for k, (rule, _) in enumerate(said)) and not any(k == 9 for k, _ in found)
+
+
+def test_demands():
+    assert T.demands(r"(?:linked|tied)\s+to", edge=True) == [[[("linked", True), ("tied", True)], [("to", True)]]]
+    assert T.demands("ab?cd|x\\s*(?:(?:yes|no) z){2}") == [[[("cd", False)]], []]
+    assert T.demands(r"(?i)don\x27t\s+Ask[\x{2014}\x{2705}]") == [[[("don't", False)], [("\u2014", False), ("\u2705", False)], [("ask", True)]]]
+    assert T.demands(r"^(?:ab|cd)") == [[]] and T.demands(r"(?im)^(ab|cd)(?!ef)") == [[[("ab", False), ("cd", False)]]]
+    assert matching.literal_demand("it is Important, note") == "important" and matching.literal_demand("delve") == ""
+
+
+def test_demands_hold(spark):
+    """No match is lost to what texts are asked for before a regex is run."""
+    from pyspark.sql import functions as F
+
+    for name in ("ru", "en", "code"):
+        rs = load_rules(name)
+        said = sorted({t for r in rs.rules for t, _ in r.tests} | {f"x {t.upper()}\n— {t}, {t}" for r in rs.rules for t, _ in r.tests} | {f"{r.pattern} Ok, {r.pattern.title()}!" for r in rs.rules if r.kind == "lit"})
+        docs = spark.createDataFrame(list(enumerate(said)), "doc_id int, text string").repartition(4).cache()
+        rules = [r for r in rs.rules if r.kind != "builtin"]
+        plain = F.array(*[F.regexp_count("text", F.lit(r.jdk)) for r in rules])
+        want = {(r["doc_id"], k, n) for r in docs.select("doc_id", plain.alias("n")).collect() for k, n in enumerate(r["n"]) if n}
+        assert {(r["doc_id"], r["rule_no"], r["count"]) for r in matching.scan(docs, rules).collect()} == want
+
+
+def test_rules_are_asked_once(spark):
+    from prosegauge.plans.ruleset import Rule
+
+    docs = spark.createDataFrame([(1, "zzqq fact, \u017feem"), (2, None), (3, "no")], "doc_id int, text string")
+    rules = [Rule("x", 0, "c", "r", "word_re", r"zzqq\s+fact", "", 0.0), Rule("x", 1, "c", "l", "lit", "Seem", "", 0.0)]
+    found = matching.scan(docs, rules)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("zzqq[") == 1
+    assert {(r["doc_id"], r["rule_no"], r["count"]) for r in found.collect()} == {(1, 0, 1), (1, 1, 1)}

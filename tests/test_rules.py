@@ -107,6 +107,7 @@ def test_demands():
     assert T.demands("ab?cd|x\\s*(?:(?:yes|no) z){2}") == [[[("cd", False)]], []]
     assert T.demands(r"(?i)don\x27t\s+Ask[\x{2014}\x{2705}]") == [[[("don't", False)], [("\u2014", False), ("\u2705", False)], [("ask", True)]]]
     assert T.demands(r"^(?:ab|cd)") == [[]] and T.demands(r"(?im)^(ab|cd)(?!ef)") == [[[("ab", False), ("cd", False)]]]
+    assert T.demands(r"(?:is\s+ab|cd\s*:)", edge=True) == [[[("is", True)], [("ab", True)]], [[("cd", True)], [(":", False)]]]
     assert matching.literal_demand("it is Important, note") == "important" and matching.literal_demand("delve") == ""
 
 
